@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, quality_rules, secret_scans, token_counts, url_filters
+from veriloom.llm import bpe, minhash_dedup, packing, quality_rules, secret_scans, token_counts, url_filters
 from veriloom.llm.columns import documents
 
 #: Rules and listed hosts that the url query applies.
@@ -24,10 +24,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(documents(spark, sf_dir, "pages"), URL_RULES, URL_HOSTS)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -45,7 +53,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op5_byte_bpe, op7_quality_rules, op9_secret_scans)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_token_counts, op4_packing, op5_byte_bpe, op7_quality_rules, op9_secret_scans)}
 
 
 _SQL_HOSTS = ", ".join(f"'{h}'" for h in URL_HOSTS)
