@@ -25,61 +25,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from veriloom.llm.bpe import BLOCK, id_bytes, safe_blocks
 from veriloom.llm.columns import BLOCK_CHARS, blocks
 
 SPECIAL = "<|endoftext|>"
 
 
-class _Irregular(Exception):
-    """A segment with white space that the fast path doesn't know."""
-
-
 class ByteIds:
     """Ids of whole texts by a tokenizers file, as little-endian unsigned 32-bit bytes.
 
-    A single space between two other characters, and a line feed between two,
-    always begin or are a pre-token, so segments between them are encoded apart
-    and up to ``limit`` of them kept.  Texts with other white space go through
-    the library as a whole.
+    The file's vocabulary and merges also drive a faster encoder, which gives the
+    same ids (its merges rank by id; the constructor proves that of the file).
+    Texts that hold the special token's string go through the library itself.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    def __init__(self, path: str) -> None:
+        import json
+
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._kept = _Segments(self._encode, limit)
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        letters = _byte_letters()
+        vocab, merges = model["vocab"], model["merges"]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        ids = [vocab[a + b] for a, b in pairs]
+        if ids != sorted(ids):
+            raise ValueError("merges that don't rank by id")
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token != SPECIAL}
+        self._fast = tiktoken.Encoding("local", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        spaced = text.replace("\n", " \n")
-        if "  " not in spaced and not text[0].isspace() and not text[-1].isspace() and SPECIAL not in text:
-            first, *rest = spaced.split(" ")
-            if "\n" not in rest:  # no two line feeds in a row
-                try:
-                    if any(map(str.isspace, first)):
-                        raise _Irregular
-                    return self._encode(first) + b"".join(map(self._kept.__getitem__, rest))
-                except _Irregular:
-                    pass
-        return self._encode(text)
-
-
-class _Segments(dict):
-    def __init__(self, encode, limit: int) -> None:
-        super().__init__()
-        self._encode, self._limit = encode, limit
-
-    def __missing__(self, segment: str) -> bytes:
-        if any(map(str.isspace, segment[1:])) or (segment[0] != "\n" and segment[0].isspace()):
-            raise _Irregular
-        ids = self._encode(segment if segment[0] == "\n" else " " + segment)
-        if len(self) < self._limit and len(segment) <= 64:
-            self[segment] = ids
-        return ids
+        if SPECIAL in text:
+            return id_bytes(self._library.encode(text, add_special_tokens=False).ids)
+        if len(text) <= BLOCK:
+            return id_bytes(self._fast.encode_ordinary(text))
+        return b"".join(id_bytes(self._fast.encode_ordinary(piece)) for piece in safe_blocks(text))
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that byte-level vocabularies write for each byte: itself if it prints, else from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 _encoders: dict[str, ByteIds] = {}

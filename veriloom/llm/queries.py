@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, minhash_dedup, packing, quality_rules, secret_scans, token_counts, url_filters
+from veriloom.llm import bpe, fingerprints, line_dedup, minhash_dedup, packing, quality_rules, secret_scans, token_counts, url_filters
 from veriloom.llm.columns import documents
 
 #: Rules and listed hosts that the url query applies.
@@ -52,8 +52,21 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.remove_repeats(docs, counts=("n_units_removed", "n_chars_removed"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_token_counts, op4_packing, op5_byte_bpe, op7_quality_rules, op9_secret_scans)}
+    every = (
+        op1_url_filter, op2_near_duplicates, op3_token_counts, op4_packing, op5_byte_bpe,
+        op7_quality_rules, op8_fingerprints, op9_secret_scans, op10_line_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 _SQL_HOSTS = ", ".join(f"'{h}'" for h in URL_HOSTS)
