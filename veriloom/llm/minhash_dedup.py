@@ -11,9 +11,10 @@ counted.  Pairs over the match threshold are confirmed on full shingle sets.
 
 No list is expanded into all its pairs.  First each member meets the list's
 centre (the class whose values are the most common); confirmed links give
-components; then only members of one list that are still in different components
-meet, so a list of thousands of copies of one text costs thousands of pairs.
-All those remaining pairs are looked at, so nothing is lost to a cap.
+components.  Members of one list that are still in different components meet only
+if what each lacks and adds, next to the centre's set, leaves a link between them
+possible (``apart``; an exact bound).  So a list of thousands of copies of one
+text costs thousands of pairs, and no link is lost to a cap.
 
 Defined results: a null, empty or blank text has no shingles, is linked with
 nothing and is its own component; a text with fewer words than a shingle has one
@@ -142,9 +143,8 @@ def near_duplicates(
     # Members of one list that the centre did not bring together.
     placed = posted.select("value", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     spread = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    apart = shared_table(placed.join(spread, "value", "left_semi"))
-    x, y = apart.select("value", F.col("key").alias("a"), F.col("root").alias("ra")), apart.select("value", F.col("key").alias("b"), F.col("root").alias("rb"))
-    cross = x.join(y, "value").where("a < b AND ra <> rb").select("a", "b").distinct()
+    around = placed.join(spread, "value", "left_semi").join(centre, "value").select(F.col("b").alias("centre"), "key", "root").distinct()
+    cross = apart(shared_table(differences(around, sets)), percent)
     more = shared_table(confirmed(cross, classes, sets, needed, percent))
     if not more.isEmpty():
         roots = shared_table(components(links.union(more)))
@@ -199,6 +199,60 @@ def candidate_sets(source: DataFrame, classes: DataFrame, posted: DataFrame, wid
     return texts.mapInArrow(run, StructType([StructField("key", BinaryType()), StructField("members", BinaryType())])).dropDuplicates(["key"])
 
 
+def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
+    """``centre, key, root, size, gone, added``: how each member's set differs from its centre's."""
+    both = around.join(sets.toDF("key", "own"), "key").join(sets.toDF("centre", "middle"), "centre").select("centre", "key", "root", "own", "middle")
+    out = StructType(
+        [StructField(c, BinaryType()) for c in ("centre", "key", "root")] + [StructField("size", LongType()), StructField("gone", LongType()), StructField("added", ArrayType(LongType()))]
+    )
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            size, gone, added = [], [], []
+            for own, middle in zip(batch.column(3), batch.column(4)):
+                x, c = np.frombuffer(own.as_buffer(), _U), np.frombuffer(middle.as_buffer(), _U)
+                new = np.setdiff1d(x, c, assume_unique=True)
+                size.append(len(c))
+                gone.append(len(c) - (len(x) - len(new)))
+                added.append(new.view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).cast(pa.binary()) for i in range(3)), pa.array(size), pa.array(gone), pa.array(added, pa.list_(pa.int64()))],
+                names=["centre", "key", "root", "size", "gone", "added"],
+            )
+
+    return both.mapInArrow(run, out)
+
+
+def apart(diffs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of one centre and different components that may still be linked.
+
+    With a centre of C shingles of which x lacks R and to which x adds A, and y
+    likewise, the common shingles number C - Rx - Ry + s and the union's
+    C + Ax + Ay - s, where s counts what both lack and what both add.  So x and y
+    are linked only if (100 + p) s >= Wx + Wy - (100 - p) C with
+    W = 100 R + p A; and s is at most min(Rx, Ry) + min(ax, ay), where a counts
+    the added shingles that any other member adds as well.  Copies edited apart
+    from one another share too little to pass, however many there are.
+    """
+    p, each = percent, diffs.select("centre", "key", F.explode("added").alias("shingle"))
+    also = each.groupBy("centre", "shingle").agg(F.count("*").alias("n")).where("n > 1").select("centre", "shingle")
+    again = each.join(also, ["centre", "shingle"]).groupBy("centre", "key").agg(F.count("*").alias("a"))
+    w = 100 * F.col("gone") + p * F.size("added")
+    rows = (
+        diffs.join(again, ["centre", "key"], "left")
+        .select("centre", "key", "root", "size", "gone", F.coalesce("a", F.lit(0)).alias("a"), w.alias("w"))
+        .withColumn("over", F.col("w") - (100 - p) * F.col("size")).withColumn("slack", (100 + p) * (F.col("gone") + F.col("a")) - F.col("w"))
+    )
+    # Two members that are both linked to the centre are in one component: of a pair one is over.
+    limits = rows.groupBy("centre").agg(F.max("slack").alias("most"), F.min(F.when(F.col("over") > 0, F.col("over"))).alias("least"))
+    rows = rows.join(limits, "centre").where("over <= most AND (over > 0 OR slack >= least)")
+    x, y = (rows.select("centre", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "gone", "a", "w", "over")), *(["size"] if side == "x" else [])) for side in "xy")
+    enough = (100 + p) * (F.least("gone_x", "gone_y") + F.least("a_x", "a_y")) >= F.col("w_x") + F.col("w_y") - (100 - p) * F.col("size")
+    return x.join(y, "centre").where("key_x < key_y AND root_x <> root_y AND (over_x > 0 OR over_y > 0)").where(enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that are linked, by sizes, then agreements, then full sets."""
     one = classes.select("key", "n", "coords")
