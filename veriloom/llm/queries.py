@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, fingerprints, line_dedup, minhash_dedup, packing, quality_rules, secret_scans, token_counts, url_filters
+from veriloom.llm import bpe, fingerprints, line_dedup, minhash_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
 from veriloom.llm.columns import documents
 
 #: Rules and listed hosts that the url query applies.
@@ -40,6 +40,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.learn(docs, documents(spark, sf_dir, "labels")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality_rules.learn_from(docs, documents(spark, sf_dir, "labels"))
@@ -64,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     every = (
         op1_url_filter, op2_near_duplicates, op3_token_counts, op4_packing, op5_byte_bpe,
-        op7_quality_rules, op8_fingerprints, op9_secret_scans, op10_line_dedup,
+        op6_toxicity, op7_quality_rules, op8_fingerprints, op9_secret_scans, op10_line_dedup,
     )
     return {f.__name__: f for f in every}
 
