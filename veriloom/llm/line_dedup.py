@@ -11,8 +11,9 @@ Elsewhere it is removed if it is byte for byte the same (white space at units'
 ends aside) and belongs to a run of repeated chunks with at least two units and
 ``min_chars`` characters.
 
-Shuffles: chunk hashes twice (8-byte keys; texts stay where they are), texts once
-and the repeated chunks' bytes once.  A hash that a third of all documents hold
+The chunks' hashes and places are written to the shared folder once, then those
+that repeat, so texts are cut once.  Shuffles: chunk hashes twice (8-byte keys;
+texts stay where they are), texts once and the repeated chunks' bytes once.  A hash that a third of all documents hold
 is aggregated before the shuffle, and its rows are joined by a join that adaptive
 execution splits.
 
@@ -29,6 +30,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.llm.columns import drop_table, shared_table
+
 #: A unit ends after a line feed, or after the space behind the end of a sentence.
 UNIT_END = r"(?<=\n)|(?<=[.!?] )"
 
@@ -89,13 +92,17 @@ def remove_repeats(
 
     ``counts`` names two further columns for the numbers of units and characters removed.
     """
-    base = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    found = base.where("text IS NOT NULL").select("id", "th", F.explode(chunks(F.col("text"), short=short, sparse=sparse)).alias("c")).where(f"c.n >= {short}").select("id", "th", "c.*")
+    rest = [F.col(f"`{c}`").alias(c) for c in df.columns if c not in (id_col, text_col)]
+    base = df.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*rest).alias("row")] if rest else [])
+    ).withColumn("th", F.xxhash64("text"))
+    found = shared_table(base.where("text IS NOT NULL").select("id", "th", F.explode(chunks(F.col("text"), short=short, sparse=sparse)).alias("c")).where(f"c.n >= {short}").select("id", "th", "c.*"))
     shared = (
         found.groupBy("h").agg(F.min("id").alias("home"), F.max("id").alias("last"), F.count("id").alias("n_ids"), F.count("*").alias("n_all"))
         .where("home <> last OR (home IS NOT NULL AND n_ids < n_all)").select("h", "home")
     )
-    held = found.join(shared, "h")
+    held = shared_table(found.join(shared, "h"))
+    drop_table(found)
 
     # The bytes of each repeated chunk, from the document that keeps it.
     homes = held.where("id = home").groupBy("id", "th").agg(F.collect_list(F.struct("h", "s", "e")).alias("own"))
@@ -129,7 +136,7 @@ def remove_repeats(
 
     out = joined.withColumn("clean", F.when(F.col("found").isNotNull(), let(units(F.col("text")), cleaned)))
     text = F.coalesce("clean.text", "text")
-    fields = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
+    fields = [text.alias(c) if c == text_col else F.col("id").alias(c) if c == id_col else F.col("row")[c].alias(c) for c in df.columns]
     if counts:
         fields += [
             F.coalesce("clean.n", F.lit(0)).cast("bigint").alias(counts[0]),
