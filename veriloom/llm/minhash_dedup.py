@@ -32,7 +32,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, ShortType, StructField, StructType
 
 from veriloom.llm.columns import drop_table, map_texts, shared_table
 from veriloom.llm.graph import components
@@ -200,26 +200,31 @@ def candidate_sets(source: DataFrame, classes: DataFrame, posted: DataFrame, wid
 
 
 def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
-    """``centre, key, root, size, gone, added``: how each member's set differs from its centre's."""
+    """``centre, key, root, size, gone, added, places``: how each member's set differs from its centre's.
+
+    ``places``: how many of the shingles gone, then of those added, have each of
+    the values of their hashes' first bits.
+    """
     both = around.join(sets.toDF("key", "own"), "key").join(sets.toDF("centre", "middle"), "centre").select("centre", "key", "root", "own", "middle")
     out = StructType(
-        [StructField(c, BinaryType()) for c in ("centre", "key", "root")] + [StructField("size", LongType()), StructField("gone", LongType()), StructField("added", ArrayType(LongType()))]
+        [StructField(c, BinaryType()) for c in ("centre", "key", "root")] + [StructField("size", LongType()), StructField("gone", LongType()), StructField("added", ArrayType(LongType())), StructField("places", ArrayType(ShortType()))]
     )
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            size, gone, added = [], [], []
+            size, gone, added, places = [], [], [], []
             for own, middle in zip(batch.column(3), batch.column(4)):
                 x, c = np.frombuffer(own.as_buffer(), _U), np.frombuffer(middle.as_buffer(), _U)
-                new = np.setdiff1d(x, c, assume_unique=True)
+                new, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
                 size.append(len(c))
-                gone.append(len(c) - (len(x) - len(new)))
+                gone.append(len(lost))
                 added.append(new.view(np.int64))
+                places.append(np.concatenate([np.bincount((part >> _U(57)).astype(np.int64), minlength=128) for part in (lost, new)]).clip(max=32767))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).cast(pa.binary()) for i in range(3)), pa.array(size), pa.array(gone), pa.array(added, pa.list_(pa.int64()))],
-                names=["centre", "key", "root", "size", "gone", "added"],
+                [*(batch.column(i).cast(pa.binary()) for i in range(3)), pa.array(size), pa.array(gone), pa.array(added, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int16()))],
+                names=["centre", "key", "root", "size", "gone", "added", "places"],
             )
 
     return both.mapInArrow(run, out)
@@ -233,8 +238,9 @@ def apart(diffs: DataFrame, percent: int) -> DataFrame:
     C + Ax + Ay - s, where s counts what both lack and what both add.  So x and y
     are linked only if (100 + p) s >= Wx + Wy - (100 - p) C with
     W = 100 R + p A; and s is at most min(Rx, Ry) + min(ax, ay), where a counts
-    the added shingles that any other member adds as well.  Copies edited apart
-    from one another share too little to pass, however many there are.
+    the added shingles that any other member adds as well.  A closer bound sums
+    the lesser count of each place (``differences``).  Copies edited apart from
+    one another share too little to pass, however many there are.
     """
     p, each = percent, diffs.select("centre", "key", F.explode("added").alias("shingle"))
     also = each.groupBy("centre", "shingle").agg(F.count("*").alias("n")).where("n > 1").select("centre", "shingle")
@@ -242,15 +248,22 @@ def apart(diffs: DataFrame, percent: int) -> DataFrame:
     w = 100 * F.col("gone") + p * F.size("added")
     rows = (
         diffs.join(again, ["centre", "key"], "left")
-        .select("centre", "key", "root", "size", "gone", F.coalesce("a", F.lit(0)).alias("a"), w.alias("w"))
+        .select("centre", "key", "root", "size", "gone", "places", F.coalesce("a", F.lit(0)).alias("a"), w.alias("w"))
         .withColumn("over", F.col("w") - (100 - p) * F.col("size")).withColumn("slack", (100 + p) * (F.col("gone") + F.col("a")) - F.col("w"))
     )
     # Two members that are both linked to the centre are in one component: of a pair one is over.
     limits = rows.groupBy("centre").agg(F.max("slack").alias("most"), F.min(F.when(F.col("over") > 0, F.col("over"))).alias("least"))
     rows = rows.join(limits, "centre").where("over <= most AND (over > 0 OR slack >= least)")
-    x, y = (rows.select("centre", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "gone", "a", "w", "over")), *(["size"] if side == "x" else [])) for side in "xy")
-    enough = (100 + p) * (F.least("gone_x", "gone_y") + F.least("a_x", "a_y")) >= F.col("w_x") + F.col("w_y") - (100 - p) * F.col("size")
-    return x.join(y, "centre").where("key_x < key_y AND root_x <> root_y AND (over_x > 0 OR over_y > 0)").where(enough).select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+    x, y = (rows.select("centre", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "gone", "a", "w", "over", "places")), *(["size"] if side == "x" else [])) for side in "xy")
+    wanted = F.col("w_x") + F.col("w_y") - (100 - p) * F.col("size")
+    both = F.zip_with("places_x", "places_y", lambda m, n: F.least(m, n).cast("int"))
+    at = lambda first: F.aggregate(F.slice(both, first, 128), F.lit(0), lambda total, m: total + m)
+    return (
+        x.join(y, "centre").where("key_x < key_y AND root_x <> root_y AND (over_x > 0 OR over_y > 0)")
+        .where((100 + p) * (F.least("gone_x", "gone_y") + F.least("a_x", "a_y")) >= wanted)
+        .where((100 + p) * (at(1) + F.least(at(129), "a_x", "a_y")) >= wanted)
+        .select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
+    )
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
