@@ -180,15 +180,16 @@ def learn_from(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """Learns from at most ``max_labelled`` labelled rows (label 0: low quality).
 
     The bound is the classifier's fitting sample, chosen by a hash of the id; the
-    rules then judge every document.
+    rules then judge every document.  The labels picked are at most that many
+    rows of two numbers, so they are broadcast and the texts stay where they are.
     """
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(id_col).agg(F.min(label_col).alias("__label"))
         .orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     )
-    texts = df.select(F.col(id_col), F.col(text_col).alias("__t")).join(picked, id_col)
-    stats = statistics(texts, id_col=id_col, text_col="__t").join(picked, id_col)
+    texts = df.select(F.col(id_col), F.col(text_col).alias("__t")).join(F.broadcast(picked), id_col)
+    stats = statistics(texts, id_col=id_col, text_col="__t").join(F.broadcast(picked), id_col)
     rows = stats.select(id_col, "__label", *STATS).orderBy(F.xxhash64(id_col), *STATS).limit(max_labelled).toPandas()
     return learn(rows[list(STATS)].to_numpy(float), rows["__label"].to_numpy() == 0, **options)
 

@@ -148,6 +148,8 @@ def learn(
 ) -> Grammar:
     """A grammar from the labelled rows that are not held out.
 
+    The labels picked are at most ``max_labelled`` rows of two numbers, so they
+    are broadcast and the texts stay where they are.
     Words that at least ``share`` of the positive rows hold, with at least this
     ``precision``, enter the lexicon (at most ``size``).
     """
@@ -156,7 +158,7 @@ def learn(
         .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
         .orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
-    labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(picked, "id")
+    labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
     n, pos = labelled.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < pos < n:
         return DEFAULT
