@@ -1,0 +1,165 @@
+"""Guards: a small boolean language, compiled to Spark columns.
+
+A guard has names, attribute access, constants, ``==``, ``!=``, ``and``, ``or``,
+``not`` and parentheses, nothing else.  Values are JSON: a root (``ctx``,
+``payload``) is a column of JSON text, a path into it is extracted by Spark.
+Python's rules hold: a value equals another only if their kinds agree (numbers
+and booleans compare as numbers, a string never equals a number, null equals
+null), and ``0``, ``""``, ``null``, ``{}`` and ``[]`` count as false.
+"""
+
+from __future__ import annotations
+
+import ast
+from collections.abc import Mapping
+from typing import NamedTuple
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+class GuardError(ValueError):
+    """A guard outside the language."""
+
+
+class Value(NamedTuple):
+    """A JSON value: kind (0 null, 1 number or boolean, 2 string, 3 other), number, text, truth."""
+
+    kind: Column
+    number: Column
+    text: Column
+    truth: Column
+    #: Whether a path on the way is missing (strict dialect).
+    lost: Column
+
+
+def _constant(value: object) -> Value:
+    if value is None:
+        kind, number, text, truth = 0, None, None, False
+    elif isinstance(value, (bool, int, float)):
+        kind, number, text, truth = 1, float(value), None, bool(value)
+    elif isinstance(value, str):
+        kind, number, text, truth = 2, None, value, bool(value)
+    else:
+        raise GuardError(f"constant {value!r}")
+    lit = lambda v, t: F.lit(v).cast(t)
+    return Value(lit(kind, "int"), lit(number, "double"), lit(text, "string"), F.lit(truth), F.lit(False))
+
+
+def _path(root: Column, path: list[str]) -> Value:
+    """A path of a JSON document, by its VARIANT, so that kinds stay apart."""
+    where = "$" + "".join(f"['{p}']" for p in path)
+    value = F.try_variant_get(F.try_parse_json(root), where, "variant") if path else F.try_parse_json(root)
+    schema = F.schema_of_variant(value)
+    null = value.isNull() | (schema == "VOID")
+    number = schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL|BOOLEAN)")
+    as_number = F.coalesce(F.when(schema == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double")), F.when(number & (schema != "BOOLEAN"), F.try_variant_get(value, "$", "double")))
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.when(null, 0).when(number, 1).when(schema == "STRING", 2).otherwise(3)
+    empty = F.regexp_replace(F.to_json(value), r"\s", "").isin("{}", "[]")
+    truth = F.when(null, F.lit(False)).when(number, as_number != 0).when(schema == "STRING", text != "").otherwise(~empty)
+    return Value(kind, as_number, text, F.coalesce(truth, F.lit(False)), value.isNull())
+
+
+def compile_guard(expr: str, roots: Mapping[str, Column], *, strict: bool = False) -> Column:
+    """The guard's truth as a boolean column.
+
+    A missing key is null; with ``strict`` the guard itself is null where a path
+    that it evaluates is missing (its caller decides what a failing guard means).
+    """
+    try:
+        tree = ast.parse(expr.strip(), mode="eval").body
+    except SyntaxError as e:
+        raise GuardError(f"not an expression: {expr!r}") from e
+
+    def path(node: ast.AST) -> tuple[str, list[str]] | None:
+        parts: list[str] = []
+        while isinstance(node, ast.Attribute):
+            if node.attr.startswith("_"):
+                raise GuardError(f"name {node.attr!r}")
+            parts.append(node.attr)
+            node = node.value
+        return (node.id, parts[::-1]) if isinstance(node, ast.Name) else None
+
+    def value(node: ast.AST) -> Value:
+        if isinstance(node, ast.Constant):
+            return _constant(node.value)
+        if isinstance(node, (ast.Name, ast.Attribute)):
+            found = path(node)
+            if found is None or found[0] not in roots:
+                raise GuardError(f"unknown root in {expr!r}")
+            return _path(roots[found[0]], found[1])
+        if isinstance(node, (ast.Compare, ast.UnaryOp)):
+            truth, lost = test(node)
+            return Value(F.lit(1), truth.cast("int").cast("double"), F.lit(None).cast("string"), truth, lost)
+        if isinstance(node, ast.BoolOp):
+            # The operand that decides is the value.
+            out = value(node.values[-1])
+            for operand in reversed(node.values[:-1]):
+                v = value(operand)
+                stays = ~v.truth if isinstance(node.op, ast.And) else v.truth
+                out = Value(*(F.when(stays, a).otherwise(b) for a, b in zip(v[:4], out[:4])), v.lost | (~stays & out.lost))
+            return out
+        raise GuardError(f"{type(node).__name__} in {expr!r}")
+
+    def equal(a: Value, b: Value) -> Column:
+        same = F.when(a.kind == 0, F.lit(True)).when(a.kind == 1, a.number == b.number).otherwise(a.text.eqNullSafe(b.text))
+        return F.when(a.kind != b.kind, F.lit(False)).otherwise(same)
+
+    def test(node: ast.AST) -> tuple[Column, Column]:
+        if isinstance(node, ast.UnaryOp):
+            if not isinstance(node.op, ast.Not):
+                raise GuardError(f"operator in {expr!r}")
+            v = value(node.operand)
+            return ~v.truth, v.lost
+        if isinstance(node, ast.Compare):
+            operands = [value(n) for n in (node.left, *node.comparators)]
+            out, lost = F.lit(True), operands[0].lost
+            for op, a, b in zip(node.ops, operands, operands[1:]):
+                if not isinstance(op, (ast.Eq, ast.NotEq)):
+                    raise GuardError(f"comparison in {expr!r}")
+                lost = lost | (out & b.lost)
+                out = out & (equal(a, b) if isinstance(op, ast.Eq) else ~equal(a, b))
+            return out, lost
+        v = value(node)
+        return v.truth, v.lost
+
+    truth, lost = test(tree)
+    return F.when(~lost, truth) if strict else truth
+
+
+def evaluate(expr: str, roots: Mapping[str, object]) -> bool:
+    """The same guard over Python values, for stateful steps; a missing key is None."""
+    tree = ast.parse(expr.strip(), mode="eval").body
+
+    def run(node: ast.AST):
+        if isinstance(node, ast.Constant):
+            return node.value
+        if isinstance(node, ast.Name):
+            if node.id not in roots:
+                raise GuardError(f"unknown root {node.id!r}")
+            return roots[node.id]
+        if isinstance(node, ast.Attribute):
+            base = run(node.value)
+            return base.get(node.attr) if isinstance(base, dict) else None
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return not run(node.operand)
+        if isinstance(node, ast.BoolOp):
+            out = None
+            for operand in node.values:
+                out = run(operand)
+                if bool(out) != isinstance(node.op, ast.And):
+                    break
+            return out
+        if isinstance(node, ast.Compare):
+            left = run(node.left)
+            for op, right in zip(node.ops, map(run, node.comparators)):
+                if not isinstance(op, (ast.Eq, ast.NotEq)):
+                    raise GuardError(f"comparison in {expr!r}")
+                if (left == right) != isinstance(op, ast.Eq):
+                    return False
+                left = right
+            return True
+        raise GuardError(f"{type(node).__name__} in {expr!r}")
+
+    return bool(run(tree))
