@@ -51,8 +51,8 @@ CASES = [
     ("I-14", changed("flow_states/z/outcome", "odd"), "got 'odd'"),
     ("I-15", changed("flow_transitions/tr4", flow_id="fl1", from_state_id="w", trigger="timer", to_state_id="z"), "2 guardless transitions"),
     ("I-16", changed("flow_runs/fr/current_state_id", "k"), "closed as done outside an end state (in k)"),
-    ("I-17", changed("decision_records/dr1", playbook="dsys-mutation-playbook", rung="odd"), "unknown rung 'odd'"),
-    ("I-17", changed("decision_records/dr1", playbook="dsys-mutation-playbook", rung="fork", touches_trust_boundary=True), "no voided_guarantees declared"),
+    ("I-17", changed("decision_records/dr1", playbook="own-mutation-playbook", rung="odd"), "unknown rung 'odd'"),
+    ("I-17", changed("decision_records/dr1", playbook="own-mutation-playbook", rung="fork", touches_trust_boundary=True), "no voided_guarantees declared"),
     ("STEP-POLICY", changed("flow_states/k/step_policy", "retry:0"), "malformed step_policy 'retry:0'"),
     ("STEP-POLICY", changed("flow_states/k/step_policy", None), "step_policy required"),
     ("I-2 supersession", changed("dispositions/x2/supersedes_disposition_id", "x2"), "supersession cycle at x2"),

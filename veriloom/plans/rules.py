@@ -446,7 +446,7 @@ def mutation_records(t: Tables) -> DataFrame:
     adopted, rung = F.col("verdict") == "adopted", F.col("rung")
     m = lambda s, *c: say("I-17: mutation record %s: " + s, "_key", *c)
     return found(
-        t["decision_records"].where("playbook = 'dsys-mutation-playbook'"),
+        t["decision_records"].where("playbook LIKE '%-mutation-playbook'"),
         (rung.isNotNull() & ~rung.isin(*RUNGS), m(f"unknown rung '%s' (expected one of {', '.join(RUNGS)})", "rung")),
         (F.col("reason_status").isNotNull() & ~F.col("reason_status").isin("accepted", "pending"), m("unknown reason_status '%s' (expected accepted|pending)", "reason_status")),
         (adopted & rung.isNull(), m("adopted with no rung selected")),
