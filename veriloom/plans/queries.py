@@ -367,3 +367,74 @@ def feedback_merge(spark, d):
     docs = table(spark, d, "documents")
     runs, before = docs.where("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("note")), docs.where("doc_id % 4 <> 0").select("doc_id", F.col("source").alias("note"))
     return stats.merge_feedback(runs, before, "doc_id", "note")
+
+
+@query("""SELECT event_id, coalesce(CAST(props->>'k' AS BIGINT) = 5, false) OR (coalesce(CAST(props->>'k' AS BIGINT), 0) <> 0 AND CAST(props->>'k' AS BIGINT) <> 7) AS holds FROM events""")
+def guard_eval(spark, d):
+    from veriloom.functions.guards import compile_guard
+
+    guard = compile_guard("payload.k == 5 or (payload.k and not payload.none and payload.k != 7)", {"payload": F.col("props")})
+    return table(spark, d, "events").select("event_id", guard.alias("holds"))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+p AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM e)
+SELECT user_id, seq, before AS from_step, event_type AS to_step, CASE WHEN before = event_type THEN 'stay' WHEN before < event_type THEN 'up' ELSE 'down' END AS transition_id FROM p WHERE before IS NOT NULL AND before <> event_type OR (before = event_type AND event_type = 'view')""")
+def event_pairs(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    log = table(spark, d, "events").select("user_id", F.row_number().over(w).cast("bigint").alias("seq"), F.lag("event_type").over(w).alias("from_step"), F.col("event_type").alias("to_step")).where("from_step IS NOT NULL")
+    names = sorted(REQUIRED)
+    rows = [(a, b, "stay" if a == b else "up" if a < b else "down") for a in names for b in names if a != b or a == "view"]
+    known = spark.createDataFrame(rows, "from_step string, to_step string, transition_id string")
+    return log.join(known, ["from_step", "to_step"]).select("user_id", "seq", "from_step", "to_step", "transition_id")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_shipdate, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS place FROM lineitem WHERE l_returnflag = 'R')
+SELECT l_orderkey, count(*) AS n_lines, sum((place <= 2)::INT)::BIGINT AS n_within FROM l GROUP BY 1""")
+def within_budget(spark, d):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").withColumn("place", F.row_number().over(w))
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n_lines"), F.count_if(F.col("place") <= 2).alias("n_within"))
+
+
+def _book():
+    from veriloom.streaming.machine import RunBook
+
+    tools = {"note": lambda ctx: {"ok": True, "result": ctx.get("k"), "ctx_delta": {"noted": ctx.get("k")}}, "fail": lambda ctx: {"ok": ctx.get("k", 0) % 2 == 0, "error": "odd"}}
+    return RunBook(((0, "note", "ctx.k"), (1, "fail", "ctx.noted"), (2, "note", "ctx.k == 7")), "retry:3"), tools
+
+
+def _inputs(events):
+    return events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
+
+
+@query()
+def advance_fsm(spark, d):
+    """Every user's events drive one run of a run-book (stateful: no SQL)."""
+    from veriloom.streaming.machine import advance_batch
+
+    return advance_batch(_inputs(table(spark, d, "events")), *_book())
+
+
+@query()
+def advance_stream(spark, d):
+    """The same by a stream over the table's file, with each run's state kept."""
+    import uuid
+
+    from veriloom.streaming.machine import EVENTS, advance_stream as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        import tempfile
+
+        root = tempfile.mkdtemp(prefix="veriloom-")
+    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    run = stream(_inputs(source), *_book()).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(EVENTS).parquet(f"{place}/out")
