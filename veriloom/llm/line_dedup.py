@@ -2,14 +2,14 @@
 
 A text is cut into lines, and lines after the ends of sentences (so a passage
 set into the middle of a line still has whole units of its own).  A rolling hash
-over the hashes of two successive units chooses chunk boundaries, none of them
-after a very short unit; the choice depends on nearby units alone, so a passage
+over the hashes of two successive units chooses chunk boundaries, few of them
+after very short units; the choice depends on nearby units alone, so a passage
 is cut alike wherever it stands, whatever stands before it.
 
 A chunk that occurs in several documents stays in the document of least id.
 Elsewhere it is removed if it is byte for byte the same (white space at units'
-ends aside) and belongs to a run of repeated chunks with at least two units and
-``min_chars`` characters.
+ends aside) and belongs to a run of repeated chunks with at least two units (or
+one of ``long_chars`` characters) and ``min_chars`` characters.
 
 The chunks' hashes and places are written to the shared folder once, then those
 that repeat, so texts are cut once.  Shuffles: chunk hashes twice (8-byte keys;
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.columns import drop_table, shared_table
 
-#: A unit ends after a line feed, or after the space behind the end of a sentence.
-UNIT_END = r"(?<=\n)|(?<=[.!?] )"
+#: A unit ends after a line feed, or after the space behind the end of a sentence or a table cell.
+UNIT_END = r"(?<=\n)|(?<=[.!?|] )"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,13 +54,14 @@ def chunks(text: Column, *, short: int, sparse: int) -> Column:
     """Array of ``s, e`` (first and last unit, from 1), ``n`` (characters) and ``h`` (hash).
 
     A unit of at least ``short`` characters ends a chunk unless the rolling hash
-    is 0 modulo ``sparse``.
+    is 0 modulo ``sparse``, a shorter one only if it is.
     """
 
     def cut(k: Column) -> Column:
         def ends(i: Column) -> Column:
             rolled = F.xxhash64(F.when(i > 1, F.get(k, i - 2)["h"]).otherwise(F.lit(0).cast("bigint")), F.get(k, i - 1)["h"])
-            return (i == F.size(k)) | ((F.get(k, i - 1)["n"] >= short) & (F.pmod(rolled, F.lit(sparse)) != 0))
+            chance = F.pmod(rolled, F.lit(sparse))
+            return (i == F.size(k)) | F.when(F.get(k, i - 1)["n"] >= short, chance != 0).otherwise(chance == 0)
 
         def chunk(e: Column) -> Callable[[Column, Column], Column]:
             def one(end: Column, i: Column) -> Column:
@@ -86,7 +87,7 @@ def span_bytes(u: Column, start: Column, end: Column) -> Column:
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, short: int = 20, sparse: int = 4, counts: tuple[str, str] | None = None
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, long_chars: int = 250, short: int = 20, sparse: int = 16, counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text_col``.
 
@@ -105,9 +106,11 @@ def remove_repeats(
     drop_table(found)
 
     # The bytes of each repeated chunk, from the document that keeps it.
-    homes = held.where("id = home").groupBy("id", "th").agg(F.collect_list(F.struct("h", "s", "e")).alias("own"))
+    # (Both joins of texts have the same keys, so that one exchange can serve both.)
+    at = lambda id_, th: F.col("id").eqNullSafe(F.col(id_)) & (F.col("th") == F.col(th))
+    homes = held.where("id = home").groupBy(F.col("id").alias("hid"), F.col("th").alias("hth")).agg(F.collect_list(F.struct("h", "s", "e")).alias("own"))
     kept = (
-        base.select("id", "th", "text").join(homes, ["id", "th"])
+        base.join(homes, at("hid", "hth"))
         .select(F.explode(let(units(F.col("text")), lambda u: F.transform("own", lambda x: F.struct(x["h"].alias("h"), span_bytes(u, x["s"], x["e"]).alias("bytes"))))).alias("k"))
         .groupBy("k.h").agg(F.min("k.bytes").alias("bytes"))
     )
@@ -115,14 +118,14 @@ def remove_repeats(
         held.where("NOT (id <=> home)").join(kept, "h")
         .groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "n", "bytes"))).alias("found"))
     )
-    joined = base.join(repeats, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
+    joined = base.join(repeats, at("rid", "rth"), "left")
 
     def runs(m: Column) -> Column:
         def stays(x: Column, i: Column) -> Column:
             before, after = F.get(m, i - 1), F.get(m, i + 1)
             left = F.coalesce(F.when(before["e"] + 1 == x["s"], before["n"]), F.lit(0))
             right = F.coalesce(F.when(after["s"] - 1 == x["e"], after["n"]), F.lit(0))
-            return ((x["e"] > x["s"]) | (left + right > 0)) & (left + x["n"] + right >= min_chars)
+            return ((x["e"] > x["s"]) | (left + right > 0) | (x["n"] >= long_chars)) & (left + x["n"] + right >= min_chars)
 
         return F.filter(m, stays)
 
