@@ -1,12 +1,20 @@
 """Token counts by a compiled finite-state transducer.
 
-The vocabulary of a piece model is compiled into a deterministic transducer over
-the text's segments.  A boundary between two characters is *free* when no piece
-of the vocabulary spans it; the compiler proves this for every boundary it uses
-(before a word mark that follows another character, and around a line feed), so
-tokens never cross one and the transducer's state at a free boundary is always
-the same state.  A transition reads one segment and is annotated with the number
-of tokens it emits; transitions are determinised when first met and kept.
+The vocabulary of a piece model is compiled into a deterministic transducer.  Its
+states are pieces: after any prefix, the state is the last piece of that prefix's
+encoding.  Merging by rank makes that piece unique: of the pieces that end at a
+character, exactly one may follow the state before it, where one piece may follow
+another if merging their joined text gives those two again.  So a transition
+reads a piece's characters, goes to that piece, and is annotated with one emitted
+token; a character outside the vocabulary is annotated with its bytes.  Which
+pieces may follow which is worked out when first met and kept.
+
+A boundary between two characters is *free* when no piece spans it; the compiler
+proves this from the vocabulary for every boundary it uses (before a word mark
+that follows another character, and around a line feed).  At a free boundary the
+state is the start again, so what lies between two of them, a segment, always
+emits the same number of tokens, and the transducer's run over a segment is kept
+as one transition in a bounded table.
 
 Chunks of a long text become state maps ``(head, count, tail)``: what must still
 be joined to the left, what has been emitted, what must be joined to the right.
@@ -61,7 +69,7 @@ class Transducer:
 
         self._pieces = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self._prove_boundaries()
-        self._limit = limit
+        self._states = PieceStates(self._pieces)
         self._table = _Transitions(self._annotate, limit)
 
     def _prove_boundaries(self) -> None:
@@ -72,14 +80,15 @@ class Transducer:
                 raise ValueError(f"piece {i} spans a boundary that the transducer takes to be free")
 
     def _annotate(self, segment: str) -> int:
-        """Tokens that the transition for a segment emits.
+        """Tokens that the transducer emits on a segment.
 
-        A segment that starts with a line feed follows no mark: the mark that
-        the model puts before any text is taken off again.
+        A segment that starts with a line feed follows no mark.  Runs of marks
+        are the only pieces of equal rank, where merging isn't a matter of rank
+        alone; segments with such runs are annotated by the model itself.
         """
-        if not segment:
-            return 1  # a mark alone
-        return len(self._pieces.encode(segment)) - (segment[0] == "\n")
+        if segment[:1] == " ":
+            return len(self._pieces.encode(segment))
+        return self._states.emitted(segment if segment[:1] == "\n" else MARK + segment)
 
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
@@ -160,6 +169,63 @@ class Transducer:
         return maps
 
 
+class PieceStates:
+    """The transducer over characters: which piece may follow which, and what it emits."""
+
+    def __init__(self, pieces, limit: int = 600_000) -> None:
+        kept = [i for i in range(pieces.piece_size()) if not (pieces.is_control(i) or pieces.is_unknown(i) or pieces.is_byte(i) or pieces.is_unused(i))]
+        self._rank = {pieces.id_to_piece(i): -pieces.get_score(i) for i in kept}
+        self._names = ["", *self._rank]  # state 0 is the start
+        self._state = {piece: i for i, piece in enumerate(self._names) if i}
+        self._longest = max(map(len, self._rank))
+        self._follows: dict[int, bool] = {}
+        self._limit = limit
+
+    def _merged(self, text: str) -> list[str]:
+        """A short text's pieces, by merging the best-ranked pair, the first of equals."""
+        parts, rank = list(text), self._rank
+        while len(parts) > 1:
+            best, at = min((rank.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if best == float("inf"):
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _may_follow(self, before: int, after: int) -> bool:
+        """Whether a piece may follow the state before it."""
+        first, second = self._names[before], self._names[after]
+        found = self._merged(first + second) == ([first, second] if first else [second])
+        if len(self._follows) >= self._limit:
+            self._follows.clear()
+        self._follows[before << 20 | after] = found
+        return found
+
+    def emitted(self, text: str) -> int:
+        """Tokens emitted from the start state on a text without runs of marks."""
+        state, follows, longest = self._state, self._follows, self._longest
+        states, counts = [0], [0]
+        total = 0
+        for i in range(1, len(text) + 1):
+            here = len(states)  # one more than the characters since the last start
+            for n in range(1, min(longest, here) + 1):
+                piece = state.get(text[i - n : i])
+                if piece is not None:
+                    before = states[-n]
+                    fits = follows.get(before << 20 | piece)
+                    if fits is None:
+                        fits = self._may_follow(before, piece)
+                    if fits:
+                        states.append(piece)
+                        counts.append(counts[-n] + 1)
+                        break
+            else:
+                if text[i - 1] in state:
+                    raise AssertionError(f"no piece ends at {i} of {text!r}")
+                total += counts[-1] + len(text[i - 1].encode())
+                states, counts = [0], [0]
+        return total + counts[-1]
+
+
 class _Transitions(dict):
     def __init__(self, annotate, limit: int) -> None:
         super().__init__()
