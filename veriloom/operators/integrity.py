@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.sources.tables import settled
+
 
 def missing_refs(child: DataFrame, field: str, parent: DataFrame, key: str, *, is_list: bool = False) -> DataFrame:
     """Rows of ``child`` with a ``ref`` that no row of ``parent`` has as its key; null refs are skipped."""
@@ -99,36 +101,51 @@ def resolve_first(ids: DataFrame, field: str, sources: Sequence[tuple[str, DataF
     return out.withColumn("found_in", F.coalesce(*(F.when(F.col(f"__in{i}"), F.lit(name)) for i, (name, _, _) in enumerate(sources)), F.lit("missing"))).drop(*(f"__in{i}" for i in range(len(sources))))
 
 
-def chains(df: DataFrame, key: str, parent: str, *, limit: int = 10_000) -> DataFrame:
+def chains(df: DataFrame, key: str, parent: str, *, limit: int | None = None) -> DataFrame:
     """``key, root, depth, cycle``: each row's walk up its single parent.
 
     Pointer doubling: every round joins each row with the row it points to, so a
-    chain of n links takes log2(n) rounds.  ``cycle`` marks walks that never
-    end.  A parent that is no row ends the walk above it.  Each key is one row.
+    chain of n links takes log2(n) rounds, each written and read again.
+    ``cycle`` marks walks that never end: those longer than the table (or than
+    ``limit``).  A parent that is no row ends the walk above it.  Each key is one
+    row.
     """
     base = df.select(F.col(key).alias("key"), F.col(parent).alias("up"))
     known = base.select(F.col("key").alias("up"), F.lit(True).alias("known"))
     now = base.join(known, "up", "left").select("key", F.when(F.col("known"), F.col("up")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("bigint").alias("depth"), F.coalesce(F.when(F.col("known"), F.col("up")), "key").alias("root"))
+    limit = df.count() if limit is None else limit
     reach = 1
-    while reach < limit and not now.where("up IS NOT NULL").isEmpty():
+    while reach <= limit and not now.where("up IS NOT NULL").isEmpty():
         step = now.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        now = now.join(step, "up", "left").select("key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
-        if df.sparkSession.sparkContext.getCheckpointDir():
-            now = now.checkpoint()
+        now = settled(now.join(step, "up", "left").select("key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")))
         reach *= 2
     return now.select(F.col("key").alias(key), F.when(F.col("up").isNull(), F.col("root")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cycle"))
 
 
-def queue_view(df: DataFrame, kind: str, ranks: dict[str, int], order: Sequence[str]) -> DataFrame:
-    """Rows of the ranked kinds in order of rank, then ``order``, with their position ``pos``.
+def positions(df: DataFrame, order: Sequence[str], name: str = "pos", *, per_part: int = 100) -> DataFrame:
+    """``df`` with each row's position (from 1) in the given order, without a global sort.
 
-    Positions come from a range-partitioned sort: each partition's size is
-    counted, and a row's position is its rank in its partition after those.
+    A hash-chosen sample of ``per_part`` rows for each partition gives boundaries,
+    which become constants of the plan: so every evaluation deals rows to the
+    same ranges.  A position is a row's number in its range after the sizes of
+    the ranges before.
     """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [df.schema[c].dataType for c in order]
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(parts * per_part).orderBy(*order).collect()
+    step = max(1, len(sample) // parts)
+    bounds = [F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, kinds))) for row in sample[step::step][: parts - 1]]
+    key = F.struct(*order)
+    part = F.aggregate(F.transform(F.array(*bounds), lambda b: (b <= key).cast("int")), F.lit(0), lambda n, x: n + x) if bounds else F.lit(0)
+    dealt = df.withColumn("__part", part)
+    within = dealt.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("size"))
+    before = sizes.select("__part", F.coalesce(F.sum("size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return within.join(before, "__part").withColumn(name, (F.col("__before") + F.col("__at")).cast("bigint")).drop("__part", "__at", "__before")
+
+
+def queue_view(df: DataFrame, kind: str, ranks: dict[str, int], order: Sequence[str]) -> DataFrame:
+    """Rows of the ranked kinds in order of rank, then ``order``, with their position ``pos``."""
     rank = F.create_map(*(x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))))
-    rows = df.withColumn("rank", rank[F.col(kind)]).where("rank IS NOT NULL")
-    ordered = rows.repartitionByRange("rank", *order).withColumn("part", F.spark_partition_id())
-    within = ordered.withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("rank", *order)))
-    sizes = within.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return within.join(before, "part").withColumn("pos", (F.col("before") + F.col("at")).cast("bigint")).drop("part", "at", "before")
+    return positions(df.withColumn("rank", rank[F.col(kind)]).where("rank IS NOT NULL"), ["rank", *order])

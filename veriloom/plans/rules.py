@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.text import blank
 from veriloom.operators import integrity
+from veriloom.sources.tables import settled
 
 Tables = Mapping[str, DataFrame]
 RULES: list[tuple[str, Callable[[Tables], DataFrame]]] = []
@@ -194,7 +195,6 @@ def standing_supersession(t: Tables) -> DataFrame:
     outside = found(members.join(same, ["up", "domain"], "left").where("up IS NOT NULL"), (F.col("inside").isNull(), say("I-2: disposition %s: set_standing supersedes outside its domain '%s'", "id", "domain")))
     groups = members.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("up").isNull()).alias("roots"), F.min("_ord").alias("_ord"), F.min(F.when(F.col("up").isNull(), F.col("id"))).alias("root"))
     roots = found(groups.where("n > 1"), (F.col("roots") != 1, say("I-2: domain '%s': %s supersession roots — standing policy must form one chain", "domain", F.col("roots").cast("string"))), subject="domain")
-    spark = members.sparkSession
     links = members.select(F.col("id").alias("cur"), "domain", F.col("up").alias("after"))
     walk = members.select("id", "_ord", "domain", F.array("id").alias("seen"), F.col("up").alias("cur"), F.lit(None).cast("string").alias("at"))
     done = None
@@ -204,10 +204,9 @@ def standing_supersession(t: Tables) -> DataFrame:
         over = walk.where("cur IS NULL")
         done = over if done is None else done.unionByName(over)
         walk = walk.where("cur IS NOT NULL").join(links, ["cur", "domain"], "left").select("id", "_ord", "domain", F.array_append("seen", F.col("cur")).alias("seen"), F.col("after").alias("cur"), "at")
-        rows = walk.collect() if walk.limit(1).count() else []  # standing policies: a bounded definition table
-        if not rows:
+        walk = settled(walk)
+        if walk.isEmpty():
             break
-        walk = spark.createDataFrame(rows, walk.schema)
     ended = done.join(groups.where("roots = 1").select("domain", "root"), "domain", "left")
     chains = found(
         ended,

@@ -8,3 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; filters and column choices reach its scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again: cuts lineage for good.
+
+    A folder is set only where the session names none (tests on one machine).
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root is None:
+        import tempfile
+
+        root = "file://" + tempfile.mkdtemp(prefix="veriloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
