@@ -71,3 +71,15 @@ def merge_feedback(runs: DataFrame, before: DataFrame, key: str, feedback: str)
     clean = lambda c: F.when(F.trim(c) != "", c)
     a, b = runs.select(key, clean(F.col(feedback)).alias("feedback")), before.select(key, clean(F.col(feedback)).alias("previous"))
     return a.join(b, key, "full_outer").where("feedback IS NOT NULL OR previous IS NOT NULL")
+
+
+def retry_score(df: DataFrame, group: Sequence[str], correct: Column) -> DataFrame:
+    """``group, correct, total, band``: right answers across retries; good from 0.8 on, fair from 0.5 on, else poor."""
+    out = df.groupBy(*group).agg(F.count_if(correct).alias("correct"), F.count("*").alias("total"))
+    share = F.col("correct") / F.col("total")
+    return out.withColumn("band", F.when(share >= 0.8, "good").when(share >= 0.5, "fair").otherwise("poor"))
+
+
+def wrong_triggers(results: DataFrame) -> DataFrame:
+    """Rows of ``should, passed`` that failed: ``failed`` (should trigger) or ``false`` (should not)."""
+    return results.where(~F.col("passed")).withColumn("problem", F.when(F.col("should"), "failed").otherwise("false"))

@@ -438,3 +438,47 @@ def advance_stream(spark, d):
     run = stream(_inputs(source), *_book()).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(EVENTS).parquet(f"{place}/out")
+
+
+@query("""SELECT p_partkey, CASE WHEN trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9.-]+', '-', 'g'), '-') = '' THEN 'x' ELSE trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9.-]+', '-', 'g'), '-') END AS slug,
+  left(sha256(p_name || '|' || p_brand), 16) AS key FROM part""")
+def slug_and_key(spark, d):
+    both = F.concat_ws(" / ", "p_name", "p_brand")
+    return table(spark, d, "part").select("p_partkey", text.slug(both).alias("slug"), F.substring(F.sha2(F.concat_ws("|", "p_name", "p_brand"), 256), 1, 16).alias("key"))
+
+
+@query("""SELECT page_id, p LIKE '/en/%' OR p = '/en' AS inside FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '(.)/$', '\\1') AS p FROM pages)""")
+def path_within(spark, d):
+    path = F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    return table(spark, d, "pages").select("page_id", text.within(path, F.lit("/en")).alias("inside"))
+
+
+@query("""SELECT o_custkey, sum((o_orderstatus = 'F')::INT)::BIGINT AS correct, count(*) AS total,
+  CASE WHEN avg((o_orderstatus = 'F')::INT) >= 0.8 THEN 'good' WHEN avg((o_orderstatus = 'F')::INT) >= 0.5 THEN 'fair' ELSE 'poor' END AS band FROM orders GROUP BY 1""")
+def retry_score(spark, d):
+    return stats.retry_score(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
+
+
+@query("""SELECT event_type, user_id, sha256(string_agg('{"event_id":' || event_id || ',"k":' || (props->>'k') || ',"user_id":' || user_id || '}', chr(10) ORDER BY event_id)) AS sha256 FROM events WHERE user_id < 20 GROUP BY ALL""")
+def canonical_rows(spark, d):
+    from veriloom.operators.derive import canonical_json
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    line = canonical_json({"user_id": F.col("user_id"), "k": k, "event_id": F.col("event_id")})
+    rows = table(spark, d, "events").where("user_id < 20").select("event_type", "user_id", "event_id", line.alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
+    return rows.groupBy("event_type", "user_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+
+
+@query("""SELECT o_orderkey, unnest(list_filter([CASE WHEN o_custkey % 3 <> 0 THEN 'I-26: initiator is not the operator principal' END,
+  CASE WHEN o_orderstatus = 'P' THEN 'I-26: ambient-originated initiation' END, CASE WHEN o_orderstatus = 'O' THEN 'I-26: unknown initiation origin' END,
+  CASE WHEN o_orderpriority > '3' THEN 'I-26: principal is not dyad-or-human (agents excluded)' END, CASE WHEN o_orderkey % 2 = 0 THEN 'I-26: drive not invoked through a strapped Harness' END], lambda x: x IS NOT NULL)) AS finding FROM orders""")
+def record_findings(spark, d):
+    from veriloom.operators.records import initiation
+
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_custkey") % 3 == 0, "operator").alias("initiator"),
+        F.when(F.col("o_orderstatus") == "P", "ambient").when(F.col("o_orderstatus") == "O", "odd").otherwise("operator-direct").alias("origin"),
+        F.when(F.col("o_orderpriority") > "3", "agent").otherwise("dyad-or-human").alias("principal"), (F.col("o_orderkey") % 2 == 1).alias("harness_strapped"),
+    )
+    return initiation(rows, ["o_orderkey"])
