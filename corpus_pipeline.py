@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veriloom.llm import line_dedup, minhash_dedup, packing, quality_rules, secret_scans
 from veriloom.llm.columns import documents, shared_table
+from veriloom.shipping import ship
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir))
