@@ -280,8 +280,16 @@ def advance_stream(inputs: DataFrame, book: RunBook, tools: Mapping[str, Tool])
     Needs the RocksDB state store provider.  Delivery is at least once, so tools
     must be idempotent.
     """
+    import sys
+
+    from pyspark import cloudpickle
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+    # Spark sets a processor up in a process of its own that doesn't get files sent
+    # to executors, so the machine's code travels with the processor.
+    for module in (sys.modules[__name__], guards):
+        cloudpickle.register_pickle_by_value(module)
+
     class Stepper(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.kept = handle.getValueState("run", StructType([StructField("dump", StringType())]))
