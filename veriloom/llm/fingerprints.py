@@ -182,31 +182,33 @@ def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differ) / (n_a + n_b + differ))
 
 
-def with_next(df: DataFrame, *, bucket_rows: int = 4096, broadcast_rows: int = 200_000) -> DataFrame:
+def with_next(df: DataFrame, *, bucket_rows: int = 512, most_buckets: int = 50_000) -> DataFrame:
     """``id, text, th, ...`` with each row's successor in falling id order: ``next_*`` columns.
 
-    Ids are dealt to buckets of about ``bucket_rows``; a window in each bucket
+    Ids are dealt to buckets of about ``bucket_rows``, or of more rows where that
+    would make more than ``most_buckets`` of them; a window in each bucket
     finds successors, and the head of each bucket is sent to the bucket before
     it (the first bucket's to the last).  Only ids and counts are gathered.  The
-    heads are at most two rows of four numbers a bucket; they are broadcast if
-    that bound is within ``broadcast_rows``, else joined.
+    heads are at most two rows of four numbers a bucket, so they are broadcast.
+    The number of partitions is given: what follows is heavy for the bytes it
+    reads, and adaptive execution would put small tables into one task.
     """
     row = df.agg(F.min("id"), F.max("id"), F.count("*"), F.count("id")).first()
     low, high, n = row[0] or 0, row[1] or 0, row[2]
-    buckets = max(1, -(-n // bucket_rows))
+    buckets = min(most_buckets, max(1, -(-n // bucket_rows)))
     width = max(1, -(-(high - low + 1) // buckets))
     dealt = df.withColumn("bucket", F.coalesce(F.floor((F.lit(high) - F.col("id")) / F.lit(width)), F.lit(buckets) + F.pmod("th", F.lit(buckets))).cast("bigint"))
     heads = dealt.groupBy("bucket").agg(F.max("id").alias("head"), F.min(F.when(F.col("id").isNull(), F.col("th"))).alias("head_th"))
     order = W.orderBy("bucket")
     heads = heads.select("bucket", "head", "head_th", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
-    few = F.broadcast if 2 * buckets <= broadcast_rows else (lambda table: table)
-    ghosts = dealt.join(few(heads), "bucket").where("id = head OR (head IS NULL AND th = head_th)").drop("bucket", "head", "head_th").withColumnRenamed("to", "bucket")
+    ghosts = dealt.join(F.broadcast(heads), "bucket").where("id = head OR (head IS NULL AND th = head_th)").drop("bucket", "head", "head_th").withColumnRenamed("to", "bucket")
     both = dealt.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
+    both = both.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
     by = W.partitionBy("bucket").orderBy("ghost", F.col("id").desc_nulls_last(), "th")
     return both.select("*", *(F.lead(c).over(by).alias(f"next_{c}") for c in df.columns if c not in ("id", "th"))).where("NOT ghost").drop("ghost", "bucket")
 
 
-def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 8, word_chars: int = 200, bucket_rows: int = 4096) -> DataFrame:
+def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 8, word_chars: int = 200, bucket_rows: int = 512) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
