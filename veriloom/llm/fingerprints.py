@@ -1,9 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines, and lines after the ends of sentences, in long texts runs of
-them with content-defined ends; words in very short texts) are digested to 64 bits.  Each digest is
-added to one cell in each of three parts of a sketch; a cell holds a count, the
-digests' XOR and their checks' XOR.  Two sketches subtract cell by cell: what
+A text's paragraphs (lines, and lines after the ends of sentences, in long texts
+runs of them with content-defined ends; words in very short texts) are digested
+to 64 bits.  Each digest is added to one cell in each of three parts of a sketch;
+a cell holds a count, the digests' XOR and their checks' XOR.  Two sketches subtract cell by cell: what
 they share cancels, and peeling cells that hold one digest recovers the digests
 that differ.  If the small sketch that is the fingerprint can't be peeled, both
 texts are sketched again, larger, until it can.  With d differing digests of a
