@@ -150,6 +150,23 @@ def test_fingerprints(spark, docs, edge, none):
     assert fingerprints.edited_fingerprints(edge).count() == edge.count() and fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_likeness_across_text_sizes(spark):
+    """Long texts are compared by the sets of their units, pairs across a border by one rule."""
+    units = [f"Unit number {i} of a text stands here. " for i in range(200)]
+    a, b, c = "".join(units[:55]), "".join(units[:50]), "".join(units[:150])
+    short, more = "".join(units[:5]), "".join(units[:6])
+    assert len(b) < 2000 < len(a) and len(short) < 200 < len(more)
+    texts = [a, b, c, a, more, short, more, c, "A text."]
+    df = spark.createDataFrame(list(enumerate(reversed(texts))), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(df).collect()}
+    units_of = lambda t, words: {p.rstrip() for p in re.split(" " if words else fingerprints.PARAGRAPH_END, t)} - {""}
+    for i, (text, after) in enumerate(zip(texts, texts[1:])):
+        k, row = len(text) // 2, got[len(texts) - 1 - i]
+        for near, other in ((row.near_next, after), (row.near_edited, text[: len(text) - k] + after[:k])):
+            x, y = (units_of(t, max(len(text), len(other)) < 200) for t in (text, other))
+            assert near == pytest.approx(len(x & y) / len(x | y))
+
+
 def test_peel_recovers_differences(spark):
     from pyspark.sql import functions as F
 

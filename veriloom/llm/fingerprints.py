@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines, and lines after the ends of sentences, in long texts
-runs of them with content-defined ends; words in very short texts) are digested
-to 64 bits.  Each digest is added to one cell in each of three parts of a sketch;
+A text's paragraphs (lines, and lines after the ends of sentences; words in very
+short texts) are digested to 64 bits.  Two texts are compared by words if both are
+very short, else both by lines and sentences, so that both sides of a pair are
+always digested by one rule.  Each digest is added to one cell in each of three parts of a sketch;
 a cell holds a count, the digests' XOR and their checks' XOR.  Two sketches subtract cell by cell: what
 they share cancels, and peeling cells that hold one digest recovers the digests
 that differ.  If the small sketch that is the fingerprint can't be peeled, both
@@ -35,28 +36,11 @@ PARAGRAPH_END = r"(?<=\n)|(?<=[.!?|] )"
 _PARTS = 3
 
 
-def digests(text: Column, *, word_chars: int = 200, join_chars: int = 2000, join: int = 6) -> Column:
-    """Sorted distinct 64-bit digests of the paragraphs of a text (null: none).
-
-    Units are words in texts under ``word_chars`` characters, lines and
-    sentences in others.  From ``join_chars`` on a paragraph ends after a unit
-    whose hash is 0 modulo ``join``, so it holds ``join`` units on average and
-    its ends move with it; in shorter texts each unit is one.
-    """
-    short = F.length(text) < word_chars
-    pattern = F.when(short, F.lit(r"(?<=[ \n])")).otherwise(F.lit(PARAGRAPH_END))
+def digests(text: Column, words: Column) -> Column:
+    """Sorted distinct 64-bit digests of the words of a text, or of its lines and sentences (null: none)."""
+    pattern = F.when(words, F.lit(r"(?<=[ \n])")).otherwise(F.lit(PARAGRAPH_END))
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), pattern, -1), bare), lambda p: p != "")
-
-    def paragraphs(h: Column) -> Column:
-        ends = F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (i == F.size(h)) | (F.pmod(F.get(h, i - 1), F.lit(join)) == 0))
-
-        def whole(e: Column) -> Column:
-            start = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get(e, i - 1) + 1)
-            return F.transform(e, lambda end, i: F.xxhash64(F.slice(h, start(i), end - start(i) + 1)))
-
-        return F.when((F.length(text) < join_chars) | (F.size(h) == 0), h).otherwise(let(ends, whole))
-
-    return F.array_sort(F.array_distinct(let(F.transform(parts, lambda p: F.xxhash64(p)), paragraphs)))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
 
 
 def _place(key: Column, part: int, width: Column, salt: int) -> Column:
@@ -68,14 +52,23 @@ def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(-1))
 
 
+def _block(width: Column) -> Column:
+    """Cells in a block: about the square root of a part's width."""
+    return F.ceil(F.sqrt(width)).cast("int")
+
+
 def _items(keys: Column, signs: Callable[[Column], tuple[Column, Column]], width: Column, salt: int) -> Column:
-    """Of each element its count and digest (by ``signs``), the digest's check, and its cell in each part."""
+    """Of each element its count and digest (by ``signs``), the digest's check, and its cell and the block of that cell in each part."""
+
+    def of(size: Column) -> Column:
+        def item(key: Column) -> Column:
+            c, k = signs(key)
+            at = F.struct(c.alias("c"), k.alias("k"), _check(k).alias("x"), *(_place(k, p, width, salt).alias(f"p{p}") for p in range(_PARTS)))
+            return let(at, lambda t: F.struct(*(t[f].alias(f) for f in ("c", "k", "x", *(f"p{p}" for p in range(_PARTS)))), *(F.floor((t[f"p{p}"] - 1) / size).cast("int").alias(f"b{p}") for p in range(_PARTS))))
 
-    def item(key: Column) -> Column:
-        c, k = signs(key)
-        return F.struct(c.alias("c"), k.alias("k"), _check(k).alias("x"), *(_place(k, p, width, salt).alias(f"p{p}") for p in range(_PARTS)))
+        return F.transform(keys, item)
 
-    return F.transform(keys, item)
+    return let(_block(width), of)
 
 
 def _put(items: Column, part: int, at: Column, cell: Column) -> Column:
@@ -85,16 +78,27 @@ def _put(items: Column, part: int, at: Column, cell: Column) -> Column:
         (c["c"] + t["c"]).alias("c"), c["k"].bitwiseXOR(t["k"]).alias("k"), c["x"].bitwiseXOR(t["x"]).alias("x")))
 
 
+def _add(cells: Column, items: Column, part: int, width: Column) -> Column:
+    """The cells of a part with the items added; a cell only looks at its block's items."""
+
+    def of(size: Column) -> Column:
+        def one(block: Column) -> Column:
+            some = F.slice(cells, block * size + 1, size)
+            own = F.filter(items, lambda t: t[f"b{part}"] == block)
+            return let(own, lambda o: F.when(F.size(o) == 0, some).otherwise(let(block * size + 1, lambda first: F.transform(some, lambda c, i: _put(o, part, first + i, c)))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((width - 1) / size).cast("int")), one))
+
+    return let(_block(width), of)
+
+
 def sketch(keys: Column, width: Column, salt: int = 0) -> Column:
     """The sketch of an array of digests: a struct of three parts of ``width`` cells."""
     empty = F.struct(F.lit(0).alias("c"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("x"))
-    cells = F.sequence(F.lit(1), width.cast("int"))
+    cells = F.array_repeat(empty, width.cast("int"))
 
     def parts(items: Column) -> Column:
-        def part(p: int) -> Column:
-            return F.transform(cells, lambda at: _put(items, p, at, empty)).alias(f"p{p}")
-
-        return F.struct(*map(part, range(_PARTS)))
+        return let(cells, lambda none: F.struct(*(_add(none, items, p, width).alias(f"p{p}") for p in range(_PARTS))))
 
     return let(_items(keys, lambda k: (F.lit(1), k), width, salt), parts)
 
@@ -127,11 +131,8 @@ def peel(cells: Column, width: Column, salt: int = 0, *, rounds: int = 48) -> Co
         def out(items: Column) -> Column:
             one_side = lambda sign: F.transform(F.filter(items, lambda t: t["c"] == sign), lambda t: t["k"])
 
-            def part(p: int) -> Column:
-                return F.transform(s["cells"][f"p{p}"], lambda c, i: _put(items, p, i + 1, c)).alias(f"p{p}")
-
             return F.struct(
-                F.struct(*map(part, range(_PARTS))).alias("cells"),
+                F.struct(*(_add(s["cells"][f"p{p}"], items, p, width).alias(f"p{p}") for p in range(_PARTS))).alias("cells"),
                 F.concat(s["a"], one_side(-1)).alias("a"), F.concat(s["b"], one_side(1)).alias("b"), (F.size(items) > 0).alias("more"),
             )
 
@@ -213,30 +214,47 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next``.  The edited text has its second half replaced by
-    the start of the next document's text.
+    the start of the next document's text.  A fingerprint is made of a text's own
+    words if it has under ``word_chars`` characters.
     """
+    short = F.length("text") < word_chars
     base = (
         df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-        .withColumn("th", F.xxhash64("text")).withColumn("keys", digests(F.col("text"), word_chars=word_chars))
+        .withColumn("th", F.xxhash64("text"))
+        .withColumn("short", short).withColumn("keys", digests(F.col("text"), F.col("short")))
+        .withColumn("lines", F.when(F.col("short"), digests(F.col("text"), F.lit(False))))
     )
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = (
         with_next(base, bucket_rows=bucket_rows).withColumn("n_chars", F.length("text"))
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("next_text", F.lit(1), half)))
-        .select("id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited"), word_chars=word_chars).alias("edited_keys"))
+        .withColumn("edited_short", F.length("edited") < word_chars)
+        .select(
+            "id", "n_chars", "short", "keys", "lines", "next_short", "next_keys", "next_lines", F.sha2("edited", 256).alias("edited_sha256"), "edited_short",
+            digests(F.col("edited"), F.col("edited_short")).alias("edited_keys"), F.when(F.col("edited_short"), digests(F.col("edited"), F.lit(False))).alias("edited_lines"),
+        )
     )
     w = F.lit(width)
     cells = edited.select(
-        "*", plan(F.col("keys"), F.col("edited_keys")).alias("edited_plan"), plan(F.col("keys"), F.col("next_keys")).alias("next_plan"),
-        *(sketch(F.col(c), w).alias(c.replace("keys", "cells")) for c in ("keys", "edited_keys", "next_keys")),
+        "*", *(sketch(F.col(f"{side}keys"), w).alias(f"{side}cells") for side in ("", "edited_", "next_")),
+        *(F.when(F.col(f"{side}short"), sketch(F.col(f"{side}lines"), w)).alias(f"{side}line_cells") for side in ("", "edited_", "next_")),
     )
 
+    def pair(other: str) -> Column:
+        """Digests and sketches of both sides: by lines and sentences if only one of them is short."""
+        apart = F.col("short") != F.col(f"{other}_short")
+        by = lambda side, lines, own: F.when(apart, F.coalesce(side + lines, side + own)).otherwise(F.col(side + own))
+        return F.struct(*(by(side, lines, own).alias(f"{name}_{own}") for name, side in (("a", ""), ("b", f"{other}_")) for lines, own in (("lines", "keys"), ("line_cells", "cells")))).alias(other)
+
+    pairs = cells.select("*", *map(pair, ("edited", "next")))
+    planned = pairs.select("*", *(plan(F.col(f"{other}.a_keys"), F.col(f"{other}.b_keys")).alias(f"{other}_plan") for other in ("edited", "next")))
+
     def differ(other: str) -> Column:
-        return differing(F.col("keys"), F.col(f"{other}_keys"), F.col("cells"), F.col(f"{other}_cells"), width, F.col(f"{other}_plan.n"), F.col(f"{other}_plan.w"))
+        return differing(*(F.col(f"{other}.{c}") for c in ("a_keys", "b_keys", "a_cells", "b_cells")), width, F.col(f"{other}_plan.n"), F.col(f"{other}_plan.w"))
 
-    counted = cells.select("*", *(differ(other).alias(f"{other}_differ") for other in ("edited", "next")))
+    counted = planned.select("*", *(differ(other).alias(f"{other}_differ") for other in ("edited", "next")))
     return counted.select(
         F.col("id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
         text_of(F.col("cells")).alias("fingerprint"), text_of(F.col("edited_cells")).alias("edited_fingerprint"),
-        *(likeness(F.size("keys"), F.size(f"{other}_keys"), F.col(f"{other}_differ")).alias(f"near_{other}") for other in ("edited", "next")),
+        *(likeness(F.size(f"{other}.a_keys"), F.size(f"{other}.b_keys"), F.col(f"{other}_differ")).alias(f"near_{other}") for other in ("edited", "next")),
     )
