@@ -175,6 +175,19 @@ def test_peel_recovers_differences(spark):
     assert r.ok and sorted(r.a) == [1, 5 << 40] and list(r.b) == [4 << 20]
 
 
+def test_groups_that_never_peel(spark):
+    """A text of many groups, in sketches too small for any of them, still gets its count."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(-(2**62), 2**62, 2500).tolist() for _ in range(2))
+    b[:500] = a[:500]
+    df = spark.createDataFrame([(a, b, 39, 2), (a, b, 39, 94), (a, a, 39, 2)], "a array<bigint>, b array<bigint>, n int, w int")
+    cells = [fingerprints.sketch(F.col(c), F.lit(8)) for c in "ab"]
+    got = df.select(fingerprints.differing(F.col("a"), F.col("b"), *cells, 8, F.col("n"), F.col("w")).alias("d")).collect()
+    assert [r.d for r in got] == [4000, 4000, 0]
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     sf = "/root/testdata/sf0.001"
     now = docs

@@ -7,7 +7,8 @@ always digested by one rule.  Each digest is added to one cell in each of three
 a cell holds a count, the digests' XOR and their checks' XOR.  Two sketches subtract cell by cell: what
 they share cancels, and peeling cells that hold one digest recovers the digests
 that differ.  If the small sketch that is the fingerprint can't be peeled, both
-texts are sketched again, larger, until it can.  With d differing digests of a
+texts are sketched again, larger and by groups of digests; a group that two larger
+sketches don't peel is compared digest by digest.  With d differing digests of a
 and b, likeness is (a + b - d) / (a + b + d), the share that the texts have in
 common.
 
@@ -160,23 +161,28 @@ def plan(a: Column, b: Column, *, group: int = 128) -> Column:
 
 
 def differing(a: Column, b: Column, cells_a: Column, cells_b: Column, width: int, n: Column, w: Column, *, retries: int = 2) -> Column:
-    """How many digests differ, from the sketches given or else from larger ones (null: none of them peeled).
+    """How many digests differ, from the sketches given or else from larger ones.
 
     ``n`` and ``w``: columns of a ``plan``.  Larger sketches of many digests are
-    made by groups, by hash, so that no sketch grows with the text.
+    made by groups, by hash, so that no sketch grows with the text.  Each group is
+    retried on its own, twice as large each time; the digests of a group that
+    still can't be peeled are compared themselves.
     """
 
-    def larger(k: int) -> Column:
-        wide = w * 2 ** (k - 1)
+    def peeled(cells: Column, w: Column, salt: int) -> Column:
+        return let(peel(cells, w, salt), lambda r: F.when(r["ok"], F.size(r["a"]) + F.size(r["b"])))
 
-        def of(own_a: Column, own_b: Column) -> Column:
-            return let(peel(subtract(sketch(own_a, wide, k), sketch(own_b, wide, k)), wide, k), lambda r: F.when(r["ok"], F.size(r["a"]) + F.size(r["b"])))
+    def group(own: Column) -> Column:
+        def larger(k: int) -> Column:
+            wide = w * 2 ** (k - 1)
+            return peeled(subtract(sketch(own["a"], wide, k), sketch(own["b"], wide, k)), wide, k)
 
-        own = lambda keys, g: F.filter(keys, lambda x: F.pmod(x, n) == g)
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda sum_, g: F.when(sum_.isNotNull(), sum_ + of(own(a, g), own(b, g))))
+        exact = F.size(F.array_except(own["a"], own["b"])) + F.size(F.array_except(own["b"], own["a"]))
+        return F.coalesce(*(larger(k) for k in range(1, retries + 1)), exact)
 
-    first = let(peel(subtract(cells_a, cells_b), F.lit(width)), lambda r: F.when(r["ok"], F.size(r["a"]) + F.size(r["b"])))
-    return F.coalesce(first, *(larger(k) for k in range(1, retries + 1)))
+    own = lambda keys, g: F.filter(keys, lambda x: F.pmod(x, n) == g)
+    grouped = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda sum_, g: sum_ + let(F.struct(own(a, g).alias("a"), own(b, g).alias("b")), group))
+    return F.coalesce(peeled(subtract(cells_a, cells_b), F.lit(width), 0), grouped)
 
 
 def likeness(n_a: Column, n_b: Column, differ: Column) -> Column:
