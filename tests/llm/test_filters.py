@@ -99,6 +99,15 @@ def test_secret_scan(spark, docs, edge):
     assert secret_scans.scan(docs.limit(0)).count() == 0
 
 
+def test_long_secret_values():
+    value = "".join("aZ3kQ9xLp7Rw"[i * i % 12] + "vT5" [i % 3] for i in range(700))
+    text = f"Bearer {value} and more"
+    assert [text[a:b] for a, b, _ in secret_scans.find(text)[1]] == [value]
+    assert secret_scans.redact(text, "[x]", 8) == "Bearer [x] and more"
+    inner = value[:400] + "_" + "ab12" * 8 + "_" + value  # a fixed span inside doesn't cover the value
+    assert secret_scans.redact(f"Bearer {inner} and more", "[x]", 8) == "Bearer [x] and more"
+
+
 def test_guess_cost_order():
     cost = secret_scans.guess_cost
     assert cost("aaaaaaaaaaaa") < cost("hunter2") < cost("x9$kQz!8vLp2") and cost("qwertyuiop") < 5 and cost("2024-01-31") <= 5

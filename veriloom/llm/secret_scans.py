@@ -32,7 +32,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _CUES = ("pass", "pwd", "secret", "token", "credential", "key", "bearer", "auth", "login")
 _CONTEXT = re.compile(
     r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[ _-]?key|bearer|auth(?:orization)?|login))["']?"""
-    r"""\s{0,4}(?:[:=]|=>|->|\b(?:is|was)\b|(?<=[Bb]earer))\s{0,4}["'`]?([^\s"'`<>]{6,256})"""
+    r"""\s{0,4}(?:[:=]|=>|->|\b(?:is|was)\b|(?<=[Bb]earer))\s{0,4}["'`]?([^\s"'`<>]{6,})"""
 )
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 _WORD = re.compile(r"[^\W\d_]{3,}")
@@ -115,7 +115,7 @@ def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float
         value = m[1].rstrip(".,;:!?)]}")
         a, b = m.start(1), m.start(1) + len(value)
         plain = value.isalpha() and (value.islower() or value.istitle())
-        if len(value) >= 6 and not plain and not any(s < b and a < e for s, e, _ in fixed) and guess_cost(value) >= min_guesses:
+        if len(value) >= 6 and not plain and not any(s <= a and b <= e for s, e, _ in fixed) and guess_cost(value) >= min_guesses:
             found.append((a, b, "guess"))
     return found
 
