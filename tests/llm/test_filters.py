@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from veriloom.llm import queries, quality_rules, secret_scans, toxicity, url_filters
 
@@ -108,6 +109,17 @@ def test_long_secret_values():
     assert secret_scans.redact(f"Bearer {inner} and more", "[x]", 8) == "Bearer [x] and more"
 
 
+@pytest.mark.parametrize("text", [
+    "Authorization: Bearer {}", "authorization: basic {}", '"Authorization": "Token {}"', "DB_PASSWORD={}", "AWS_SECRET_ACCESS_KEY={}", "dbPassword: {}", "BEARER {}",
+    "token_value = {}", "password: password: {}", "login: secret is {}", "MY-API-KEY-2 => {}",
+])
+def test_secret_contexts(text):
+    value = "p@ss!w0rd#x9K+vB7qLz2"
+    full = text.format(value)
+    assert [full[a:b] for a, b, k in secret_scans.find(full)[1] if k == "guess"] == [value]
+    assert secret_scans.find("the compass: northeast and author: unknownname")[1] == []
+
+
 def test_guess_cost_order():
     cost = secret_scans.guess_cost
     assert cost("aaaaaaaaaaaa") < cost("hunter2") < cost("x9$kQz!8vLp2") and cost("qwertyuiop") < 5 and cost("2024-01-31") <= 5

@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,10 +32,12 @@ _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CUES = ("pass", "pwd", "secret", "token", "credential", "key", "bearer", "auth", "login")
+#: A name that holds a cue, and what leads to its value (an authorization scheme too).  A name is matched from its start, once, so the work stays linear.
 _CONTEXT = re.compile(
-    r"""(?ai:\b(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|access|private|secret|auth)[ _-]?key|bearer|auth(?:orization)?|login))["']?"""
-    r"""\s{0,4}(?:[:=]|=>|->|\b(?:is|was)\b|(?<=[Bb]earer))\s{0,4}["'`]?([^\s"'`<>]{6,})"""
+    r"""(?ai:(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?:(?:api|access|private|secret|auth)[ _-]?key|pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|bearer|auth(?:orization)?(?![A-Za-z])|login)[A-Za-z0-9_-]*))["']?"""
+    r"""\s{0,4}(?:[:=]|=>|->|\b(?:is|was)\b|(?ai:(?<=bearer)))\s{0,4}["'`]?(?ai:(?:bearer|basic|digest|token|negotiate|apikey)\s{1,4}["'`]?)?(?=[^\s"'`<>]{6})"""
 )
+_VALUE = re.compile(r"""[^\s"'`<>]+""")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _REPEAT = re.compile(r"(.{1,4}?)\1{2,}", re.S)
@@ -110,13 +114,21 @@ def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float
     low = text.lower()
     if not any(cue in low for cue in _CUES):
         return []
-    found = []
-    for m in _CONTEXT.finditer(text):
-        value = m[1].rstrip(".,;:!?)]}")
-        a, b = m.start(1), m.start(1) + len(value)
-        plain = value.isalpha() and (value.islower() or value.istitle())
-        if len(value) >= 6 and not plain and not any(s <= a and b <= e for s, e, _ in fixed) and guess_cost(value) >= min_guesses:
-            found.append((a, b, "guess"))
+    found, at, run, end = [], 0, 0, 0
+    starts = [s for s, _, _ in fixed]
+    reach = list(accumulate((e for _, e, _ in fixed), max))
+    while m := _CONTEXT.search(text, at):
+        a = at = m.end()
+        if a >= run:  # else a value in a run of characters that was looked at before
+            run = _VALUE.match(text, a).end()
+            end = a + len(text[a:run].rstrip(".,;:!?)]}"))
+        before = bisect_right(starts, a)
+        if end - a < 6 or (before and reach[before - 1] >= end):
+            continue
+        value = text[a:end]
+        if not (value.isalpha() and (value.islower() or value.istitle())) and guess_cost(value) >= min_guesses:
+            found.append((a, end, "guess"))
+            at = run
     return found
 
 
