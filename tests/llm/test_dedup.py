@@ -123,6 +123,24 @@ def test_line_dedup(spark, docs, edge, none):
             assert gone and all(first[u.rstrip(" \n\r\t")] < r.doc_id for u in gone)
 
 
+def test_repeats_of_short_units(spark):
+    """Passages of short lines and table cells, and of one sentence, between lines that differ."""
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join("%03x" % rng.integers(4096) for _ in range(n))
+    verse = ["".join(words(3) + "\n" for _ in range(20)) for _ in range(12)]
+    table = ["".join(f"| {words(2)} | {words(1)} |\n" for _ in range(20)) for _ in range(4)]
+    once = [words(52) + ".\n" for _ in range(4)]
+    assert all(len(x) < 250 and len(x.split()) > 50 for x in once)
+    passages = verse + table + once
+    rows = [(100 * c + k, f"Here is the start of copy {c} of text {k} alone.\n{p}And the end of copy {c} of text {k} here.\n") for k, p in enumerate(passages) for c in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r.doc_id: r.c for r in line_dedup.remove_repeats(df, counts=("n", "c")).collect()}
+    share = lambda ks: np.mean([gone[100 * c + k] / len(passages[k]) for k in ks for c in (1, 2, 3)])
+    assert all(gone[k] == 0 for k in range(20))
+    assert share(range(12)) > 0.7 and share(range(12, 16)) > 0.7 and share(range(16, 20)) > 0.7
+    assert all(gone[100 * c + k] > 0 for k in range(16) for c in (1, 2, 3))
+
+
 def by_hand(text):
     parts = [p.rstrip(" \n\r\t") for p in re.split(r"(?<=[ \n])" if len(text) < 200 else fingerprints.PARAGRAPH_END, text)]
     return {p for p in parts if p}

@@ -2,14 +2,14 @@
 
 A text is cut into lines, and lines after the ends of sentences (so a passage
 set into the middle of a line still has whole units of its own).  A rolling hash
-over the hashes of two successive units chooses chunk boundaries, few of them
-after very short units; the choice depends on nearby units alone, so a passage
+over the hashes of two successive units chooses chunk boundaries, after one in three
+very short units and most others; the choice depends on nearby units alone, so a passage
 is cut alike wherever it stands, whatever stands before it.
 
 A chunk that occurs in several documents stays in the document of least id.
 Elsewhere it is removed if it is byte for byte the same (white space at units'
 ends aside) and belongs to a run of repeated chunks with at least two units (or
-one of ``long_chars`` characters) and ``min_chars`` characters.
+one of ``long_chars`` characters or ``long_words`` words) and ``min_chars`` characters.
 
 The chunks' hashes and places are written to the shared folder once, then those
 that repeat, so texts are cut once.  Shuffles: chunk hashes twice (8-byte keys;
@@ -50,18 +50,19 @@ def bare(unit: Column) -> Column:
     return F.rtrim(unit, F.lit(" \n\r\t"))
 
 
-def chunks(text: Column, *, short: int, sparse: int) -> Column:
+def chunks(text: Column, *, short: int, sparse: int, dense: int = 3) -> Column:
     """Array of ``s, e`` (first and last unit, from 1), ``n`` (characters) and ``h`` (hash).
 
     A unit of at least ``short`` characters ends a chunk unless the rolling hash
-    is 0 modulo ``sparse``, a shorter one only if it is.
+    is 0 modulo ``sparse``, a shorter one only if it is 0 modulo ``dense``; an
+    empty one goes with the next.
     """
 
     def cut(k: Column) -> Column:
         def ends(i: Column) -> Column:
             rolled = F.xxhash64(F.when(i > 1, F.get(k, i - 2)["h"]).otherwise(F.lit(0).cast("bigint")), F.get(k, i - 1)["h"])
-            chance = F.pmod(rolled, F.lit(sparse))
-            return (i == F.size(k)) | F.when(F.get(k, i - 1)["n"] >= short, chance != 0).otherwise(chance == 0)
+            n = F.get(k, i - 1)["n"]
+            return (i == F.size(k)) | F.when(n >= short, F.pmod(rolled, F.lit(sparse)) != 0).otherwise((n > 0) & (F.pmod(rolled, F.lit(dense)) == 0))
 
         def chunk(e: Column) -> Callable[[Column, Column], Column]:
             def one(end: Column, i: Column) -> Column:
@@ -87,7 +88,7 @@ def span_bytes(u: Column, start: Column, end: Column) -> Column:
 
 
 def remove_repeats(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, long_chars: int = 250, short: int = 20, sparse: int = 16, counts: tuple[str, str] | None = None
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 50, long_chars: int = 250, long_words: int = 50, short: int = 20, sparse: int = 16, counts: tuple[str, str] | None = None
 ) -> DataFrame:
     """``df`` with repeated chunks taken out of ``text_col``.
 
@@ -97,7 +98,7 @@ def remove_repeats(
     base = df.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*rest).alias("row")] if rest else [])
     ).withColumn("th", F.xxhash64("text"))
-    found = shared_table(base.where("text IS NOT NULL").select("id", "th", F.explode(chunks(F.col("text"), short=short, sparse=sparse)).alias("c")).where(f"c.n >= {short}").select("id", "th", "c.*"))
+    found = shared_table(base.where("text IS NOT NULL").select("id", "th", F.explode(chunks(F.col("text"), short=short, sparse=sparse)).alias("c")).where("c.n > 0").select("id", "th", "c.*"))
     shared = (
         found.groupBy("h").agg(F.min("id").alias("home"), F.max("id").alias("last"), F.count("id").alias("n_ids"), F.count("*").alias("n_all"))
         .where("home <> last OR (home IS NOT NULL AND n_ids < n_all)").select("h", "home")
@@ -121,13 +122,16 @@ def remove_repeats(
     joined = base.join(repeats, at("rid", "rth"), "left")
 
     def runs(m: Column) -> Column:
-        def stays(x: Column, i: Column) -> Column:
-            before, after = F.get(m, i - 1), F.get(m, i + 1)
-            left = F.coalesce(F.when(before["e"] + 1 == x["s"], before["n"]), F.lit(0))
-            right = F.coalesce(F.when(after["s"] - 1 == x["e"], after["n"]), F.lit(0))
-            return ((x["e"] > x["s"]) | (left + right > 0) | (x["n"] >= long_chars)) & (left + x["n"] + right >= min_chars)
+        """The repeated chunks that follow one another, joined, where they are large enough."""
+        one = lambda x: F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), F.size(F.split(x["bytes"], r"\s+")).alias("words")))
 
-        return F.filter(m, stays)
+        def follow(found: Column, x: Column) -> Column:
+            last = F.get(found, F.size(found) - 1)
+            both = F.struct(last["s"].alias("s"), x["e"].alias("e"), (last["n"] + x["n"]).alias("n"), last["words"].alias("words"))
+            return F.when(last["e"] + 1 == x["s"], F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(both))).otherwise(F.concat(found, one(x)))
+
+        none = F.array().cast("array<struct<s:int,e:int,n:int,words:int>>")
+        return F.filter(F.aggregate(m, none, follow), lambda r: ((r["e"] > r["s"]) | (r["n"] >= long_chars) | (r["words"] >= long_words)) & (r["n"] >= min_chars))
 
     def gone(u: Column) -> Column:
         same = F.filter("found", lambda x: span_bytes(u, x["s"], x["e"]) == x["bytes"])
