@@ -74,6 +74,20 @@ def test_near_duplicates_edges(spark, edge, none):
     assert by[0].n_shingles == 0 and by[0].kept and by[7].component_id == 6 and not by[7].kept and by[None].kept
 
 
+def test_links_through_a_null_id(spark):
+    """Of near copies the middle one has no id; it links the others, and is a copy itself."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(8):
+        base = ["w%d" % x for x in rng.integers(0, 10**6, 120)]
+        copies = [(None, base)] + [(10 * k + i, [*base[: 20 * i], "new%d" % i, *base[20 * i + 1 :]]) for i in range(1, 5)]
+        rows += [(d, " ".join(t)) for d, t in copies]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = minhash_dedup.near_duplicates(df).collect()
+    assert all(r.component_id == r.doc_id // 10 * 10 + 1 for r in got if r.doc_id is not None)
+    assert sorted(r.component_id for r in got if r.doc_id is None) == [10 * k + 1 for k in range(8)] and sum(r.kept for r in got) == 8
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (5, 5), (None, 1)] + [(100, i) for i in range(101, 140)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

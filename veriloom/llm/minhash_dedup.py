@@ -180,9 +180,12 @@ def postings(classes: DataFrame, needed: int) -> DataFrame:
 
 
 def candidate_sets(source: DataFrame, classes: DataFrame, posted: DataFrame, width: int) -> DataFrame:
-    """``key, members``: the full shingle sets (hashes, 8 bytes each) of all posted classes."""
-    wanted = classes.join(posted.select("key").distinct(), "key", "left_semi").where("rep IS NOT NULL").select(F.col("rep").alias("id"), "key")
-    texts = source.join(wanted, "id").select("key", "text")
+    """``key, members``: the full shingle sets (hashes, 8 bytes each) of all posted classes.
+
+    Texts of classes without any id are found by their key.
+    """
+    wanted = classes.join(posted.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("id"), "key")
+    texts = source.join(wanted.where("id IS NOT NULL"), "id").select("key", "text").union(source.where("id IS NULL").select(F.lit(None).cast("binary"), "text"))
 
     def run(batches):
         import pyarrow as pa
@@ -191,12 +194,14 @@ def candidate_sets(source: DataFrame, classes: DataFrame, posted: DataFrame, wid
             keys, members = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = shingle_set(text.as_py() or "", width)
-                if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == key:  # not another row of that id
-                    keys.append(key)
+                own = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+                if own == key or key is None:  # not another row of that id
+                    keys.append(own)
                     members.append(values.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
 
-    return texts.mapInArrow(run, StructType([StructField("key", BinaryType()), StructField("members", BinaryType())])).dropDuplicates(["key"])
+    found = texts.mapInArrow(run, StructType([StructField("key", BinaryType()), StructField("members", BinaryType())]))
+    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
