@@ -42,3 +42,17 @@ def test_text(spark):
     assert [one(text.update_policy(lit(m), lit(b), lit("minor"))) for m, b in (("auto", "patch"), ("auto", "major"), ("notify", "minor"), ("off", "major"), ("odd", "minor"), ("auto", "none"))] == ["apply", "notify", "notify", "skip", "abort", "skip"]
     assert [one(text.within(lit(p), lit("/a/b"))) for p in ("/a/b", "/a/b/c", "/a/bc", "/a/b/../c", "/a//b/x")] == [True, True, False, False, True]
     assert [one(text.mime_type(lit(p))) for p in ("x.JSON", "y", "z.png")] == ["application/json", "application/octet-stream", "image/png"]
+
+
+def test_every_item_of_an_array_is_checked(spark):
+    from veriloom.functions import documents
+
+    rows = [(json.dumps([1] * 99 + ["x"] + [2]),), (json.dumps([[1] * 70 + ["y"]]),)]
+    df = spark.createDataFrame(rows, "d string")
+    got = [df.select(documents.errors(F.col("d"), schema).alias("e")).collect()[i].e for i, schema in enumerate(({"items": {"type": "integer"}}, {"items": {"items": {"type": "integer"}}}))]
+    assert got == [["/99/: not integer"], ["/0/70/: not integer"]]
+    deep = {"type": "integer"}
+    for _ in range(13):
+        deep = {"items": deep}
+    with pytest.raises(ValueError):
+        documents.errors(F.col("d"), deep)

@@ -17,11 +17,11 @@ KEYWORDS = {"$schema", "$id", "$ref", "$defs", "title", "description", "type", "
 _KIND = {"string": "^STRING", "integer": "^(BIGINT|INT|SMALLINT|TINYINT)", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN", "null": "^VOID", "array": "^ARRAY", "object": "^OBJECT"}
 
 
-def errors(document: Column, schema: Mapping, *, items: int = 64) -> Column:
+def errors(document: Column, schema: Mapping) -> Column:
     """Array of ``path: error`` for a JSON text column.
 
-    Objects and scalars are checked by path; an array's items up to index
-    ``items - 1`` (use ``exploded`` for longer ones, a row for each item).
+    Objects and scalars are checked by path, and every item of an array
+    (``exploded`` gives a row for each item).  A schema that nests too deeply is refused.
     """
     defs = schema.get("$defs", {})
 
@@ -56,9 +56,9 @@ def errors(document: Column, schema: Mapping, *, items: int = 64) -> Column:
             inner = F.try_variant_get(value, f"$['{name}']", "variant")
             there = F.coalesce(F.array_contains(keys, name), F.lit(False))
             parts.append(F.when(there, at(inner, child, f"{path}/{name}", depth + 1)).otherwise(F.array().cast("array<string>")))
-        if "items" in node and depth < 6:
+        if "items" in node:
             members = F.try_variant_get(value, "$", "array<variant>")
-            checked = F.transform(F.slice(F.coalesce(members, F.array().cast("array<variant>")), 1, items), lambda m, i: F.transform(at(m, node["items"], "", depth + 1), lambda e: F.concat(F.lit(f"{path}/"), i.cast("string"), e)))
+            checked = F.transform(F.coalesce(members, F.array().cast("array<variant>")), lambda m, i: F.transform(at(m, node["items"], "", depth + 1), lambda e: F.concat(F.lit(f"{path}/"), i.cast("string"), e)))
             parts.append(F.flatten(checked))
         rest = F.concat(*parts)
         if "type" in node:
