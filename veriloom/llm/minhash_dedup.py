@@ -10,11 +10,14 @@ values are skipped while merging and only looked up when a pair's agreements are
 counted.  Pairs over the match threshold are confirmed on full shingle sets.
 
 No list is expanded into all its pairs.  First each member meets the list's
-centre (the class whose values are the most common); confirmed links give
-components.  Members of one list that are still in different components meet only
-if what each lacks and adds, next to the centre's set, leaves a link between them
-possible (``apart``; an exact bound).  So a list of thousands of copies of one
-text costs thousands of pairs, and no link is lost to a cap.
+centre (the class whose values are the most common) on full sets; what is kept of
+it is the difference between its set and the centre's.  Members that are linked to
+the centre are in one component and need not meet one another.  Those that are not
+(*far* ones) meet the others of that centre in blocks of bounded size (``crossed``):
+their agreements are counted, and pairs over the match threshold are confirmed by
+the exact size of their intersection, which two differences from one set give.  A
+block emits a spanning forest of its links.  So a list of thousands of copies of
+one text costs thousands of rows, and no link is lost to a cap.
 
 Defined results: a null, empty or blank text has no shingles, is linked with
 nothing and is its own component; a text with fewer words than a shingle has one
@@ -32,7 +35,7 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, ShortType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from veriloom.llm.columns import drop_table, map_texts, shared_table
 from veriloom.llm.graph import components
@@ -127,32 +130,21 @@ def near_duplicates(
     their union; ``kept`` marks the row with the component's own id.
     """
     needed = needed_matches(coordinates, percent / 100, miss)
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     base = shared_table(signatures(source, width=width, coordinates=coordinates, id_col="id", text_col="text"))
-    classes = shared_table(
-        base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("coords").alias("coords"))
-    )
+    classes = shared_table(base.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n_rows"), F.first("coords").alias("coords")))
     posted = shared_table(postings(classes, needed))
-    sets = shared_table(candidate_sets(source, classes, posted, width))
-
-    centre = posted.groupBy("value").agg(F.max(F.struct("score", "key")).alias("top")).select("value", F.col("top.key").alias("b"))
-    star = posted.select("value", F.col("key").alias("a")).join(centre, "value").where("a <> b").select("a", "b").distinct()
-    links = shared_table(confirmed(star, classes, sets, needed, percent))
-    roots = shared_table(components(links))
-
-    # Members of one list that the centre did not bring together.
-    placed = posted.select("value", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    spread = placed.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("value")
-    around = placed.join(spread, "value", "left_semi").join(centre, "value").select(F.col("b").alias("centre"), "key", "root").distinct()
-    cross = apart(shared_table(differences(around, sets)), percent)
-    more = shared_table(confirmed(cross, classes, sets, needed, percent))
-    if not more.isEmpty():
-        roots = shared_table(components(links.union(more)))
+    sets = shared_table(candidate_sets(source, posted, width, coordinates))
+    star = shared_table(stars(posted, sets, needed, percent))
+    links = shared_table(star.where("linked").select("a", "b").union(crossed(star, needed, percent)))
+    roots = components(links)
 
     named = classes.select("key", "rep", "n_rows").join(roots.withColumnRenamed("node", "key"), "key", "left")
     least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
     lone = named.where("root IS NULL AND n_rows > 1").select("key", F.col("rep").alias("component_id"))
-    final = named.where("root IS NOT NULL").join(least, "root").select("key", "component_id").union(lone)
+    final = shared_table(named.where("root IS NOT NULL").join(least, "root").select("key", "component_id").union(lone))
+    for done in (classes, posted, sets, star, links, roots):
+        drop_table(done)
     return (
         base.select("id", "n_shingles", "key").join(final, "key", "left")
         .select(
@@ -163,136 +155,175 @@ def near_duplicates(
 
 
 def postings(classes: DataFrame, needed: int) -> DataFrame:
-    """``value, key, score``: each class under its rarest shared values.
+    """``key, rep, score, posts``: each class with its rarest shared values, under which it is posted.
 
     ``score`` sums how common the class's values are; the text that a group of
     copies was made from scores highest among them.
     """
-    values = classes.select("key", F.explode("coords").alias("value"))
+    values = classes.select("key", "rep", F.explode("coords").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     return (
         values.join(shared, "value")
-        .groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("own"))
+        .groupBy("key").agg(F.first("rep").alias("rep"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("own"))
         .where(F.size("own") >= needed)
-        .select("key", F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("score"), F.explode(F.slice("own", 1, F.size("own") - (needed - 1))).alias("post"))
-        .select(F.col("post.value").alias("value"), "key", "score")
+        .select(
+            "key", "rep", F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("score"),
+            F.transform(F.slice("own", 1, F.size("own") - (needed - 1)), lambda x: x["value"]).alias("posts"),
+        )
     )
 
 
-def candidate_sets(source: DataFrame, classes: DataFrame, posted: DataFrame, width: int) -> DataFrame:
-    """``key, members``: the full shingle sets (hashes, 8 bytes each) of all posted classes.
+def candidate_sets(source: DataFrame, posted: DataFrame, width: int, coordinates: int) -> DataFrame:
+    """``key, coords, members``: signatures and full shingle sets (hashes, 8 bytes each) of all posted classes.
 
-    Texts of classes without any id are found by their key.
+    Texts are found by the id of their class's ``rep``.  Those of classes without
+    any id are found by their key, which all rows without an id are digested for.
     """
-    wanted = classes.join(posted.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("id"), "key")
-    texts = source.join(wanted.where("id IS NOT NULL"), "id").select("key", "text").union(source.where("id IS NULL").select(F.lit(None).cast("binary"), "text"))
+    digested = StructType([StructField("key", BinaryType()), StructField("coords", BinaryType()), StructField("members", BinaryType())])
 
     def run(batches):
         import pyarrow as pa
 
+        odd = multipliers(coordinates)
         for batch in batches:
-            keys, members = [], []
+            keys, coords, members = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = shingle_set(text.as_py() or "", width)
                 own = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-                if own == key or key is None:  # not another row of that id
+                if len(values) and (own == key or key is None):  # not another row of that id
                     keys.append(own)
+                    coords.append(signature(values, odd).tobytes())
                     members.append(values.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(members, pa.binary())], names=["key", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (keys, coords, members)], names=digested.names)
+
+    def digest(texts: DataFrame) -> DataFrame:
+        return texts.mapInArrow(run, digested)
 
-    found = texts.mapInArrow(run, StructType([StructField("key", BinaryType()), StructField("members", BinaryType())]))
-    return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    named = digest(source.join(posted.where("rep IS NOT NULL").select(F.col("rep").alias("id"), "key"), "id").select("key", "text"))
+    nameless = digest(source.where("id IS NULL").select(F.lit(None).cast("binary").alias("key"), "text")).join(posted.where("rep IS NULL").select("key"), "key", "left_semi")
+    return named.union(nameless).dropDuplicates(["key"])
 
 
-def differences(around: DataFrame, sets: DataFrame) -> DataFrame:
-    """``centre, key, root, size, gone, added, places``: how each member's set differs from its centre's.
+def stars(posted: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
+    """``a, b, linked, n, coords, apart``: each class ``a`` beside the centres ``b`` of the lists that it is in.
 
-    ``places``: how many of the shingles gone, then of those added, have each of
-    the values of their hashes' first bits.
+    ``linked``: enough agreements, and enough in common on full sets.  ``apart``:
+    the hashes that only one of both sets has; ``n`` and ``coords`` are ``a``'s.
+    A class is in few lists (no more than it has posts), so its centres are
+    gathered by class and the pairs meet ``a``'s set where they are.
     """
-    both = around.join(sets.toDF("key", "own"), "key").join(sets.toDF("centre", "middle"), "centre").select("centre", "key", "root", "own", "middle")
     out = StructType(
-        [StructField(c, BinaryType()) for c in ("centre", "key", "root")] + [StructField("size", LongType()), StructField("gone", LongType()), StructField("added", ArrayType(LongType())), StructField("places", ArrayType(ShortType()))]
+        [StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("linked", BooleanType()), StructField("n", IntegerType()), StructField("coords", BinaryType()), StructField("apart", BinaryType())]
     )
+    listed = posted.select("key", "score", F.explode("posts").alias("value"))
+    centre = listed.groupBy("value").agg(F.max(F.struct("score", "key")).alias("top")).select("value", F.col("top.key").alias("b"))
+    pairs = listed.select("value", F.col("key").alias("a")).join(centre, "value").where("a <> b").groupBy("a").agg(F.collect_set("b").alias("b"))
+    one = pairs.join(sets.toDF("a", "ca", "sa"), "a").select("a", F.explode("b").alias("b"), "ca", "sa")
+    both = one.join(sets.toDF("b", "cb", "sb"), "b").select("a", "b", "ca", "sa", "cb", "sb")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            size, gone, added, places = [], [], [], []
-            for own, middle in zip(batch.column(3), batch.column(4)):
-                x, c = np.frombuffer(own.as_buffer(), _U), np.frombuffer(middle.as_buffer(), _U)
-                new, lost = np.setdiff1d(x, c, assume_unique=True), np.setdiff1d(c, x, assume_unique=True)
-                size.append(len(c))
-                gone.append(len(lost))
-                added.append(new.view(np.int64))
-                places.append(np.concatenate([np.bincount((part >> _U(57)).astype(np.int64), minlength=128) for part in (lost, new)]).clip(max=32767))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).cast(pa.binary()) for i in range(3)), pa.array(size), pa.array(gone), pa.array(added, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int16()))],
-                names=["centre", "key", "root", "size", "gone", "added", "places"],
-            )
+            linked, sizes, apart = [], [], []
+            for ca, sa, cb, sb in zip(*(batch.column(i) for i in range(2, 6))):
+                x, y = np.frombuffer(sa.as_buffer(), _U), np.frombuffer(sb.as_buffer(), _U)
+                agree = int((np.frombuffer(ca.as_buffer(), _U) == np.frombuffer(cb.as_buffer(), _U)).sum())
+                rest = np.setxor1d(x, y, assume_unique=True)
+                common = (len(x) + len(y) - len(rest)) // 2
+                linked.append(agree >= needed and 100 * common >= percent * (len(x) + len(y) - common))
+                sizes.append(len(x))
+                apart.append(rest.tobytes())
+            columns = [batch.column(0).cast(pa.binary()), batch.column(1).cast(pa.binary()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), batch.column(2).cast(pa.binary()), pa.array(apart, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return both.mapInArrow(run, out)
 
 
-def apart(diffs: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of one centre and different components that may still be linked.
+def crossed(star: DataFrame, needed: int, percent: int, *, least_rows: int = 256, most_rows: int = 4096, most_hashes: int = 1 << 22) -> DataFrame:
+    """``a, b``: a spanning forest of the links between a centre's far members and its other members.
 
-    With a centre of C shingles of which x lacks R and to which x adds A, and y
-    likewise, the common shingles number C - Rx - Ry + s and the union's
-    C + Ax + Ay - s, where s counts what both lack and what both add.  So x and y
-    are linked only if (100 + p) s >= Wx + Wy - (100 - p) C with
-    W = 100 R + p A; and s is at most min(Rx, Ry) + min(ax, ay), where a counts
-    the added shingles that any other member adds as well.  A closer bound sums
-    the lesser count of each place (``differences``).  Copies edited apart from
-    one another share too little to pass, however many there are.
+    A centre's far and linked members are dealt by hash to blocks of about
+    ``least_rows`` (more, up to ``most_rows``, around centres with very many
+    members), and of no more than about ``most_hashes`` differing hashes.  Each
+    pair of blocks, at least one of them of far members, is one group.  So a task
+    holds two blocks, whatever the size of the list.
     """
-    p, each = percent, diffs.select("centre", "key", F.explode("added").alias("shingle"))
-    also = each.groupBy("centre", "shingle").agg(F.count("*").alias("n")).where("n > 1").select("centre", "shingle")
-    again = each.join(also, ["centre", "shingle"]).groupBy("centre", "key").agg(F.count("*").alias("a"))
-    w = 100 * F.col("gone") + p * F.size("added")
-    rows = (
-        diffs.join(again, ["centre", "key"], "left")
-        .select("centre", "key", "root", "size", "gone", "places", F.coalesce("a", F.lit(0)).alias("a"), w.alias("w"))
-        .withColumn("over", F.col("w") - (100 - p) * F.col("size")).withColumn("slack", (100 + p) * (F.col("gone") + F.col("a")) - F.col("w"))
-    )
-    # Two members that are both linked to the centre are in one component: of a pair one is over.
-    limits = rows.groupBy("centre").agg(F.max("slack").alias("most"), F.min(F.when(F.col("over") > 0, F.col("over"))).alias("least"))
-    rows = rows.join(limits, "centre").where("over <= most AND (over > 0 OR slack >= least)")
-    x, y = (rows.select("centre", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "root", "gone", "a", "w", "over", "places")), *(["size"] if side == "x" else [])) for side in "xy")
-    wanted = F.col("w_x") + F.col("w_y") - (100 - p) * F.col("size")
-    both = F.zip_with("places_x", "places_y", lambda m, n: F.least(m, n).cast("int"))
-    at = lambda first: F.aggregate(F.slice(both, first, 128), F.lit(0), lambda total, m: total + m)
-    return (
-        x.join(y, "centre").where("key_x < key_y AND root_x <> root_y AND (over_x > 0 OR over_y > 0)")
-        .where((100 + p) * (F.least("gone_x", "gone_y") + F.least("a_x", "a_y")) >= wanted)
-        .where((100 + p) * (at(1) + F.least(at(129), "a_x", "a_y")) >= wanted)
-        .select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct()
-    )
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, needed: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` that are linked, by sizes, then agreements, then full sets."""
-    one = classes.select("key", "n", "coords")
-    near = (
-        pairs.join(one.toDF("a", "na", "ca"), "a").join(one.toDF("b", "nb", "cb"), "b")
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .where(F.size(F.array_intersect("ca", "cb")) >= needed)
-        .select("a", "b")
+    rows = F.count_if("linked"), F.count_if(~F.col("linked"))
+    hashes = (F.sum(F.when(test, F.length("apart"))) / 8 for test in (F.col("linked"), ~F.col("linked")))
+    counts = star.groupBy("b").agg(*(c.alias(n) for c, n in zip((*rows, *hashes), ("near_rows", "far_rows", "near_hashes", "far_hashes"))))
+    held = F.least(F.lit(most_rows), F.greatest(F.lit(least_rows), F.ceil((F.col("near_rows") + F.col("far_rows")) / 64)))
+    blocks = lambda side: F.ceil(F.greatest(F.col(f"{side}_rows") / held, F.coalesce(F.col(f"{side}_hashes"), F.lit(0)) / most_hashes)).cast("int")
+    counts = counts.where("far_rows > 0 AND near_rows + far_rows > 1").select("b", blocks("far").alias("n_far"), blocks("near").alias("n_near"))
+    own = F.when(F.col("linked"), F.col("n_far") + F.pmod(F.xxhash64("a"), F.greatest("n_near", F.lit(1)))).otherwise(F.pmod(F.xxhash64("a"), "n_far")).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("linked"), F.col("n_far")).otherwise(F.col("n_far") + F.col("n_near")) - 1)
+    dealt = (
+        star.join(counts, "b").withColumn("own", own).withColumn("other", F.explode(others))
+        .select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "linked", "n", "coords", "apart")
     )
-    both = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for i, (sa, sb) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = np.frombuffer(sa.as_buffer(), _U), np.frombuffer(sb.as_buffer(), _U)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            taken = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([taken.column(0).cast(pa.binary()), taken.column(1).cast(pa.binary())], names=["a", "b"])
-
-    return both.mapInArrow(run, StructType([StructField("a", BinaryType()), StructField("b", BinaryType())]))
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
+
+    def run(table):
+        return _forest(table, needed, percent)
+
+    return dealt.groupBy("b", "i", "j").applyInArrow(run, out)
+
+
+def _forest(table, needed: int, percent: int, tile: int = 512, wide: int = 4096):
+    """The links of one pair of blocks, each component joined to one of its members (or to the centre)."""
+    import pyarrow as pa
+
+    keys, centre = table.column("a").to_pylist(), table.column("b")[0].as_py()
+    own, linked, n = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("own", "linked", "n"))
+    first, second = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+    coords = np.stack([np.frombuffer(c, _U) for c in table.column("coords").to_pylist()])
+    apart = [np.frombuffer(x, _U) for x in table.column("apart").to_pylist()]
+    lengths = np.array([len(x) for x in apart])
+    label = np.where(linked, -1, np.arange(len(keys)))  # -1: linked to the centre
+    xs, ys = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    for at in range(0, len(xs), tile):
+        for to in range(at if first == second else 0, len(ys), tile):
+            x, y = xs[at : at + tile], ys[to : to + tile]
+            agree = np.zeros((len(x), len(y)), np.int16)
+            for c in range(coords.shape[1]):
+                agree += coords[x, c][:, None] == coords[y, c][None, :]
+            near = (agree >= needed) & (label[x][:, None] != label[y][None, :])
+            rows, cols = near.any(axis=1), near.any(axis=0)
+            if not rows.any():
+                continue
+            x, y, near = x[rows], y[cols], near[np.ix_(rows, cols)]
+            common = _common([apart[i] for i in x], [apart[i] for i in y], wide)
+            total = n[x][:, None] + n[y][None, :]
+            inside = (total - (lengths[x][:, None] + lengths[y][None, :] - 2 * common)) // 2
+            near &= 100 * inside >= percent * (total - inside)
+            for r in np.flatnonzero(near.any(axis=1)):
+                met = np.unique(label[np.append(y[near[r]], x[r])])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+    edges = [i for i in np.flatnonzero(~linked) if label[i] != i]
+    ends = [centre if label[i] < 0 else keys[label[i]] for i in edges]
+    return pa.table({"a": pa.array([keys[i] for i in edges], pa.binary()), "b": pa.array(ends, pa.binary())})
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray], wide: int) -> np.ndarray:
+    """How many hashes each of ``x`` and each of ``y`` have in common: a product of 0/1 matrices over the hashes that both sides have."""
+    (vx, ox), (vy, oy) = ((np.concatenate(side), np.repeat(np.arange(len(side)), [len(s) for s in side])) for side in (x, y))
+    shared = np.intersect1d(vx, vy)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(shared):
+        return out
+    places = []
+    for values, owners in ((vx, ox), (vy, oy)):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owners[hit][order]))
+    for low in range(0, len(shared), wide):
+        sides = []
+        for (at, owners), count in zip(places, (len(x), len(y))):
+            a, b = np.searchsorted(at, [low, low + wide])
+            m = np.zeros((count, min(wide, len(shared) - low)), np.float32)
+            m[owners[a:b], at[a:b] - low] = 1
+            sides.append(m)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
