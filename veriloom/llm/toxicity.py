@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers mark the words of a clause: insults (a lexicon learned from
-labels, and a seed), threats, targets, negation and reported speech.  Composed,
-they make one machine that reads a clause word by word; its state is how far back
-the last negation and target were and whether speech is reported, and it emits
-one weighted pattern for each insult or threat it passes.  A document's patterns
-are summed over its matched clauses, and a logistic model fitted on labelled
-rows turns the sums into a score from 0 to 1.
+Words are read as classes: insults (a lexicon learned from labels, and a seed),
+threats, targets, negations, reports and modals.  Small transducers over classes
+mark what surrounds a word: a negation, a target or a modal a few words back, a
+target a few words ahead, reported speech before or after.  ``compose`` makes one
+machine of those that read from the left and one of those that read from the
+right; together with the word's own class their marks name the arc that is taken
+at an insult or a threat, its pattern and its weight (``Grammar.clause``).  A
+document's arcs are summed by pattern over its matched clauses, and a logistic
+model fitted on labelled rows turns the sums into a score from 0 to 1.
 
 The lexicon and the model are fitted on at most ``max_labelled`` labelled rows,
 chosen by a hash of the id; every document is then scored over its whole text.
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -30,21 +33,83 @@ from pyspark.sql import functions as F
 
 from veriloom.llm.columns import map_texts
 
-#: Fixed word lists of the small transducers.
+#: Fixed word lists of the classes.
 SEED_INSULTS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile")
 THREATS = ("kill", "hurt", "destroy", "murder", "attack", "stab", "shoot", "burn", "beat")
 TARGETS = ("you", "your", "yours", "he", "she", "they", "him", "her", "them", "people", "u", "tu", "vous", "du", "ihr", "usted")
 NEGATIONS = ("not", "no", "never", "without", "hardly", "isn", "aren", "wasn", "don", "didn", "pas", "jamais", "nicht", "kein", "nunca")
 REPORTS = ("said", "says", "wrote", "claimed", "reported", "according", "quoted", "called", "alleged")
-#: Patterns that the composed machine emits.
+MODALS = ("will", "ll", "gonna", "going", "shall", "should", "must", "werde", "vais", "voy")
+#: Classes of words; a word is of the first list that holds it.
+OTHER, INSULT, THREAT, NEGATION, TARGET, REPORT, MODAL = range(7)
+#: Patterns that the arcs of the grammar belong to.
 PATTERNS = ("insult", "insult_target", "insult_negated", "insult_reported", "threat", "threat_target", "clauses")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_REACH = 4
+#: How many words a negation reaches ahead, a modal ahead, a target both ways.
+NEGATED, MEANT, AIMED = 3, 3, 4
 #: Length of the word beginnings that the lexicon also holds.
 STEM = 4
 
 
+class Machine(NamedTuple):
+    """A deterministic transducer over classes; state 0 is the start.
+
+    ``moves[state][class]`` is the next state, ``marks[state]`` what it says of
+    the word that is read next.
+    """
+
+    moves: tuple[tuple[int, ...], ...]
+    marks: tuple[tuple[bool, ...], ...]
+
+
+def reaching(kind: int, words: int) -> Machine:
+    """Marks the ``words`` words that follow one of the class: states count down from it."""
+    return Machine(tuple(tuple(words if c == kind else max(0, state - 1) for c in range(7)) for state in range(words + 1)), tuple((state > 0,) for state in range(words + 1)))
+
+
+def lasting(kind: int) -> Machine:
+    """Marks all words that follow one of the class."""
+    return Machine(tuple(tuple(int(state or c == kind) for c in range(7)) for state in (0, 1)), ((False,), (True,)))
+
+
+def compose(*machines: Machine) -> Machine:
+    """One machine that runs all of them at once: the reachable states of their product."""
+    start = (0,) * len(machines)
+    states, moves = {start: 0}, []
+    order = [start]
+    for now in order:
+        row = []
+        for c in range(7):
+            after = tuple(m.moves[s][c] for m, s in zip(machines, now))
+            if after not in states:
+                states[after] = len(order)
+                order.append(after)
+            row.append(states[after])
+        moves.append(tuple(row))
+    return Machine(tuple(moves), tuple(tuple(x for m, s in zip(machines, now) for x in m.marks[s]) for now in order))
+
+
+#: Read from the left: negation, target, report, modal; from the right: target, report.
+BEFORE = compose(reaching(NEGATION, NEGATED), reaching(TARGET, AIMED), lasting(REPORT), reaching(MODAL, MEANT))
+AFTER = compose(reaching(TARGET, AIMED), lasting(REPORT))
+
+
+def arc(kind: int, before: tuple[bool, ...], after: tuple[bool, ...]) -> tuple[str, float]:
+    """The pattern of an insult or threat among these marks, and the arc's weight."""
+    negated, aimed, reported, meant = before
+    aimed, reported = aimed or after[0], reported or after[1]
+    if kind == INSULT:
+        return "insult_negated" if negated else "insult_reported" if reported else "insult_target" if aimed else "insult", 1.0
+    if aimed and not negated and not reported:
+        return "threat_target", 1.5 if meant else 1.0
+    return "threat", 0.2
+
+
+#: The composed grammar's arcs: pattern and weight by class, state from the left and state from the right.
+ARCS = {kind: tuple(tuple(arc(kind, b, a) for a in AFTER.marks) for b in BEFORE.marks) for kind in (INSULT, THREAT)}
+
+
 @dataclass(frozen=True)
 class Grammar:
     """The learned lexicon (words and word beginnings with weights) and the model's weights."""
@@ -57,24 +122,23 @@ class Grammar:
     def weight(self, word: str) -> float:
         return self.words.get(word) or (self.stems.get(word[:STEM], 0.0) if len(word) > STEM else 0.0)
 
+    def kind(self, word: str) -> int:
+        return INSULT if self.weight(word) else _CLASS.get(word, OTHER)
+
     def clause(self, words: list[str]) -> dict[str, float]:
-        """Weights of the patterns that the composed machine emits on one clause."""
+        """Sums of the weights of the arcs taken on one clause, by pattern."""
+        kinds = [self.kind(w) for w in words]
+        behind, state = [0] * len(words), 0
+        for i in range(len(words) - 1, -1, -1):
+            behind[i] = state
+            state = AFTER.moves[state][kinds[i]]
         out: dict[str, float] = {}
-        negated = targeted = _REACH + 1  # words since the last one
-        reported = not _REPORTS.isdisjoint(words)
-        ahead = [i for i, w in enumerate(words) if w in _TARGETS]
-        for i, w in enumerate(words):
-            negated, targeted = (0 if w in _NEGATIONS else negated + 1), (0 if w in _TARGETS else targeted + 1)
-            near = targeted <= _REACH or any(i < j <= i + _REACH for j in ahead)
-            if weight := self.weight(w):
-                kind = "insult_negated" if negated <= _REACH - 1 else "insult_reported" if reported else "insult_target" if near else "insult"
-            elif w in _THREATS and near and negated > _REACH - 1 and not reported:
-                weight, kind = 1.0, "threat_target"
-            elif w in _THREATS:
-                weight, kind = 0.2, "threat"
-            else:
-                continue
-            out[kind] = out.get(kind, 0.0) + weight
+        state = 0
+        for word, kind, right in zip(words, kinds, behind):
+            if kind in ARCS:
+                pattern, weight = ARCS[kind][state][right]
+                out[pattern] = out.get(pattern, 0.0) + weight * (self.weight(word) if kind == INSULT else 1.0)
+            state = BEFORE.moves[state][kind]
         return out
 
     def features(self, text: str) -> list[float]:
@@ -95,7 +159,8 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_THREATS, _TARGETS, _NEGATIONS, _REPORTS = map(frozenset, (THREATS, TARGETS, NEGATIONS, REPORTS))
+_CLASS = {w: kind for kind, words in ((MODAL, MODALS), (REPORT, REPORTS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (THREAT, THREATS)) for w in words}
+_THREATS = frozenset(THREATS)
 DEFAULT = Grammar({w: 1.0 for w in SEED_INSULTS}, {}, -3.0, (3.0, 3.5, 0.5, 1.0, 0.0, 3.0, 0.5))
 
 
@@ -151,7 +216,9 @@ def learn(
     The labels picked are at most ``max_labelled`` rows of two numbers, so they
     are broadcast and the texts stay where they are.
     Words that at least ``share`` of the positive rows hold, with at least this
-    ``precision``, enter the lexicon (at most ``size``).
+    ``precision`` (more where most labels are positive), enter the lexicon (at
+    most ``size``).  The model is fitted on at most twice as many rows (ids may
+    repeat), chosen by a hash of the row.
     """
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(~held_out(id_col))
@@ -162,11 +229,11 @@ def learn(
     n, pos = labelled.agg(F.count("*"), F.sum("label")).first()
     if not n or not 0 < pos < n:
         return DEFAULT
-    words, stems = lexicon(labelled, least=max(4, math.ceil(share * pos)), precision=max(precision, 1.5 * pos / n), size=size)
+    words, stems = lexicon(labelled, least=max(4, math.ceil(share * pos)), precision=max(precision, (1 + pos / n) / 2), size=size)
     grammar = Grammar({**{w: 1.0 for w in SEED_INSULTS}, **words}, stems, 0.0, (0.0,) * len(PATTERNS))
     rows = map_texts(
         labelled.select(F.struct("id", "label").alias("key"), "text"), lambda: lambda texts: [[grammar.features(t) for t in texts]], "x array<double>", "key", "text"
-    ).select("key.id", "key.label", "x").limit(2 * max_labelled).collect()
+    ).select("key.id", "key.label", "x").orderBy(F.xxhash64("id", "label", "x"), "id", "label").limit(2 * max_labelled).collect()
     rows.sort(key=lambda r: (r["id"], r["label"], r["x"]))
     bias, weights = fit(np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows], float))
     return Grammar(grammar.words, stems, bias, weights)
