@@ -54,7 +54,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scans.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+    docs = documents(spark, sf_dir)
+    return secret_scans.scan(docs, words=secret_scans.ranked_words(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

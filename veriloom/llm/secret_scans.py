@@ -8,9 +8,15 @@ repeats, keyboard walks and brute-force spans, in powers of ten of guesses.
 Values at or over ``min_guesses`` become *guess* spans unless a fixed span
 already covers them.
 
+Words are ranked: first a fixed list that guessers start with, then the corpus's
+own words by the number of documents that hold them (``ranked_words``, over all
+documents).  A word is also found inside a run of letters and behind the usual
+substitutions of digits and signs for letters.
+
 Defined results: a null or empty text has no spans; spans count code points, end
 exclusive; repeated rows each give a row; an empty table gives an empty result;
-other columns are neither read nor returned by ``scan``; a null id stays null.
+other columns are neither read nor returned by ``scan``; a null id stays null;
+without texts there are no ranked words.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import hashlib
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -40,7 +46,7 @@ _CONTEXT = re.compile(
 _VALUE = re.compile(r"""[^\s"'`<>]+""")
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-_REPEAT = re.compile(r"(.{1,4}?)\1{2,}", re.S)
+_REPEAT = re.compile(r"(.{1,16}?)\1+", re.S)
 _VOWEL = re.compile(r"[aeiouyà-ÿ]", re.I)
 #: Rows of a keyboard, and words that guessers try first.
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -49,34 +55,69 @@ _WALKS = {a + b for row in (*ROWS, "abcdefghijklmnopqrstuvwxyz", "0123456789") f
 _WALKS |= {w[::-1] for w in _WALKS}
 
 
-def guess_cost(value: str, cap: int = 128) -> float:
+#: Signs that stand for letters.
+FOLDED = str.maketrans("013457@$!", "oieastasi")
+#: Ranks of the fixed words.
+BASE = {w: i + 1 for i, w in enumerate(COMMON)}
+_LONGEST = 16
+
+
+def ranks(words: Iterable[str]) -> dict[str, int]:
+    """Words with their ranks: the fixed list, then ``words``."""
+    out = dict(BASE)
+    for word in words:
+        out.setdefault(word, len(out) + 1)
+    return out
+
+
+def ranked_words(df: DataFrame, *, text_col: str = "text", size: int = 20_000, least: int = 4) -> list[str]:
+    """The corpus's ``size`` most common words of ``least`` to 16 letters (lower case), by documents that hold them.
+
+    Counts cover all documents; what comes to the driver, and goes back to the
+    executors with the function, is the list alone, bounded by ``size``.
+    """
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`").cast("string")), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{_LONGEST}}}(?!\p{{L}})"), F.lit(0)))
+    counts = df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()]
+
+
+def _lowered(value: str) -> str:
+    """Lower case, character by character (a letter with a longer lower case stays)."""
+    low = value.lower()
+    return low if len(low) == len(value) else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+
+
+def _word_spans(value: str, low: str, rank: Mapping[str, int]) -> Iterator[tuple[int, int, float]]:
+    """Spans of ranked words and of runs of letters that read like words, with their costs."""
+    folded = low.translate(FOLDED)
+    case = lambda part: 0.0 if part == part.lower() or part == part.upper() or part == part.title() else 0.5 * sum(c.isupper() for c in part)
+    for m in _WORD.finditer(folded):
+        for a in range(m.start(), m.end() - 2):
+            for b in range(a + 3, min(a + _LONGEST, m.end()) + 1):
+                if place := rank.get(folded[a:b]):
+                    signs = sum(x != y for x, y in zip(low[a:b], folded[a:b]))
+                    yield a, b, max(1.0, math.log10(place)) + 0.5 + 0.5 * signs + case(value[a:b])
+    for m in _WORD.finditer(low):
+        word = m[0]
+        if len(_VOWEL.findall(word)) * 5 >= len(word) and not re.search(r"[^aeiouyà-ÿ]{5}", word):
+            yield m.start(), m.end(), 3.0 + 0.25 * len(word) + case(value[m.start() : m.end()])
+
+
+def guess_cost(value: str, rank: Mapping[str, int] = BASE) -> float:
     """log10 of the guesses that the cheapest segmentation of ``value`` needs.
 
-    Spans: common words (tens), word-like letter runs (thousands, with a vowel),
-    dates (four powers), repeats (their unit's cost and the count), keyboard
-    walks of four keys or more, and brute force by character class.  Each
-    further span costs a factor of ten.  Values longer than ``cap`` are scored
-    in pieces of ``cap`` whose costs add up, so the work stays in proportion.
+    Spans: ranked words (their rank), word-like letter runs (thousands, with a
+    vowel), dates (four powers), repeats (their unit's cost and the count),
+    keyboard walks of four keys or more, and brute force by character class.
+    Each further span costs a factor of ten.  The work is in proportion to the
+    value's length.
     """
-    if len(value) > cap:
-        return sum(guess_cost(value[i : i + cap], cap) for i in range(0, len(value), cap))
-    n, low = len(value), value.lower()
-    spans: list[tuple[int, int, float]] = []
-    for m in _WORD.finditer(value):
-        a, b = m.span()
-        word = low[a:b]
-        letters = value[a:b]
-        mixed = 0.0 if letters in (word, letters.upper(), letters.title()) else 0.5 * sum(x.isupper() for x in letters)
-        if word in COMMON:
-            spans.append((a, b, 1.5 + mixed))
-        elif len(_VOWEL.findall(word)) * 5 >= len(word) and not re.search(r"[^aeiouyà-ÿ]{5}", word):
-            spans.append((a, b, 3.0 + 0.25 * len(word) + mixed))
-        for common in COMMON:
-            if (at := word.find(common)) >= 0:
-                spans.append((a + at, a + at + len(common), 1.5 + mixed))
+    n, low = len(value), _lowered(value)
+    spans = list(_word_spans(value, low, rank))
     spans += [(*m.span(), 4.0) for m in _DATE.finditer(value)]
     for m in _REPEAT.finditer(value):
-        spans.append((*m.span(), guess_cost(m[1]) + math.log10(len(m[0]) / len(m[1]))))
+        if len(m[0]) >= max(6, 3 * min(len(m[1]), 2)):
+            spans.append((*m.span(), guess_cost(m[1], rank) + math.log10(len(m[0]) / len(m[1]))))
     start = 0
     for i in range(1, n + 1):
         if i == n or low[i - 1 : i + 1] not in _WALKS:
@@ -109,7 +150,7 @@ def fixed_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float, rank: Mapping[str, int] = BASE) -> list[tuple[int, int, str]]:
     """Values in credential contexts that cost ``min_guesses`` powers of ten or more."""
     low = text.lower()
     if not any(cue in low for cue in _CUES):
@@ -126,16 +167,16 @@ def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float
         if end - a < 6 or (before and reach[before - 1] >= end):
             continue
         value = text[a:end]
-        if not (value.isalpha() and (value.islower() or value.istitle())) and guess_cost(value) >= min_guesses:
+        if not (value.isalpha() and (value.islower() or value.istitle())) and guess_cost(value, rank) >= min_guesses:
             found.append((a, end, "guess"))
             at = run
     return found
 
 
-def find(text: str, min_guesses: float = 8.0) -> tuple[list, list]:
+def find(text: str, min_guesses: float = 8.0, rank: Mapping[str, int] = BASE) -> tuple[list, list]:
     """(fixed spans, all spans), each sorted."""
     fixed = fixed_spans(text)
-    more = guess_spans(text, fixed, min_guesses)
+    more = guess_spans(text, fixed, min_guesses, rank)
     return fixed, sorted(fixed + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1])) if more else fixed
 
 
@@ -147,32 +188,35 @@ def _mapped(df: DataFrame, one: Callable[[str], tuple], schema: str, id_col: str
     return map_texts(df, lambda: lambda texts: list(map(list, zip(*map(one, texts)))), schema, id_col, text_col)
 
 
-def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = 8.0) -> DataFrame:
-    """``id_col, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` of every row."""
+def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_guesses: float = 8.0, words: Iterable[str] = ()) -> DataFrame:
+    """``id_col, n_assign, n_access, n_hex, n_guess, base_sha256, spans`` of every row; ``words``: ranked words."""
+    rank = ranks(words)
 
     def one(text: str) -> tuple:
-        fixed, spans = find(text, min_guesses)
+        fixed, spans = find(text, min_guesses, rank)
         kinds = [k for _, _, k in spans]
         return (*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(fixed).encode()).hexdigest(), joined(spans))
 
     return _mapped(df, one, "n_assign bigint, n_access bigint, n_hex bigint, n_guess bigint, base_sha256 string, spans string", id_col, text_col)
 
 
-def redact(text: str, mask: str, min_guesses: float) -> str:
+def redact(text: str, mask: str, min_guesses: float, rank: Mapping[str, int] = BASE) -> str:
     out, at = [], 0
-    for a, b, _ in find(text, min_guesses)[1]:
+    for a, b, _ in find(text, min_guesses, rank)[1]:
         if b > at:
             out += [text[at : max(a, at)], mask if a >= at else ""]
             at = b
     return "".join(out) + text[at:]
 
 
-def redacted(df: DataFrame, *, text_col: str = "text", mask: str = "[secret]", min_guesses: float = 8.0) -> DataFrame:
+def redacted(df: DataFrame, *, text_col: str = "text", mask: str = "[secret]", min_guesses: float = 8.0, words: Iterable[str] = ()) -> DataFrame:
     """``df`` with every span in ``text_col`` replaced by ``mask``; null stays null; all columns stay."""
     from pyspark.sql.functions import pandas_udf
 
+    rank = ranks(words)
+
     @pandas_udf("string")
     def masked(texts):
-        return texts.map(lambda t: None if t is None else redact(t, mask, min_guesses))
+        return texts.map(lambda t: None if t is None else redact(t, mask, min_guesses, rank))
 
-    return df.withColumn(text_col, masked(F.col(text_col).cast("string")))
+    return df.withColumn(text_col, masked(F.col(f"`{text_col}`").cast("string")))
