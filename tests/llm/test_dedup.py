@@ -95,15 +95,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def removed_by_hand(rows):
-    """The chunks' hashes don't matter to a plain version but for the boundaries, which Spark computes."""
-    first = {}
-    for doc, chunk_list in sorted(rows.items()):
-        for key, *_ in chunk_list:
-            first.setdefault(key, doc)
-    return first
-
-
 def test_line_dedup(spark, docs, edge, none):
     passage = "Alpha beta gamma delta one. Epsilon zeta eta theta two. Iota kappa lambda mu three. Nu xi omicron pi four.\nRho sigma tau upsilon five. Phi chi psi omega six. Last of the long passage seven. And one more line eight.\n"
     rows = [(i, f"Own start number {i} of a text here.\n{passage}Own end number {i} of the text there.\n") for i in range(6)] + [(10, "A clean text.\nWith lines of its own.\n"), (11, None)]
@@ -116,7 +107,7 @@ def test_line_dedup(spark, docs, edge, none):
     got = line_dedup.remove_repeats(docs)
     assert got.columns == docs.columns and got.count() == docs.count()
     assert line_dedup.remove_repeats(edge).count() == edge.count() and line_dedup.remove_repeats(none).count() == 0
-    # What is left is made of whole units of the text; what went stands in a document of smaller id.
+    # What is left is made of whole units of the text; what went stands in a document of smaller id, or earlier in this one.
     src = {r.doc_id: r.text for r in docs.collect()}
     cut = lambda t: [u for u in re.split(line_dedup.UNIT_END, t) if u]
     first = {}
@@ -134,7 +125,63 @@ def test_line_dedup(spark, docs, edge, none):
                         break
                     gone.append(v)
             gone += list(it)
-            assert gone and all(first[u.rstrip(" \n\r\t")] < r.doc_id for u in gone)
+            stays = {u.rstrip(" \n\r\t") for u in left}
+            assert gone and all(first[u.rstrip(" \n\r\t")] < r.doc_id or u.rstrip(" \n\r\t") in stays for u in gone)
+
+
+def left_by_hand(spark, rows, min_chars=50, long_chars=250, long_words=50):
+    """Texts after line dedup by plain Python, with the operator's chunk boundaries alone: what must go, and only that."""
+    from pyspark.sql import functions as F
+
+    texts = sorted({(i, t) for i, t in rows if t is not None}, key=str)
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    cut = df.select("id", "text", F.xxhash64("text").alias("th"), line_dedup.units(F.col("text")).alias("u"), line_dedup.chunks(F.col("text"), short=20, sparse=16).alias("c")).collect()
+    bare = lambda us: "\n".join(u.rstrip(" \n\r\t") for u in us)
+    first, found = {}, []
+    for r in cut:
+        for c in r.c:
+            if c.n > 0:
+                found.append(((r.id is None, r.id or 0, r.th, c.s), bare(r.u[c.s - 1 : c.e]), r, c))
+    for place, body, *_ in found:
+        first[body] = min(first.get(body, place), place)
+    out = {}
+    for r in cut:
+        gone = sorted((c.s, c.e, c.n, body) for place, body, q, c in found if q is r and place != first[body])
+        runs = []
+        for s, e, n, body in gone:
+            if runs and runs[-1][1] + 1 == s:
+                runs[-1][1:3] = e, runs[-1][2] + n
+            else:
+                runs.append([s, e, n, len(body.split())])
+        drop = {i for s, e, n, w in runs if n >= min_chars and (e > s or n >= long_chars or w >= long_words) for i in range(s, e + 1)}
+        out[r.id, r.text] = "".join(u for i, u in enumerate(r.u, 1) if i not in drop), len(drop)
+    return out
+
+
+def test_line_dedup_by_hand(spark, docs, edge):
+    """Every text against plain Python; rows given twice, ids given twice and ids that are null among them."""
+    rows = [(r.doc_id, r.text) for df in (docs, edge) for r in df.select("doc_id", "text").collect()]
+    some = [t for _, t in rows if t and 300 < len(t) < 3000][:20]
+    rows += rows[:40] + [(None, t) for t in some[:8]] + [(None, some[0]), (3, some[3]), (3, some[4])] + [(5000 + i, t + t) for i, t in enumerate(some)]
+    want = left_by_hand(spark, rows)
+    got = line_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("was", __import__("pyspark").sql.functions.col("text")), counts=("n", "c")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.was is None:
+            assert r.text is None and r.n == 0
+        else:
+            assert (r.text, r.n) == want[r.doc_id, r.was] and r.c == len(r.was) - len(r.text)
+    assert sum(r.n > 0 for r in got) > 60
+
+
+def test_whole_runs_go(spark):
+    """A shared passage of three short units goes whole, also where its rows are given twice."""
+    passage = "Alpha beta gamma delta.\nEpsilon zeta eta theta.\nIota kappa lambda muses.\n"
+    rows = [(i, f"Some start that only number {i} has at all.\n{passage}The end of number {i} is its own too.\n") for i in range(30)]
+    one, two = (
+        {r.doc_id: (r.text, r.n) for r in line_dedup.remove_repeats(spark.createDataFrame(rows * k, "doc_id bigint, text string"), counts=("n", "c")).collect()} for k in (1, 2)
+    )
+    assert one == two and one[0] == (rows[0][1], 0)
 
 
 def test_repeats_of_short_units(spark):
@@ -220,6 +267,24 @@ def test_groups_that_never_peel(spark):
     assert [r.d for r in got] == [4000, 4000, 0]
 
 
+def test_null_ids_link_others(spark):
+    """A row without an id between two others brings them into one component; many far copies of one text are told apart."""
+    words = [f"w{i}" for i in range(300)]
+    near = lambda *swaps: " ".join(f"x{s}" if i in swaps else w for i, w in enumerate(words) for s in [i])
+    chain = [(1, near(*range(0, 12))), (None, near(*range(0, 12), *range(40, 52))), (3, near(*range(0, 12), *range(40, 52), *range(80, 92)))]
+    df = spark.createDataFrame(chain, "doc_id bigint, text string")
+    sets = {i: shingles(t, 3) for i, (_, t) in enumerate(chain)}
+    assert len(sets[0] & sets[2]) * 100 < 85 * len(sets[0] | sets[2])
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, width=3, percent=85).collect()}
+    assert got == {1: 1, None: 1, 3: 1}
+    rng = np.random.default_rng(5)
+    many = [(i, near(*rng.choice(300, int(rng.integers(2, 14)), replace=False).tolist())) for i in range(700)] + [(1000, near())]
+    far = {i: shingles(t, 3) for i, t in many}
+    want = groups(far, 85)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(many, "doc_id bigint, text string"), width=3, percent=85).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
 def test_pipeline(spark, docs, none, tmp_path):
     sf = "/root/testdata/sf0.001"
     now = docs

@@ -120,6 +120,47 @@ def test_secret_contexts(text):
     assert secret_scans.find("the compass: northeast and author: unknownname")[1] == []
 
 
+def plain_cost(value, spans):
+    """The cheapest segmentation by trying all of them."""
+    from functools import lru_cache
+
+    each = lambda c: 1.0 if c.isdigit() else 1.42 if c.isalpha() and (c.islower() or c.isupper()) else 1.5
+
+    @lru_cache(None)
+    def rest(at, brute):
+        if at == len(value):
+            return 0.0
+        ways = [each(value[at]) + (0 if brute or at == 0 else 1) + rest(at + 1, True)]
+        ways += [cost + (1 if at else 0) + rest(b, False) for a, b, cost in spans if a == at]
+        return min(ways)
+
+    return rest(0, False)
+
+
+def test_guess_cost_is_least():
+    """Against all segmentations, where only ranked words and word-like runs are spans."""
+    rank = secret_scans.ranks(["horse", "battery", "staple", "orse"])
+    for value in ("correcthorsebattery", "h0rse!x9", "Batt3ryStaple7", "zqhorseq", "pa$$word1x"):
+        spans = list(secret_scans._word_spans(value, value.lower(), rank))
+        assert secret_scans.guess_cost(value, rank) == pytest.approx(plain_cost(value, spans)), value
+    assert secret_scans.guess_cost("horsebattery", rank) < secret_scans.guess_cost("horsebattery") and secret_scans.guess_cost("p4ssw0rd!") < 6
+    assert secret_scans.guess_cost("abc123abc123") < secret_scans.guess_cost("abc123xyq789")
+    long = "Zq9!kX#w" * 3 + "".join("%x" % (i * 7919 % 4093) for i in range(9000))
+    assert secret_scans.guess_cost(long) > secret_scans.guess_cost(long[:1000])
+    assert secret_scans.redact(f"pwd: {long}, end", "[x]", 8) == "pwd: [x], end"
+    # A value that reaches over a fixed span on both sides is masked whole.
+    assert secret_scans.redact("pwd: Zq9!kX#" + "0a1b2c3d" * 4 + "$Wm7!vR2 end", "[x]", 8) == "pwd: [x] end"
+
+
+def test_ranked_words(spark, docs, edge):
+    rows = [(i, t) for i, t in enumerate(["Apple pear pear", "apple fig plum", None, "", "APPLE plum x1apple 12apple3", "mirabellemirabellemirabelle"])]
+    df = spark.createDataFrame(rows, "n bigint, text string")
+    assert secret_scans.ranked_words(df) == ["apple", "plum"] and secret_scans.ranked_words(df, size=1) == ["apple"]
+    assert secret_scans.ranked_words(df.limit(0)) == [] and "lang" in secret_scans.ranked_words(edge.union(edge))
+    words = secret_scans.ranked_words(docs)
+    assert secret_scans.scan(docs, words=words).count() == docs.count()
+
+
 def test_guess_cost_order():
     cost = secret_scans.guess_cost
     assert cost("aaaaaaaaaaaa") < cost("hunter2") < cost("x9$kQz!8vLp2") and cost("qwertyuiop") < 5 and cost("2024-01-31") <= 5
@@ -142,6 +183,61 @@ def test_toxicity(spark, docs, labels, edge):
     assert toxicity.learn(many.limit(0), marks) == toxicity.DEFAULT and toxicity.score(many.limit(0), grammar).count() == 0
 
 
+def test_toxicity_in_all_languages():
+    """Held-out figures on the largest table, in every language."""
+    from pyspark.sql import SparkSession
+
+    spark, data = SparkSession.getActiveSession(), "/root/testdata/sf0.1"
+    many, marks = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(many, toxicity.learn(many, marks)).join(marks, "doc_id").join(many.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    for english in (True, False):
+        some = [r for r in rows if (r.lang == "en") == english]
+        hits = [r.predicted for r in some if r.toxic]
+        assert len(hits) > 30 and np.mean(hits) >= 0.9, english
+        assert np.mean([r.predicted for r in some if not r.toxic]) <= 0.03, english
+
+
+def paths(g, words):
+    """The patterns of a clause, word by word, by looking around each word."""
+    kinds = [g.kind(w) for w in words]
+    out = Counter()
+    for i, kind in enumerate(kinds):
+        if kind not in (toxicity.INSULT, toxicity.THREAT):
+            continue
+        since = lambda k, reach: k in kinds[max(0, i - reach) : i]
+        negated, meant = since(toxicity.NEGATION, toxicity.NEGATED), since(toxicity.MODAL, toxicity.MEANT)
+        aimed = since(toxicity.TARGET, toxicity.AIMED) or toxicity.TARGET in kinds[i + 1 : i + 1 + toxicity.AIMED]
+        reported = toxicity.REPORT in kinds[:i] + kinds[i + 1 :]
+        if kind == toxicity.INSULT:
+            out["insult_negated" if negated else "insult_reported" if reported else "insult_target" if aimed else "insult"] += g.weight(words[i])
+        elif aimed and not negated and not reported:
+            out["threat_target"] += 1.5 if meant else 1.0
+        else:
+            out["threat"] += 0.2
+    return out
+
+
+def test_composed_machine():
+    """The composed transducers against a look around each word."""
+    rng = np.random.default_rng(4)
+    g = toxicity.Grammar({"idiot": 1.0, "scum": 2.5}, {"trot": 0.7}, 0.0, (0.0,) * 7)
+    alphabet = ["idiot", "scum", "trottel", "kill", "stab", "you", "them", "not", "never", "said", "will", "gonna", *["word"] * 8]
+    for _ in range(3000):
+        words = [alphabet[i] for i in rng.integers(0, len(alphabet), rng.integers(0, 14))]
+        assert g.clause(words) == pytest.approx(dict(paths(g, words))), words
+    assert 40 < len(toxicity.BEFORE.moves) <= 4 * 5 * 2 * 4 and len(toxicity.AFTER.moves) == 5 * 2
+
+
+def test_mostly_toxic_labels(spark):
+    """Where most labels are positive words can still enter the lexicon."""
+    rows = [(i, f"plain start {i} vile end") for i in range(80)] + [(100 + i, f"plain start {i} fine end") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(d, int("vile" in t)) for d, t in rows], "doc_id bigint, toxic int")
+    g = toxicity.learn(df, marks)
+    assert "vile" in g.words and g.score("a vile end") > g.score("a fine end")
+    assert toxicity.learn(df.union(df), marks).words.keys() == g.words.keys()
+
+
 def test_grammar_patterns():
     g = toxicity.DEFAULT
     assert set(g.clause("you are an idiot".split())) == {"insult_target"}

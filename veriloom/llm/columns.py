@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,23 +73,48 @@ def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share, and read again.
 
     Cuts lineage so that a lost executor never restarts the work before it.  The
-    folder is ``spark.checkpoint.dir``; one is set only where none is (tests).
+    folder is ``spark.checkpoint.dir``.  Where the session names none, a temporary
+    folder is set in its place on one machine (tests); on a cluster, whose
+    executors would not find it, that is an error.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="veriloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/veriloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    for made in _open:
+        made.append(out)
+    return out
+
+
+#: The tables of each ``scratch`` block that has not ended.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
+    """Drops, at its end, the tables that ``shared_table`` wrote in the block, but for those that ``keep()`` names."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        made = _open.pop()
+        kept = {df.shared_path for df in keep()}
+        for df in made:
+            if df.shared_path not in kept:
+                drop_table(df)
 
 
 def drop_table(df: DataFrame) -> None:
     """Deletes what ``shared_table`` wrote, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    spark = df.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,21 +6,24 @@ over the hashes of two successive units chooses chunk boundaries, after one in t
 very short units and most others; the choice depends on nearby units alone, so a passage
 is cut alike wherever it stands, whatever stands before it.
 
-A chunk that occurs in several documents stays in the document of least id.
-Elsewhere it is removed if it is byte for byte the same (white space at units'
-ends aside) and belongs to a run of repeated chunks with at least two units (or
-one of ``long_chars`` characters or ``long_words`` words) and ``min_chars`` characters.
+A chunk that occurs several times stays where it is first: in the document of least
+id, and in it at its first place.  Elsewhere, also further on in that document, it is removed if it is
+byte for byte the same (white space at units' ends aside) and belongs to a run of
+repeated chunks with at least two units (or one of ``long_chars`` characters or
+``long_words`` words) and ``min_chars`` characters.
 
 The chunks' hashes and places are written to the shared folder once, then those
-that repeat, so texts are cut once.  Shuffles: chunk hashes twice (8-byte keys;
-texts stay where they are), texts once and the repeated chunks' bytes once.  A hash that a third of all documents hold
-is aggregated before the shuffle, and its rows are joined by a join that adaptive
-execution splits.
+that repeat, then the bytes of those that stay, so texts are cut once.  Shuffles:
+chunk hashes twice (8-byte keys; texts stay where they are), texts once and the
+repeated chunks' bytes once.  A hash that a third of all documents hold is
+aggregated before the shuffle, and its rows are joined to tables that no
+aggregation in the same stage holds back, so that adaptive execution splits them.
 
 Defined results: a null text stays null, an empty one empty; rows of one id and
-text get one result each; rows of one id are one document when the first is
-chosen; chunks of rows with a null id count as repeats of rows that have ids, not
-of each other; an empty table gives an empty result; all other columns stay.
+text are one document and get one result each; texts of one id that differ are
+documents in order of their hashes; rows with a null id come after all others, in
+order of their texts' hashes; an empty table gives an empty result; all other
+columns stay.
 """
 
 from __future__ import annotations
@@ -99,25 +102,23 @@ def remove_repeats(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.struct(*rest).alias("row")] if rest else [])
     ).withColumn("th", F.xxhash64("text"))
     found = shared_table(base.where("text IS NOT NULL").select("id", "th", F.explode(chunks(F.col("text"), short=short, sparse=sparse)).alias("c")).where("c.n > 0").select("id", "th", "c.*"))
-    shared = (
-        found.groupBy("h").agg(F.min("id").alias("home"), F.max("id").alias("last"), F.count("id").alias("n_ids"), F.count("*").alias("n_all"))
-        .where("home <> last OR (home IS NOT NULL AND n_ids < n_all)").select("h", "home")
-    )
-    held = shared_table(found.join(shared, "h"))
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "th", "s")
+    shared = found.groupBy("h").agg(F.min(place).alias("home"), F.max(place).alias("last")).where("home <> last").select("h", "home")
+    held = shared_table(found.join(shared, "h").select("id", "th", "s", "e", "n", "h", (place == F.col("home")).alias("stays")))
     drop_table(found)
 
-    # The bytes of each repeated chunk, from the document that keeps it.
+    # The bytes of each repeated chunk, from the place where it stays.
     # (Both joins of texts have the same keys, so that one exchange can serve both.)
     at = lambda id_, th: F.col("id").eqNullSafe(F.col(id_)) & (F.col("th") == F.col(th))
-    homes = held.where("id = home").groupBy(F.col("id").alias("hid"), F.col("th").alias("hth")).agg(F.collect_list(F.struct("h", "s", "e")).alias("own"))
-    kept = (
+    homes = held.where("stays").groupBy(F.col("id").alias("hid"), F.col("th").alias("hth")).agg(F.collect_set(F.struct("h", "s", "e")).alias("own"))
+    kept = shared_table(
         base.join(homes, at("hid", "hth"))
         .select(F.explode(let(units(F.col("text")), lambda u: F.transform("own", lambda x: F.struct(x["h"].alias("h"), span_bytes(u, x["s"], x["e"]).alias("bytes"))))).alias("k"))
         .groupBy("k.h").agg(F.min("k.bytes").alias("bytes"))
     )
     repeats = (
-        held.where("NOT (id <=> home)").join(kept, "h")
-        .groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_list(F.struct("s", "e", "n", "bytes"))).alias("found"))
+        held.where("NOT stays").join(kept, "h")
+        .groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.array_sort(F.collect_set(F.struct("s", "e", "n", "bytes"))).alias("found"))
     )
     joined = base.join(repeats, at("rid", "rth"), "left")
 
