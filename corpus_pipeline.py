@@ -2,9 +2,15 @@
 
 ``run`` applies the stages to the table of documents.  Each stage gets what its
 predecessor kept, written as Parquet and read again; all but the last return the
-columns of documents.  Documents with a null or empty text are judged like any
-other (quality rules reject them: they have too few words); an empty table gives
-an empty result.
+columns of documents.
+
+Defined results, for every stage: documents with a null or empty text are judged
+like any other (quality rules reject them: they have too few words), and a stage
+that gets them all the same keeps them as they are; very long texts are taken
+whole; repeated rows are rejected or kept alike by the quality rules, cleaned alike
+by line dedup, and are copies of one another to near-dedup, which keeps one row; of
+ties the least id stays, a null id last; a null id stays null; an empty
+table gives an empty result; further columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriloom.llm import line_dedup, minhash_dedup, packing, quality_rules, secret_scans
-from veriloom.llm.columns import documents, shared_table
+from veriloom.llm.columns import documents, drop_table, scratch, shared_table
 from veriloom.shipping import ship
 
 
@@ -29,14 +35,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays (operator 2)."""
-    verdict = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of near-duplicates stays (operator 2): of one id and text one row."""
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    judged = minhash_dedup.near_duplicates(docs.select(place.alias("place"), "text"), id_col="place")
+    name = next(n for n in map("place{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    stays = judged.where("kept").groupBy(F.col("place").alias(name)).agg(F.count("*").alias("n"))
+    rows = docs.withColumn(name, place)
+    once = rows.join(stays.where("n = 1"), name, "left_semi")
+    again = rows.join(stays.where("n > 1"), name, "left_semi").dropDuplicates([name])
+    return once.union(again).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in texts (operator 9)."""
-    return _counted(secret_scans.redacted(docs))
+    return _counted(secret_scans.redacted(docs, words=secret_scans.ranked_words(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +65,16 @@ STAGES = [("quality rules", quality), ("line dedup", lines), ("near-dedup", near
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; each one's tables but its result are dropped when the next one has read it."""
     ship(spark)
-    docs = documents(spark, sf_dir)
+    docs, now = documents(spark, sf_dir), []
     for _, stage in STAGES[:-1]:
-        docs = shared_table(stage(spark, docs, sf_dir))
+        with scratch(lambda: now):
+            after = shared_table(stage(spark, docs, sf_dir))
+            before, now = now, [after]
+        for table in before:
+            drop_table(table)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
