@@ -209,7 +209,7 @@ def by_hand(text):
 
 def test_fingerprints(spark, docs, edge, none):
     src = {r.doc_id: r.text or "" for r in docs.collect()}
-    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs, bucket_rows=37).collect()}
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(docs, rows=37).collect()}
     order = sorted(src, reverse=True)
     for i, d in enumerate(order):
         text, after = src[d], src[order[(i + 1) % len(order)]]
@@ -254,17 +254,43 @@ def test_peel_recovers_differences(spark):
     assert r.ok and sorted(r.a) == [1, 5 << 40] and list(r.b) == [4 << 20]
 
 
-def test_groups_that_never_peel(spark):
-    """A text of many groups, in sketches too small for any of them, still gets its count."""
+def test_larger_sketches(spark):
+    """Pairs of many groups are recovered from rows of cells; groups that aren't are counted all the same."""
     from pyspark.sql import functions as F
 
     rng = np.random.default_rng(8)
-    a, b = (rng.integers(-(2**62), 2**62, 2500).tolist() for _ in range(2))
-    b[:500] = a[:500]
-    df = spark.createDataFrame([(a, b, 39, 2), (a, b, 39, 94), (a, a, 39, 2)], "a array<bigint>, b array<bigint>, n int, w int")
-    cells = [fingerprints.sketch(F.col(c), F.lit(8)) for c in "ab"]
-    got = df.select(fingerprints.differing(F.col("a"), F.col("b"), *cells, 8, F.col("n"), F.col("w")).alias("d")).collect()
-    assert [r.d for r in got] == [4000, 4000, 0]
+    pairs = []
+    for i, (n, m, both) in enumerate([(0, 0, 0), (5, 0, 0), (0, 7, 0), (40, 40, 40), (30, 45, 0), (2500, 2300, 500), (3000, 3000, 2990), (64, 1, 1)] * 3):
+        a, b = (rng.integers(-(2**62), 2**62, k).tolist() for k in (n, m))
+        b[:both] = a[:both]
+        pairs.append((i, a, b, len(set(a) ^ set(b))))
+    df = spark.createDataFrame(pairs, "i int, a array<bigint>, b array<bigint>, want int").repartition(3, "i")
+    small = lambda a, b: fingerprints.small_cells(*(fingerprints.sketch(F.col(c), F.lit(8)) for c in (a, b)), 8)
+    asked = df.select("i", F.array(F.struct("a", "b", F.lit(None).cast(df.select(small("a", "b")).schema[0].dataType).alias("small")), F.struct("a", "b", small("a", "b").alias("small"))).alias("sides"))
+    for rounds in (0, 2, 6):
+        got = fingerprints.recovered(asked, ["i"], rounds=rounds)
+        rows = {(r.i, r.pair): r for r in got.collect()}
+        assert len(rows) == 2 * len(pairs)
+        if rounds == 6:
+            assert sum(len(r.stuck) for r in rows.values()) < 30
+        for k in (0, 1):
+            one = df.join(got.where(F.col("pair") == k), "i").select("i", "want", (F.col("n") + fingerprints.in_groups(F.col("a"), F.col("b"), F.col("stuck"))).alias("n"))
+            assert {r.i: r.n for r in one.collect()} == {i: want for i, *_, want in pairs}
+
+
+def test_ranges_of_ids(spark):
+    """Successors where one id, or one row, is a third of all, ids are null or text, and ranges are small."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i}") for i in range(40)] + [(7, f"seven {i}") for i in range(20)] + [(9, "nine")] * 25 + [(None, f"none {i}") for i in range(15)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for cast in ("bigint", "string"):
+        got = fingerprints.with_next(df.withColumn("id", F.col("id").cast(cast)), rows=8).collect()
+        want = sorted(((str(r.id) if cast == "string" and r.id is not None else r.id, r.text, r.th) for r in df.withColumn("th", F.xxhash64("text")).collect()), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0 if cast == "bigint" else "", r[2]), reverse=True)
+        assert len({r.part for r in got}) > 8 and max(r.at for r in got) < 30
+        from collections import Counter
+
+        assert Counter((r.id, r.text, r.next_text) for r in got) == Counter((a[0], a[1], b[1]) for a, b in zip(want, want[1:] + want[:1]))
 
 
 def test_null_ids_link_others(spark):

@@ -8,6 +8,7 @@ checks below it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +35,25 @@ def errors(document: Column, schema: Mapping) -> Column:
             return at(value, defs[ref.rpartition("/")[2]], path, depth + 1)
         kind = F.schema_of_variant(value)
         where = path or "/"
-        text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+        number = F.when(kind.rlike(_KIND["number"]), F.try_variant_get(value, "$", "double"))
+        text = F.when(kind.startswith("STRING"), F.try_variant_get(value, "$", "string"))
+
+        def same(wanted: object) -> Column:
+            """Whether the value equals a constant: values of different kinds differ, but booleans count as numbers do."""
+            truth = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int").cast("double"))
+            if wanted is None:
+                return F.coalesce(kind == "VOID", F.lit(False))
+            if isinstance(wanted, (bool, int, float)):
+                return F.coalesce(F.coalesce(number, truth) == float(wanted), F.lit(False))
+            if isinstance(wanted, str):
+                return F.coalesce(text == wanted, F.lit(False))
+            raise ValueError(f"unsupported constant: {wanted!r}")
+
         own: list[tuple[Column, str]] = []
         if "const" in node:
-            own.append((~text.eqNullSafe(F.lit(str(node["const"]))), f"{where}: not {node['const']!r}"))
+            own.append((~same(node["const"]), f"{where}: not {node['const']!r}"))
         if "enum" in node:
-            own.append((F.coalesce(~text.isin(*map(str, node["enum"])), F.lit(True)), f"{where}: not in enum"))
+            own.append((~functools.reduce(lambda a, b: a | b, map(same, node["enum"]), F.lit(False)), f"{where}: not in enum"))
         if "pattern" in node:
             own.append((F.coalesce(kind.startswith("STRING") & ~text.rlike(node["pattern"]), F.lit(False)), f"{where}: pattern"))
         if "minimum" in node:

@@ -22,10 +22,18 @@ def slug_letters(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]", "-")
 
 
-def natural_key(text: Column, width: int = 12) -> Column:
-    """Sorts digit runs by value: every run is padded with zeros to ``width``."""
+def natural_key(text: Column) -> Column:
+    """Sorts digit runs by value: a run is written as its length in four digits and its digits, without leading zeros.
+
+    Parts end with a NUL, so that a part sorts before those that continue it.
+    """
     parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+
+    def key(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=\d)", "")
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "\0")
 
 
 def leading_number(segment: Column) -> Column:
@@ -34,28 +42,37 @@ def leading_number(segment: Column) -> Column:
 
 
 def version_bump(old: Column, new: Column) -> Column:
-    """``major``, ``minor``, ``patch`` or ``none``: the first dotted segment that differs.
+    """``major`` or ``minor`` where the first or second dotted segment differs, else ``patch`` (also for equal versions).
 
-    Missing segments count as 0; segments past the third count as patch.
+    Segments count by the digits that they start with; missing ones count as 0.
     """
     a, b = F.split(old, r"\."), F.split(new, r"\.")
     part = lambda v, i: leading_number(F.coalesce(F.get(v, F.lit(i)), F.lit("0")))
-    out = F.when(part(a, 0) != part(b, 0), "major").when(part(a, 1) != part(b, 1), "minor")
-    rest = F.transform(F.sequence(F.lit(2), F.greatest(F.size(a), F.size(b), F.lit(3))), lambda i: leading_number(F.coalesce(F.get(a, i), F.lit("0"))) != leading_number(F.coalesce(F.get(b, i), F.lit("0"))))
-    return out.when(F.exists(rest, lambda x: x), "patch").otherwise("none")
+    return F.when(part(a, 0) != part(b, 0), "major").when(part(a, 1) != part(b, 1), "minor").otherwise("patch")
 
 
 #: Order of bumps, least first.
-BUMPS = ("none", "patch", "minor", "major")
+BUMPS = ("patch", "minor", "major")
+
 
+def update_policy(mode: Column, old: Column, new: Column, most: Column) -> Column:
+    """``struct<decision, reason, surfaced>`` for an update from ``old`` to ``new``.
 
-def update_policy(mode: Column, bump: Column, most: Column) -> Column:
-    """``apply``, ``notify``, ``skip`` or ``abort`` for an update: auto applies bumps up to ``most``."""
+    Decisions are ``drive``, ``defer`` and, for an unknown mode, ``abort``; auto
+    drives bumps up to ``most``.  Decisions and reasons are fixed values.
+    ``surfaced``: whether the version is shown.
+    """
+    bump = version_bump(old, new)
     rank = lambda c: F.array_position(F.array(*map(F.lit, BUMPS)), c)
-    return (
-        F.when(mode == "off", "skip").when(bump == "none", "skip").when(mode == "notify", "notify")
-        .when((mode == "auto") & (rank(bump) <= rank(most)), "apply").when(mode == "auto", "notify").otherwise("abort")
+    fits = (mode == "auto") & (rank(bump) <= rank(most))
+    decision = F.when(fits, "drive").when(mode.isin("auto", "notify", "off"), "defer").otherwise("abort")
+    reason = (
+        F.when(fits, F.concat(F.lit("policy=auto, bump="), bump, F.lit(" within "), most))
+        .when(mode == "auto", F.concat(F.lit("policy=auto but bump="), bump, F.lit(" exceeds "), most))
+        .when(mode == "notify", F.lit("policy=notify: surfaced, not driven")).when(mode == "off", F.lit("policy=off: recorded only"))
+        .otherwise(F.concat(F.lit("unknown updater policy: '"), F.coalesce(mode, F.lit("")), F.lit("'")))
     )
+    return F.struct(decision.alias("decision"), reason.alias("reason"), (mode.eqNullSafe("notify") | (mode.eqNullSafe("auto") & ~F.coalesce(fits, F.lit(False)))).alias("surfaced"))
 
 
 #: MIME types by file extension.

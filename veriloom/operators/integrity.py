@@ -27,9 +27,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def later_holders(df: DataFrame, value: Sequence[str], order: Sequence[str], holder: str) -> DataFrame:
-    """Rows whose value an earlier row holds already, with that row as ``first_holder``."""
-    w = W.partitionBy(*value).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).withColumn("first_holder", F.first(holder).over(w)).where("rank > 1")
+    """Rows whose value an earlier row holds already, with that row as ``first_holder``.
+
+    The first holder is an aggregate (combined before the shuffle) that is joined
+    back, so a value that very many rows hold is no one task's.  ``order`` tells all
+    rows of a value apart.
+    """
+    names = [f"__v{i}" for i in range(len(value))]
+    first = df.groupBy(*(F.col(c).alias(n) for c, n in zip(value, names))).agg(F.min(F.struct(*order, F.col(holder).alias("__holder"))).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    rows = df.join(first, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(value, names)])
+    later = F.struct(*order) > F.struct(*(F.col(f"__first.{c}") for c in order))
+    return rows.where(later).withColumn("first_holder", F.col("__first.__holder")).drop(*names, "__first", "__n")
 
 
 def second_open(df: DataFrame, group: Sequence[str], order: Sequence[str], holder: str, is_open: Column) -> DataFrame:
@@ -122,23 +130,39 @@ def chains(df: DataFrame, key: str, parent: str, *, limit: int | None = None) ->
     return now.select(F.col("key").alias(key), F.when(F.col("up").isNull(), F.col("root")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), F.col("up").isNotNull().alias("cycle"))
 
 
-def positions(df: DataFrame, order: Sequence[str], name: str = "pos", *, per_part: int = 100) -> DataFrame:
+def closings(df: DataFrame, key: str, parent: str) -> DataFrame:
+    """``key, closing``: for walks that all end in a cycle, the first member of the cycle that each walk meets.
+
+    ``df`` holds every row of those walks.  Rows that others never lead back to are
+    trimmed off, layer by layer (each round takes away the rows nobody points to),
+    so that the cycles alone are left; the trimmed rows then take the answer of the
+    row they point to, by pointer doubling.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(parent).alias("up"))
+    ring, before = settled(rows), -1
+    while (n := ring.count()) != before:
+        before = n
+        ring = settled(ring.join(ring.select(F.col("up").alias("key")).distinct(), "key", "left_semi"))
+    stays = ring.select("key", F.lit(True).alias("ring"))
+    now = rows.join(stays, "key", "left").select("key", F.when(F.col("ring"), F.col("key")).otherwise(F.col("up")).alias("at"), F.col("ring"))
+    known = stays.select(F.col("key").alias("at"), F.lit(True).alias("there"))
+    while True:
+        now = settled(now)
+        if now.join(known, "at", "left_anti").isEmpty():
+            break
+        now = now.join(now.select(F.col("key").alias("at"), F.col("at").alias("at2")), "at", "left").select("key", F.coalesce("at2", "at").alias("at"))
+    return now.select(F.col("key").alias(key), F.col("at").alias("closing"))
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
     """``df`` with each row's position (from 1) in the given order, without a global sort.
 
-    A hash-chosen sample of ``per_part`` rows for each partition gives boundaries,
-    which become constants of the plan: so every evaluation deals rows to the
-    same ranges.  A position is a row's number in its range after the sizes of
-    the ranges before.
+    Rows are dealt to ranges, sorted there and written with their range; a range's
+    rows are then numbered, and a position is that number after the sizes of the
+    ranges before.  Spark samples the boundaries itself; what the driver gets is one
+    count for each range.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kinds = [df.schema[c].dataType for c in order]
-    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(parts * per_part).orderBy(*order).collect()
-    step = max(1, len(sample) // parts)
-    bounds = [F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, kinds))) for row in sample[step::step][: parts - 1]]
-    key = F.struct(*order)
-    part = F.aggregate(F.transform(F.array(*bounds), lambda b: (b <= key).cast("int")), F.lit(0), lambda n, x: n + x) if bounds else F.lit(0)
-    dealt = df.withColumn("__part", part)
+    dealt = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     within = dealt.withColumn("__at", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("size"))
     before = sizes.select("__part", F.coalesce(F.sum("size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.text import blank
 from veriloom.operators import integrity
-from veriloom.sources.tables import settled
 
 Tables = Mapping[str, DataFrame]
 RULES: list[tuple[str, Callable[[Tables], DataFrame]]] = []
@@ -69,6 +68,8 @@ REFERENCES = {
 NULL_OPTION = "decide nothing"
 DECIDED = ("approved", "acted")
 RUNGS = ("configure", "role", "scenario", "wrap", "patch", "fork")
+#: The playbook whose records rule I-17 looks at.
+MUTATIONS = "dsys-mutation-playbook"
 TRIGGERS = ("timer", "run_completed", "run_aborted", "external")
 QUEUE_RANKS = {"conflict": 0, "error": 1, "uncertainty": 2}
 
@@ -188,30 +189,27 @@ def disclosure_triage(t: Tables) -> DataFrame:
 
 @rule("I-2 supersession")
 def standing_supersession(t: Tables) -> DataFrame:
-    """Walks by joins: a round follows every unfinished chain one link, carrying who was seen."""
+    """Roots by pointer doubling; only walks that never end, or end elsewhere, are told link by link.
+
+    A walk that runs into a cycle names the member at which it closes: the first
+    member of the cycle that it meets, found by doubling too (``closings``).
+    """
     members = t["dispositions"].where((F.col("mode") == "set_standing") & (F.col("status") == "approved") & ~blank(F.col("standing_domain"))).select(
         "id", "_ord", F.col("standing_domain").alias("domain"), F.nullif(F.col("supersedes_disposition_id"), F.lit("")).alias("up"))
     same = members.select(F.col("id").alias("up"), "domain", F.lit(True).alias("inside"))
     outside = found(members.join(same, ["up", "domain"], "left").where("up IS NOT NULL"), (F.col("inside").isNull(), say("I-2: disposition %s: set_standing supersedes outside its domain '%s'", "id", "domain")))
     groups = members.groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("up").isNull()).alias("roots"), F.min("_ord").alias("_ord"), F.min(F.when(F.col("up").isNull(), F.col("id"))).alias("root"))
     roots = found(groups.where("n > 1"), (F.col("roots") != 1, say("I-2: domain '%s': %s supersession roots — standing policy must form one chain", "domain", F.col("roots").cast("string"))), subject="domain")
-    links = members.select(F.col("id").alias("cur"), "domain", F.col("up").alias("after"))
-    walk = members.select("id", "_ord", "domain", F.array("id").alias("seen"), F.col("up").alias("cur"), F.lit(None).cast("string").alias("at"))
-    done = None
-    while True:
-        hit = F.array_contains("seen", F.col("cur"))
-        walk = walk.withColumn("at", F.when(hit, F.col("cur"))).withColumn("cur", F.when(~hit, F.col("cur")))
-        over = walk.where("cur IS NULL")
-        done = over if done is None else done.unionByName(over)
-        walk = walk.where("cur IS NOT NULL").join(links, ["cur", "domain"], "left").select("id", "_ord", "domain", F.array_append("seen", F.col("cur")).alias("seen"), F.col("after").alias("cur"), "at")
-        walk = settled(walk)
-        if walk.isEmpty():
-            break
-    ended = done.join(groups.where("roots = 1").select("domain", "root"), "domain", "left")
+    # Inside one domain alone a link is followed; ids are told apart by their domain.
+    inner = members.join(same.select("up", "domain", "inside"), ["up", "domain"], "left").select("id", "_ord", "domain", F.struct("domain", "id").alias("node"), F.when(F.col("inside"), F.struct("domain", F.col("up").alias("id"))).alias("above"))
+    walked = integrity.chains(inner, "node", "above")
+    ended = inner.join(walked, "node").join(groups.where("roots = 1").select("domain", F.col("root").alias("first")), "domain", "left")
+    closing = integrity.closings(inner.join(walked.where("cycle").select("node"), "node", "left_semi").select("node", "above"), "node", "above")
+    ended = ended.join(closing, "node", "left")
     chains = found(
         ended,
-        (F.col("at").isNotNull(), say("I-2: disposition %s: supersession cycle at %s", "id", "at")),
-        (F.col("at").isNull() & F.col("root").isNotNull() & (F.col("id") != F.col("root")) & ~F.array_contains("seen", F.col("root")), say("I-2: disposition %s: supersession chain does not resolve to the domain root", "id")),
+        (F.col("cycle"), say("I-2: disposition %s: supersession cycle at %s", "id", "closing.id")),
+        (~F.col("cycle") & F.col("first").isNotNull() & (F.col("root.id") != F.col("first")), say("I-2: disposition %s: supersession chain does not resolve to the domain root", "id")),
     )
     return union(outside, roots, chains)
 
@@ -445,7 +443,7 @@ def mutation_records(t: Tables) -> DataFrame:
     adopted, rung = F.col("verdict") == "adopted", F.col("rung")
     m = lambda s, *c: say("I-17: mutation record %s: " + s, "_key", *c)
     return found(
-        t["decision_records"].where("playbook LIKE '%-mutation-playbook'"),
+        t["decision_records"].where(F.col("playbook") == MUTATIONS),
         (rung.isNotNull() & ~rung.isin(*RUNGS), m(f"unknown rung '%s' (expected one of {', '.join(RUNGS)})", "rung")),
         (F.col("reason_status").isNotNull() & ~F.col("reason_status").isin("accepted", "pending"), m("unknown reason_status '%s' (expected accepted|pending)", "reason_status")),
         (adopted & rung.isNull(), m("adopted with no rung selected")),
