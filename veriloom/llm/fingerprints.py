@@ -292,7 +292,7 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     sides = ("text", "edited_text", "next_text")
     short = lambda c: F.length(c) < word_chars
     digested = texts.select(
-        "part", "at", "id", "n_chars", "edited_text", *(short(c).alias(f"{c}_short") for c in sides),
+        "part", "at", "id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), *(short(c).alias(f"{c}_short") for c in sides),
         *(digests(F.col(c), short(c)).alias(f"{c}_keys") for c in sides), *(F.when(short(c), digests(F.col(c), F.lit(False))).alias(f"{c}_lines") for c in sides),
     )
 
@@ -303,15 +303,15 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
         return F.struct(by("text").alias("a"), by(other).alias("b"))
 
     others = ("edited_text", "next_text")
-    paired = digested.select("part", "at", "id", "n_chars", "edited_text", "text_keys", "edited_text_keys", *(pair(c).alias(c[:4]) for c in others))
+    paired = digested.select("part", "at", "id", "n_chars", "edited_sha256", "text_keys", "edited_text_keys", *(pair(c).alias(c[:4]) for c in others))
     w = F.lit(width)
     sketched = paired.select("part", "at", *(F.col(c) for c in ("edit", "next")), *(sketch(F.col(f"{c}.{side}"), w).alias(f"{c}_{side}") for c in ("edit", "next") for side in "ab"))
     asked = sketched.select("part", "at", F.array(*(F.struct(F.col(f"{c}.a").alias("a"), F.col(f"{c}.b").alias("b"), small_cells(F.col(f"{c}_a"), F.col(f"{c}_b"), width).alias("small")) for c in ("edit", "next"))).alias("sides"))
     found = recovered(asked, ["part", "at"], width=width)
-    # One row for each range, in order of its rows, meets the range's rows where they are.
+    # One row for each range, in order of its rows, meets the range's rows where they are, by a hash join: those rows needn't be sorted.
     each = found.groupBy("part", "at").agg(*(F.max(F.when(F.col("pair") == i, F.struct("n", "stuck"))).alias(f"pair{i}") for i in (0, 1)))
     listed = each.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "pair0", "pair1"))).alias("found"))
-    told = paired.join(listed, "part").withColumn("told", F.get("found", F.col("at") - 1))
+    told = paired.join(listed.hint("shuffle_hash"), "part").withColumn("told", F.get("found", F.col("at") - 1))
 
     def near(i: int, c: str) -> Column:
         a, b = F.col(f"{c}.a"), F.col(f"{c}.b")
@@ -319,7 +319,7 @@ def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str
         return likeness(F.size(a), F.size(b), F.col(f"told.pair{i}.n") + F.when(F.size(stuck) > 0, in_groups(a, b, stuck)).otherwise(0))
 
     return told.select(
-        F.col("id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"),
+        F.col("id").alias(id_col), F.col("n_chars").cast("bigint").alias("n_chars"), "edited_sha256",
         text_of(sketch(F.col("text_keys"), w)).alias("fingerprint"), text_of(sketch(F.col("edited_text_keys"), w)).alias("edited_fingerprint"),
         near(0, "edit").alias("near_edited"), near(1, "next").alias("near_next"),
     )
