@@ -307,12 +307,12 @@ def natural_sort(spark, d):
     return integrity.queue_view(names, "kind", {"name": 0}, ["key"]).select("s_name", "pos")
 
 
-@query("""SELECT p_partkey, CASE WHEN a1 <> b1 THEN 'major' WHEN a2 <> b2 THEN 'minor' WHEN a3 <> b3 THEN 'patch' ELSE 'none' END AS bump FROM (
-  SELECT p_partkey, p_partkey % 3 AS a1, p_size % 4 AS a2, 0 AS a3, p_size % 3 AS b1, p_size % 4 AS b2, p_partkey % 2 AS b3 FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN a1 <> b1 THEN 'major' WHEN a2 <> b2 THEN 'minor' ELSE 'patch' END AS bump FROM (
+  SELECT p_partkey, p_partkey % 3 AS a1, p_size % 4 AS a2, p_size % 3 AS b1, p_partkey % 4 AS b2 FROM part)""")
 def version_bump(spark, d):
     size = lambda n: (F.col("p_size") % n).cast("string")
     key = lambda n: (F.col("p_partkey") % n).cast("string")
-    old, new = F.concat_ws(".", key(3), size(4)), F.concat_ws(".", size(3), size(4), F.concat(key(2), F.lit("rc1")))
+    old, new = F.concat_ws(".", key(3), size(4)), F.concat_ws(".", size(3), key(4), F.concat(key(2), F.lit("rc1")))
     return table(spark, d, "part").select("p_partkey", text.version_bump(old, new).alias("bump"))
 
 
