@@ -274,7 +274,7 @@ def with_next(df: DataFrame, *, rows: int) -> DataFrame:
     return both.select("part", F.row_number().over(by).alias("at"), "id", "text", F.lead("text").over(by).alias("next_text"), "ghost").where("NOT ghost").drop("ghost")
 
 
-def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 8, word_chars: int = 200, rows: int = 2048) -> DataFrame:
+def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 8, word_chars: int = 200, rows: int = 1024) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses.
 
     ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint,
