@@ -39,7 +39,13 @@ def test_text(spark):
     assert one(text.slug_letters(lit("A b.Ü1"))) == "A-b-Ü1"
     assert sorted(["a10", "a9", "b1"], key=lambda s: one(text.natural_key(lit(s)))) == ["a9", "a10", "b1"]
     assert [one(text.version_bump(lit(a), lit(b))) for a, b in (("1.2.3", "2.0"), ("1.2", "1.3.1"), ("1.2.3", "1.2.4rc1"), ("1.2.0", "1.2"), ("1", "1.0.0"))] == ["major", "minor", "patch", "patch", "patch"]
-    assert [one(text.update_policy(lit(m), lit(b), lit("minor"))) for m, b in (("auto", "patch"), ("auto", "major"), ("notify", "minor"), ("off", "major"), ("odd", "minor"), ("auto", "none"))] == ["apply", "notify", "notify", "skip", "abort", "skip"]
+    policy = lambda mode, new: tuple(one(text.update_policy(lit(mode), lit("1.2.3"), lit(new), lit("minor"))))
+    assert policy("auto", "1.3.0") == ("drive", "policy=auto, bump=minor within minor", False)
+    assert policy("auto", "1.2.3") == ("drive", "policy=auto, bump=patch within minor", False)
+    assert policy("auto", "2.0.0") == ("defer", "policy=auto but bump=major exceeds minor", True)
+    assert policy("notify", "1.2.4") == ("defer", "policy=notify: surfaced, not driven", True)
+    assert policy("off", "2.0") == ("defer", "policy=off: recorded only", False)
+    assert policy("odd", "2.0") == ("abort", "unknown updater policy: 'odd'", False)
     assert [one(text.within(lit(p), lit("/a/b"))) for p in ("/a/b", "/a/b/c", "/a/bc", "/a/b/../c", "/a//b/x")] == [True, True, False, False, True]
     assert [one(text.mime_type(lit(p))) for p in ("x.JSON", "y", "z.png")] == ["application/json", "application/octet-stream", "image/png"]
 
