@@ -266,7 +266,8 @@ def crossed(star: DataFrame, needed: int, percent: int, *, least_rows: int = 256
     def run(table):
         return _forest(table, needed, percent)
 
-    return dealt.groupBy("b", "i", "j").applyInArrow(run, out)
+    # Rows come dealt by centre, which would do for the groups: dealt again, a centre's pairs of blocks are many tasks' work.
+    return dealt.repartition("b", "i", "j").groupBy("b", "i", "j").applyInArrow(run, out)
 
 
 def _forest(table, needed: int, percent: int, tile: int = 512, wide: int = 4096):
