@@ -61,7 +61,7 @@ CASES = [
 
 
 def messages(spark, doc, only=()):
-    return [r.message for r in rules.validate(entities.from_dict(spark, doc), only).orderBy("rule_ord", "sub").collect()]
+    return [r.message for r in rules.validate(entities.from_dict(spark, doc), only, mutation_playbook="own-mutation-playbook").orderBy("rule_ord", "sub").collect()]
 
 
 def test_clean_document_has_no_violation(spark):

@@ -7,6 +7,7 @@ Message texts are fixed values.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,54 +23,54 @@ RULES: list[tuple[str, Callable[[Tables], DataFrame]]] = []
 #: References between collections, each field with the collection
 #: it names (a list's members each).
 REFERENCES = {
-    "dyads": "human_id:humans agent_id:agents",
-    "bonds": "dyad_id:dyads",
-    "intents": "dyad_id:dyads",
-    "claims": "dyad_id:dyads intent_id:intents",
-    "falsifiers": "claim_id:claims",
-    "falsification_records": "claim_id:claims falsifier_id:falsifiers",
-    "evidence": "record_id:falsification_records",
-    "knowledge_units": "claim_id:claims ledger_id:ledgers evidence_ids:evidence",
-    "materializations": "claim_id:claims",
-    "playbooks": "dyad_id:dyads",
-    "hats": "dyad_id:dyads",
-    "dispositions": "dyad_id:dyads session_id:sessions hat_id:hats proposer_id:agents disposer_id:humans disclosure_ref:disclosures supersedes_disposition_id:dispositions absorbed_into_directive_id:directives",
-    "sessions": "dyad_id:dyads owner_id:humans",
-    "transactions": "session_id:sessions",
-    "ledgers": "dyad_id:dyads",
-    "ledger_entries": "ledger_id:ledgers session_id:sessions txn_id:transactions",
-    "subagents": "dyad_id:dyads",
-    "briefings": "dyad_id:dyads session_id:sessions artifact_ref:artifacts",
-    "proposals": "dyad_id:dyads",
-    "ratifications": "proposal_id:proposals",
-    "harness_runs": "principal_id:principals dyad_id:dyads session_id:sessions",
-    "conditions": "run_id:harness_runs",
-    "threads": "run_id:harness_runs",
-    "interaction_prefs": "run_id:harness_runs",
-    "artifacts": "run_id:harness_runs",
-    "strap_gates": "run_id:harness_runs required_condition_ids:conditions",
-    "local_vetoes": "principal_id:principals directive_id:directives",
-    "directives": "source_run_id:harness_runs target_run_id:harness_runs supersedes_directive_id:directives disposition_id:dispositions",
-    "gate_checks": "directive_id:directives target_run_id:harness_runs",
-    "applications": "directive_id:directives gate_check_id:gate_checks",
-    "promotions": "artifact_id:artifacts directive_id:directives disposition_id:dispositions",
-    "releases": "artifact_ids:artifacts",
-    "runbooks": "release_version:releases",
-    "steps": "runbook_id:runbooks tool_id:tools",
-    "automaton_runs": "runbook_id:runbooks parent_flow_run_id:flow_runs flow_state_id:flow_states",
-    "automaton_events": "run_id:automaton_runs",
-    "automaton_flows": "release_version:releases",
-    "flow_states": "flow_id:automaton_flows runbook_id:runbooks",
-    "flow_transitions": "flow_id:automaton_flows from_state_id:flow_states to_state_id:flow_states",
-    "flow_runs": "flow_id:automaton_flows current_state_id:flow_states",
-    "flow_transition_events": "flow_run_id:flow_runs",
-    "decision_records": "disposition_id:dispositions",
+    "dyads": (("human_id", "humans"), ("agent_id", "agents"),),
+    "bonds": (("dyad_id", "dyads"),),
+    "intents": (("dyad_id", "dyads"),),
+    "claims": (("dyad_id", "dyads"), ("intent_id", "intents"),),
+    "falsifiers": (("claim_id", "claims"),),
+    "falsification_records": (("claim_id", "claims"), ("falsifier_id", "falsifiers"),),
+    "evidence": (("record_id", "falsification_records"),),
+    "knowledge_units": (("claim_id", "claims"), ("ledger_id", "ledgers"), ("evidence_ids", "evidence"),),
+    "materializations": (("claim_id", "claims"),),
+    "playbooks": (("dyad_id", "dyads"),),
+    "hats": (("dyad_id", "dyads"),),
+    "dispositions": (("dyad_id", "dyads"), ("session_id", "sessions"), ("hat_id", "hats"), ("proposer_id", "agents"), ("disposer_id", "humans"), ("disclosure_ref", "disclosures"), ("supersedes_disposition_id", "dispositions"), ("absorbed_into_directive_id", "directives"),),
+    "sessions": (("dyad_id", "dyads"), ("owner_id", "humans"),),
+    "transactions": (("session_id", "sessions"),),
+    "ledgers": (("dyad_id", "dyads"),),
+    "ledger_entries": (("ledger_id", "ledgers"), ("session_id", "sessions"), ("txn_id", "transactions"),),
+    "subagents": (("dyad_id", "dyads"),),
+    "briefings": (("dyad_id", "dyads"), ("session_id", "sessions"), ("artifact_ref", "artifacts"),),
+    "proposals": (("dyad_id", "dyads"),),
+    "ratifications": (("proposal_id", "proposals"),),
+    "harness_runs": (("principal_id", "principals"), ("dyad_id", "dyads"), ("session_id", "sessions"),),
+    "conditions": (("run_id", "harness_runs"),),
+    "threads": (("run_id", "harness_runs"),),
+    "interaction_prefs": (("run_id", "harness_runs"),),
+    "artifacts": (("run_id", "harness_runs"),),
+    "strap_gates": (("run_id", "harness_runs"), ("required_condition_ids", "conditions"),),
+    "local_vetoes": (("principal_id", "principals"), ("directive_id", "directives"),),
+    "directives": (("source_run_id", "harness_runs"), ("target_run_id", "harness_runs"), ("supersedes_directive_id", "directives"), ("disposition_id", "dispositions"),),
+    "gate_checks": (("directive_id", "directives"), ("target_run_id", "harness_runs"),),
+    "applications": (("directive_id", "directives"), ("gate_check_id", "gate_checks"),),
+    "promotions": (("artifact_id", "artifacts"), ("directive_id", "directives"), ("disposition_id", "dispositions"),),
+    "releases": (("artifact_ids", "artifacts"),),
+    "runbooks": (("release_version", "releases"),),
+    "steps": (("runbook_id", "runbooks"), ("tool_id", "tools"),),
+    "automaton_runs": (("runbook_id", "runbooks"), ("parent_flow_run_id", "flow_runs"), ("flow_state_id", "flow_states"),),
+    "automaton_events": (("run_id", "automaton_runs"),),
+    "automaton_flows": (("release_version", "releases"),),
+    "flow_states": (("flow_id", "automaton_flows"), ("runbook_id", "runbooks"),),
+    "flow_transitions": (("flow_id", "automaton_flows"), ("from_state_id", "flow_states"), ("to_state_id", "flow_states"),),
+    "flow_runs": (("flow_id", "automaton_flows"), ("current_state_id", "flow_states"),),
+    "flow_transition_events": (("flow_run_id", "flow_runs"),),
+    "decision_records": (("disposition_id", "dispositions"),),
 }
 NULL_OPTION = "decide nothing"
 DECIDED = ("approved", "acted")
 RUNGS = ("configure", "role", "scenario", "wrap", "patch", "fork")
-#: The playbook whose records rule I-17 looks at.
-MUTATIONS = "dsys-mutation-playbook"
+#: The playbook whose records rule I-17 looks at, where ``validate`` isn't told another.
+MUTATIONS = "mutation-playbook"
 TRIGGERS = ("timer", "run_completed", "run_aborted", "external")
 QUEUE_RANKS = {"conflict": 0, "error": 1, "uncertainty": 2}
 
@@ -111,12 +112,11 @@ def references(t: Tables) -> DataFrame:
     refs, ids = [], []
     for i, (coll, edges) in enumerate(REFERENCES.items()):
         kinds = dict(t[coll].dtypes)
-        each = [e.split(":") for e in edges.split()]
         one = lambda f: F.col(f) if kinds[f].startswith("array") else F.array(f)
-        entries = F.flatten(F.array(*(_entries(one(f), f, to, k) for k, (f, to) in enumerate(each))))
+        entries = F.flatten(F.array(*(_entries(one(f), f, to, k) for k, (f, to) in enumerate(edges))))
         rows = t[coll].select(F.lit(coll).alias("coll"), "_key", (F.lit(i * 10**9).cast("bigint") + F.col("_ord").cast("bigint") * 1000).alias("at"), F.explode(entries).alias("e"))
         refs.append(rows.select("coll", "_key", (F.col("at") + F.col("e.k")).alias("sub"), "e.field", "e.target", "e.ref").where("ref IS NOT NULL"))
-    for coll in sorted({e.split(":")[1] for edges in REFERENCES.values() for e in edges.split()}):
+    for coll in sorted({to for edges in REFERENCES.values() for _, to in edges}):
         ids.append(t[coll].select(F.lit(coll).alias("target"), F.col("version" if coll == "releases" else "_key").alias("ref")))
     lost = union(*refs).join(union(*ids).distinct(), ["target", "ref"], "left_anti")
     return lost.select(F.col("_key").alias("subject"), "sub", say("RI: %s.%s.%s -> %s '%s' missing", "coll", "_key", "field", "target", "ref").alias("message"))
@@ -439,11 +439,12 @@ def step_policy(t: Tables) -> DataFrame:
 
 
 @rule("I-17")
-def mutation_records(t: Tables) -> DataFrame:
+def mutation_records(t: Tables, playbook: str = MUTATIONS) -> DataFrame:
+    """The records of the playbook by which a system changes itself; its name is the caller's."""
     adopted, rung = F.col("verdict") == "adopted", F.col("rung")
     m = lambda s, *c: say("I-17: mutation record %s: " + s, "_key", *c)
     return found(
-        t["decision_records"].where(F.col("playbook") == MUTATIONS),
+        t["decision_records"].where(F.col("playbook") == playbook),
         (rung.isNotNull() & ~rung.isin(*RUNGS), m(f"unknown rung '%s' (expected one of {', '.join(RUNGS)})", "rung")),
         (F.col("reason_status").isNotNull() & ~F.col("reason_status").isin("accepted", "pending"), m("unknown reason_status '%s' (expected accepted|pending)", "reason_status")),
         (adopted & rung.isNull(), m("adopted with no rung selected")),
@@ -474,7 +475,8 @@ def orphan_queue(t: Tables) -> DataFrame:
     return lost.select(F.lit("queue").alias("subject"), F.lit(0).cast("bigint").alias("sub"), message.alias("message"))
 
 
-def validate(t: Tables, only: Sequence[str] = ()) -> DataFrame:
+def validate(t: Tables, only: Sequence[str] = (), *, mutation_playbook: str = MUTATIONS) -> DataFrame:
     """``rule_ord, rule, subject, sub, message`` of all violations (or of the rules named)."""
-    picked = [(i, name, f) for i, (name, f) in enumerate(RULES) if not only or name in only]
+    own = {mutation_records: functools.partial(mutation_records, playbook=mutation_playbook)}
+    picked = [(i, name, own.get(f, f)) for i, (name, f) in enumerate(RULES) if not only or name in only]
     return union(*(f(t).select(F.lit(i).alias("rule_ord"), F.lit(name).alias("rule"), "subject", "sub", "message") for i, name, f in picked))
