@@ -13,6 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.sources.tables import shared_folder
+
 #: Characters of text that a Python function gets at once, at least one row.
 BLOCK_CHARS = 1 << 23
 
@@ -69,24 +71,17 @@ def map_texts(
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, out)
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors share (``shared_folder``)."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share, and read again.
 
-    Cuts lineage so that a lost executor never restarts the work before it.  The
-    folder is ``spark.checkpoint.dir``.  Where the session names none, a temporary
-    folder is set in its place on one machine (tests); on a cluster, whose
-    executors would not find it, that is an error.
+    Cuts lineage so that a lost executor never restarts the work before it.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="veriloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/veriloom-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_uri(df.sparkSession, "veriloom")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
@@ -115,6 +110,10 @@ def scratch(keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
 
 def drop_table(df: DataFrame) -> None:
     """Deletes what ``shared_table`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    drop_folder(df.sparkSession, df.shared_path)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reaches."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

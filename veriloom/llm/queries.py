@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.llm import bpe, fingerprints, line_dedup, minhash_dedup, packing, quality_rules, secret_scans, token_counts, toxicity, url_filters
-from veriloom.llm.columns import documents
+from veriloom.llm import bpe, fingerprints, id_files, line_dedup, minhash_dedup, packing, quality_rules, resampling, secret_scans, spelling, token_counts, toxicity, url_filters
+from veriloom.llm.columns import documents, drop_folder, shared_table, shared_uri
 
 #: Rules and listed hosts that the url query applies.
 URL_RULES = (
@@ -67,10 +67,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(docs, counts=("n_units_removed", "n_chars_removed"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir), misprint=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = documents(spark, sf_dir), shared_uri(spark, "ids")
+    id_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    out = shared_table(id_files.offsets(spark, folder, docs.schema["doc_id"].dataType))
+    drop_folder(spark, folder)
+    return out
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     every = (
         op1_url_filter, op2_near_duplicates, op3_token_counts, op4_packing, op5_byte_bpe,
         op6_toxicity, op7_quality_rules, op8_fingerprints, op9_secret_scans, op10_line_dedup,
+        op11_spelling_variants, op12_id_files, op13_resampling,
     )
     return {f.__name__: f for f in every}
 
