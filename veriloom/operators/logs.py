@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.functions.guards import compile_guard
+from veriloom.operators.prefixes import running_merge
+
 
 def fold_last(log: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """The last non-null value of each key: ``keys, value`` (last writer wins, no sort)."""
@@ -86,6 +89,48 @@ def pick_transition(events: DataFrame, transitions: DataFrame, *, event_id: str,
     return grouped.select(event_id, F.when(taken.isNotNull(), "taken").when(several, "ambiguous").otherwise("unhandled").alias("outcome"), taken.alias("transition_id"))
 
 
+def replay(
+    events: DataFrame, transitions: DataFrame, run: Sequence[str], seq: str, *, initial: str, guards: Sequence[str], root: str = "payload", parts: int | None = None
+) -> DataFrame:
+    """``events`` with what each should have been: ``expected_state, winners, transition_id, fault``.
+
+    ``events``: a run, its ``seq``, ``from_state, to_state, trigger, payload``;
+    ``transitions``: ``transition_id, from_state, trigger, guard, to_state``, their
+    guards (null: always true) among ``guards``.  A guard sees the payloads of the
+    run up to its event, merged under the name ``root`` (``prefixes.running_merge``).
+    An event must start where the one before it ended (the first at ``initial``), and
+    of the transitions from there on its trigger exactly one must be true, which leads
+    where the event did.  ``fault`` (fixed texts) says which of these fails;
+    ``transition_id`` is the one true transition.
+    """
+    merged = running_merge(events, run, [seq], "payload", previous=["to_state"], parts=parts)
+    merged = merged.withColumn("expected_state", F.coalesce("to_state_before", F.lit(initial))).drop("to_state_before")
+    # One row a state and trigger: definitions, so an event meets its candidates without a shuffle of its own.
+    known = transitions.groupBy(F.col("from_state").alias("expected_state"), "trigger").agg(F.array_sort(F.collect_list(F.struct("transition_id", "guard", "to_state"))).alias("__known"))
+    tests = [(text, compile_guard(text, {root: F.col("merged")})) for text in sorted(set(guards))]
+
+    def holds(t: Column) -> Column:
+        out = F.when(t["guard"].isNull(), True)
+        for text, truth in tests:
+            out = out.when(t["guard"] == text, truth)
+        return F.coalesce(out, F.lit(False))
+
+    judged = merged.join(known, ["expected_state", "trigger"], "left").withColumn("__won", F.filter(F.coalesce("__known", F.array().cast(known.schema["__known"].dataType)), holds))
+    ids = F.transform("__won", lambda t: t["transition_id"])
+    text = lambda c: F.col(c).cast("string")
+    shown = F.concat(F.lit("["), F.array_join(F.transform(ids, lambda i: F.concat(F.lit("'"), i.cast("string"), F.lit("'"))), ", "), F.lit("]"))
+    only = F.size("__won") == 1
+    fault = F.when(~F.col("from_state").eqNullSafe(F.col("expected_state")), F.format_string("replay: event %s starts at %s, expected %s", text(seq), "from_state", "expected_state")).when(
+        ~only | ~F.col("__won")[0]["to_state"].eqNullSafe(F.col("to_state")), F.format_string("replay: event %s does not re-derive (winners=%s)", text(seq), shown)
+    )
+    return judged.select(*(F.col(f"`{c}`") for c in events.columns), "merged", "expected_state", ids.alias("winners"), F.when(only, F.get("__won", F.lit(0))["transition_id"]).alias("transition_id"), fault.alias("fault"))
+
+
+def first_faults(replayed: DataFrame, run: Sequence[str], seq: str) -> DataFrame:
+    """``run, seq, fault``: where the replay of each run stops."""
+    return replayed.where("fault IS NOT NULL").groupBy(*run).agg(F.min(seq).alias(seq), F.min_by("fault", seq).alias("fault"))
+
+
 def uncommitted(log: DataFrame, commits: DataFrame, run: Sequence[str], seq: str, last: str) -> DataFrame:
     """``run, n, first_seq, last_seq, gapless``: what lies past each run's last commit."""
     mark = commits.groupBy(*run).agg(F.max(last).alias("mark"))
