@@ -25,23 +25,26 @@ KEY, COLUMN = "k", "c"
 
 def running_merge(
     log: DataFrame, run: Sequence[str], order: Sequence[str], payload: str, *,
-    into: str = "merged", previous: Sequence[str] = (), resets: Column | None = None, inclusive: bool = True, parts: int | None = None,
+    into: str = "merged", previous: Sequence[str] = (), resets: Column | None = None, inclusive: bool = True, highest: bool = False, parts: int | None = None,
 ) -> DataFrame:
     """``log`` with ``into``, the merged payloads of the run's rows up to each row, as JSON with sorted keys.
 
     ``inclusive``: with the row's own payload.  ``previous``: string columns of which
     ``<name>_before`` gives the run's row before (null at its first).  Where
-    ``resets`` holds, what came before is dropped.  ``order`` tells a run's rows
-    apart.  ``parts``: the number of ranges (default: Spark's).
+    ``resets`` holds, what came before is dropped.  ``highest``: values are whole
+    numbers, and of each key the highest stays, not the last (without ``resets``).
+    ``order`` tells a run's rows apart.  ``parts``: the number of ranges (default: Spark's).
 
     A payload that is null, no JSON or no object merges nothing.  Runs may be null.
     """
+    if highest and resets is not None:
+        raise ValueError("resets don't go with the highest values")
     runs = [f"__r{i}" for i in range(len(run))]
     marked = log.withColumns({n: F.col(c) for n, c in zip(runs, run)} | {"__payload": F.col(payload).cast("string"), "__reset": F.coalesce(resets, F.lit(False)) if resets is not None else F.lit(False)})
     ranged = marked.repartitionByRange(parts, *runs, *order) if parts else marked.repartitionByRange(*runs, *order)
     dealt = settled(ranged.withColumn("__part", F.spark_partition_id()))
 
-    given = _handed_on(dealt, runs, order, previous)
+    given = _handed_on(dealt, runs, order, previous, highest)
     carry_type = given.schema["__carry"].dataType
     lines = dealt.withColumn("__carry", F.lit(None).cast(carry_type)).unionByName(given, allowMissingColumns=True).withColumn("__own", F.col("__carry").isNull())
     out = StructType([*log.schema.fields, StructField(into, StringType()), *(StructField(f"{c}_before", StringType()) for c in previous)])
@@ -68,7 +71,7 @@ def running_merge(
                 text = None if inclusive else _text(state)
                 if reset:
                     state = {}
-                state.update(_object(given_text))
+                _merge(state, _object(given_text), highest)
                 merged.append(_text(state) if inclusive else text)
                 for column, c in zip(priors, previous):
                     column.append(before.get(c))
@@ -92,13 +95,19 @@ def _object(text: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
+def _merge(state: dict, found: dict, highest: bool) -> None:
+    if highest:
+        found = {k: v for k, v in found.items() if k not in state or v > state[k]}
+    state.update(found)
+
+
 def _text(state: dict) -> str:
     import json
 
     return json.dumps(state, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def _handed_on(dealt: DataFrame, runs: list[str], order: Sequence[str], previous: Sequence[str]) -> DataFrame:
+def _handed_on(dealt: DataFrame, runs: list[str], order: Sequence[str], previous: Sequence[str], highest: bool) -> DataFrame:
     """``__part, runs, __carry``: for each later range of a run that lies in several, what it starts from."""
     spans = dealt.groupBy(*runs).agg(F.min("__part").alias("__from"), F.max("__part").alias("__to")).where("__from < __to")
     names = [f"{r}s" for r in runs]
@@ -135,7 +144,7 @@ def _handed_on(dealt: DataFrame, runs: list[str], order: Sequence[str], previous
                     place, state, before, anew = (part, row_run), {}, {}, False
                 if reset:
                     state, anew = {}, True
-                state.update(_object(payload))
+                _merge(state, _object(payload), highest)
                 before = dict(zip(previous, values))
             if made:
                 yield out()
@@ -145,6 +154,10 @@ def _handed_on(dealt: DataFrame, runs: list[str], order: Sequence[str], previous
 
     chosen = rows.select("__part", *runs, "__payload", "__reset", *(F.col(f"`{c}`").cast("string").alias(f"__p{k}") for k, c in enumerate(previous)))
     found = settled(chosen.mapInArrow(last, ends))
+    if highest:
+        so_far = W.partitionBy(*runs, "name").orderBy("__part").rowsBetween(W.unboundedPreceding, 0)
+        top = F.max(F.when(F.substring("name", 1, 1) == KEY, F.col("value").cast("bigint"))).over(so_far).cast("string")
+        found = found.withColumn("value", F.coalesce(top, "value"))
     # The first range after a part's own that starts the run anew: nothing is handed on beyond it.
     starts = found.groupBy("__part", *runs).agg(F.max(F.col("name").isNull()).alias("anew"))
     after = W.partitionBy(*runs).orderBy("__part").rowsBetween(1, W.unboundedFollowing)

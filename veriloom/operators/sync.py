@@ -1,10 +1,19 @@
-"""Operators that the surveyed documents only specify; nothing was ever built to compare with."""
+"""Operators that the surveyed documents only specify; nothing was ever built to compare with.
+
+Causal order is that of the observed edges (``before, after`` entry hashes) together
+with each writer's own entries in order of ``seq``.  It is kept as vector clocks:
+for each entry the highest ``seq`` of every writer that it can have known of, itself
+included.  One entry precedes another if the other's clock has its writer's ``seq`` or
+a higher one, so no closure of the order is ever made.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.operators.prefixes import running_merge
 from veriloom.sources.tables import settled
 
 
@@ -42,29 +51,96 @@ def causal_depth(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return done if done is not None else todo.withColumn("depth", F.lit(0))
 
 
-def converged(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """Entries with ``depth`` and their place ``pos`` in a linear extension of the causal order.
+def clocks(entries: DataFrame, edges: DataFrame, *, parts: int | None = None) -> DataFrame:
+    """``writer_id, seq, known_writer, known_seq``: each entry's vector clock, a row a writer, in the shared folder.
 
-    Depth rises along every edge, so (depth, writer_id, seq, entry_hash) is one;
-    which extension is meant beyond its ties is not specified.
+    Along a writer's entries clocks only grow, so the direct observations are first
+    merged along writers (``running_merge``: a writer's entries may lie in many tasks).
+    Each round then takes up the clocks of the latest entries known of each writer: it
+    doubles the number of changes of writer that a path may have, so there are as many
+    rounds as the logarithm of the most changes.  Writers are strings; entries of one
+    writer and ``seq`` share a clock; edges to unknown entries are left out, and so are
+    those within one writer, whose order is that of ``seq``.
+    """
+    known = entries.select("writer_id", F.col("seq").cast("bigint").alias("seq"), "entry_hash")
+    links = edges.where("before <> after").join(known.withColumnsRenamed({"entry_hash": "before", "writer_id": "w", "seq": "s"}), "before").join(known.withColumnRenamed("entry_hash", "after"), "after").where("w <> writer_id")
+    seen = links.groupBy("writer_id", "seq", "w").agg(F.max("s").alias("s")).groupBy("writer_id", "seq").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "s")))).alias("seen"))
+    rows = known.select("writer_id", "seq").distinct().join(seen, ["writer_id", "seq"], "left")
+    merged = running_merge(rows, ["writer_id"], ["seq"], "seen", highest=True, parts=parts).select("writer_id", "seq", F.from_json("merged", "map<string,bigint>").alias("m"))
+    own = F.create_map("writer_id", F.lit(None).cast("bigint"))
+    clock = F.map_concat(F.map_filter("m", lambda k, _: k != F.col("writer_id")), F.transform_values(own, lambda k, _: F.col("seq")))
+    now = settled(merged.select("writer_id", "seq", F.explode(clock).alias("known_writer", "known_seq")))
+    size = None
+    while size != (size := now.agg(F.count("*"), F.sum(F.col("known_seq").cast("decimal(38,0)"))).first()):
+        theirs = now.select(F.col("writer_id").alias("w"), F.col("seq").alias("s"), "known_writer", "known_seq")
+        mine = now.select("writer_id", "seq", F.col("known_writer").alias("w"), F.col("known_seq").alias("s"))
+        now = settled(mine.join(theirs, ["w", "s"]).groupBy("writer_id", "seq", "known_writer").agg(F.max("known_seq").alias("known_seq")))
+    return now
+
+
+def on_cycles(clock: DataFrame) -> DataFrame:
+    """``writer_id, seq`` of entries that some entry precedes which they precede: no order holds them."""
+    theirs = clock.select(F.col("writer_id").alias("known_writer"), F.col("seq").alias("known_seq"), F.col("known_writer").alias("writer_id"), F.col("known_seq").alias("back"))
+    seen = clock.where("known_writer <> writer_id").join(theirs, ["known_writer", "known_seq", "writer_id"])
+    return seen.where("back >= seq").select("writer_id", "seq").distinct()
+
+
+def converged(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = None) -> DataFrame:
+    """Entries with ``past`` and their place ``pos`` in a linear extension of the causal order.
+
+    ``past``, the sum over the clock of ``seq`` + 1 (numbers count from 0; the size of
+    the past where they have no gaps), rises along every edge, so (past, writer_id,
+    seq, entry_hash) is such an extension; which one is meant beyond its ties is not
+    specified.  Entries on a cycle are left out.
     """
     from veriloom.operators.integrity import positions
 
-    return positions(entries.join(causal_depth(entries, edges), "entry_hash"), ["depth", "writer_id", "seq", "entry_hash"])
+    clock = clocks(entries, edges) if clock is None else clock
+    past = clock.groupBy("writer_id", "seq").agg(F.sum(F.col("known_seq") + 1).alias("past")).join(on_cycles(clock), ["writer_id", "seq"], "left_anti")
+    return positions(entries.join(past, ["writer_id", "seq"]), ["past", "writer_id", "seq", "entry_hash"])
 
 
-def divergent(entries: DataFrame, edges: DataFrame) -> DataFrame:
-    """``entity_ref, a, b``: pairs of entries on one entity of which neither precedes the other.
+def rivals(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = None) -> DataFrame:
+    """``entity_ref, writer_id, seq, other, first, past_last``: for each entry and each other writer of its entity, that writer's entries (by their number on the entity, from 0) of which neither precedes the other.
 
-    Reachability is by doubling over the entries of the table (small histories).
+    Of another writer, the entries that this one knows come first, and those that know
+    this one come last; both borders are found by counting in order of ``seq``, so no
+    two entries of an entity are ever compared.  Rows with an empty range are left out.
     """
-    reach = settled(edges.select(F.col("before").alias("a"), F.col("after").alias("b")).distinct())
-    n = reach.count()
-    while True:
-        more = settled(reach.union(reach.select("a", F.col("b").alias("m")).join(reach.select(F.col("a").alias("m"), F.col("b")), "m").select("a", "b")).distinct())
-        if (size := more.count()) == n:
-            break
-        reach, n = more, size
-    x, y = (entries.select("entity_ref", F.col("entry_hash").alias(c)) for c in "ab")
-    pairs = x.join(y, "entity_ref").where("a < b")
-    return pairs.join(reach, ["a", "b"], "left_anti").join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    clock = clocks(entries, edges) if clock is None else clock
+    rows = entries.where("entity_ref IS NOT NULL").select("entity_ref", "writer_id", F.col("seq").cast("bigint").alias("seq")).distinct()
+    writers = rows.select("entity_ref", F.col("writer_id").alias("other")).distinct()
+    pairs = rows.join(writers, "entity_ref").where("other <> writer_id")
+    knows = clock.select("writer_id", "seq", F.col("known_writer").alias("other"), "known_seq")
+    pairs = settled(pairs.join(knows, ["writer_id", "seq", "other"], "left").withColumn("known_seq", F.coalesce("known_seq", F.lit(-1))))
+
+    def counted(probes: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+        """Each probe with the number of marks of its (entity, reader, other) that are at most ``at``."""
+        both = probes.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1)), allowMissingColumns=True)
+        up_to = W.partitionBy("entity_ref", "other", *(c for c in ("writer_id",) if c in marks.columns)).orderBy("at", F.desc("mark")).rowsBetween(W.unboundedPreceding, 0)
+        return both.withColumn(name, F.sum("mark").over(up_to)).where("mark = 0").drop("mark", "at")
+
+    lower = counted(pairs.select("entity_ref", "writer_id", "seq", "other", F.col("known_seq").alias("at")), rows.select("entity_ref", F.col("writer_id").alias("other"), F.col("seq").alias("at")), "first")
+    # Entries of the other writer that know less of this writer than this entry: the other writer's pairs, seen from here.
+    seen = pairs.select("entity_ref", F.col("other").alias("writer_id"), F.col("writer_id").alias("other"), F.col("known_seq").alias("at"))
+    upper = counted(pairs.select("entity_ref", "writer_id", "seq", "other", (F.col("seq") - 1).alias("at")), seen, "past_last")
+    return lower.join(upper, ["entity_ref", "writer_id", "seq", "other"]).where("first < past_last")
+
+
+def divergent(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = None) -> DataFrame:
+    """``entity_ref, a, b``: pairs of entries on one entity of which neither precedes the other."""
+    ranges = rivals(entries, edges, clock=clock).where("writer_id < other")
+    rows = entries.select("entity_ref", "writer_id", F.col("seq").cast("bigint").alias("seq"), "entry_hash")
+    # Entries that share a writer and a number share their place.
+    number = F.dense_rank().over(W.partitionBy("entity_ref", "writer_id").orderBy("seq")) - 1
+    numbered = rows.where("entity_ref IS NOT NULL").withColumn("number", number)
+    pairs = ranges.withColumn("number", F.explode(F.sequence(F.col("first"), F.col("past_last") - 1))).select("entity_ref", "writer_id", "seq", "other", "number")
+    mine = pairs.join(rows.withColumnRenamed("entry_hash", "x"), ["entity_ref", "writer_id", "seq"])
+    met = mine.join(numbered.select("entity_ref", F.col("writer_id").alias("other"), "number", F.col("entry_hash").alias("y")), ["entity_ref", "other", "number"])
+    return met.select("entity_ref", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def conflicts(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = None) -> DataFrame:
+    """``entity_ref, writer_id, seq, n``: entries that diverge from ``n`` others on their entity; pairs are counted, not made."""
+    found = rivals(entries, edges, clock=clock)
+    return found.groupBy("entity_ref", "writer_id", "seq").agg(F.sum(F.col("past_last") - F.col("first")).cast("bigint").alias("n"))
