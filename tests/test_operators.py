@@ -128,3 +128,45 @@ def test_schema(spark):
 def test_streaks_and_frontier(spark):
     log = spark.createDataFrame([("r", i, k) for i, k in enumerate("ffofff")], "run string, seq int, k string")
     assert [r.k2 for r in logs.streaks(log, ["run"], ["seq"], F.col("k") == "f", F.col("k") == "o").withColumnRenamed("k", "k2").orderBy("seq").collect()] == [1, 2, 1, 2, 3]
+
+
+def test_ordered_digests(spark):
+    from veriloom.operators.digests import ordered_digest
+
+    rows = [(g, i, None if i % 11 == 0 else f"x{i * 7 % 13}") for i, g in enumerate(["a", "b", None, "a"] * 50)]
+    df = spark.createDataFrame(rows, "g string, o int, t string").repartition(5)
+    want = {g: (sum(r[0] == g for r in rows), hashlib.sha256(("h" + "\n".join(r[2] for r in sorted(rows, key=lambda r: -r[1]) if r[0] == g and r[2] is not None)).encode()).hexdigest()) for g in ("a", "b", None)}
+    assert {r.g: (r.n, r.sha256) for r in ordered_digest(df, ["g"], [-F.col("o")], "t", head=F.lit("h")).collect()} == want
+    every = hashlib.sha256("".join(r[2] or "" for r in rows).encode()).hexdigest()
+    assert [tuple(r) for r in ordered_digest(df, [], ["o"], "t", sep="").collect()] == [(200, every)]
+    assert [tuple(r) for r in ordered_digest(df.limit(0), [], ["o"], "t").collect()] == [(0, hashlib.sha256(b"").hexdigest())]
+    assert ordered_digest(df.limit(0), ["g"], ["o"], "t").count() == 0
+    long = spark.range(300_000).select(F.lit(1).alias("g"), "id")
+    assert ordered_digest(long, ["g"], ["id"], F.col("id").cast("string")).first().sha256 == hashlib.sha256("\n".join(map(str, range(300_000))).encode()).hexdigest()
+
+
+def test_directories_with_links(spark):
+    files = spark.createDataFrame([("d", "b", b"target", "l"), ("d", "a", b"xy", "f"), ("d", "c", None, "o")], "d string, p string, c binary, k string")
+    want = b"a\0f" + (2).to_bytes(8, "big") + b"xy" + b"b\0ltarget" + b"c\0o"
+    assert derive.directory_bytes(files, ["d"], "p", "c", kind="k").first().sha256 == hashlib.sha256(want).hexdigest()
+
+
+def test_closings_of_long_tails_take_few_rounds(spark, monkeypatch):
+    n = 60
+    rows = [*((f"t{i:02d}", f"t{i + 1:02d}" if i < n - 1 else "c0") for i in range(n)), ("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("s", "s"), ("u", "c2")]
+    made = []
+    monkeypatch.setattr(integrity, "settled", lambda df, real=integrity.settled: made.append(1) or real(df))
+    got = {r.k: r.closing for r in integrity.closings(spark.createDataFrame(rows, "k string, up string"), "k", "up").collect()}
+    assert got == {k: "s" if k == "s" else "c2" if k == "u" else k if k[0] == "c" else "c0" for k, _ in rows}
+    assert len(made) < 22
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_holdout_is_the_least_hashes(spark, digits):
+    rows = [(i, "a" if i % 3 else None, "x") for i in range(200)] + [(900, "b", "x"), (901, "c", "x"), (902, "c", "x")]
+    got = stats.holdout(spark.createDataFrame(rows, "k int, s string, __hash2 string"), ["s"], "k", 0.2, digits=digits).collect()
+    want = set()
+    for s in ("a", "b", "c", None):
+        keys = sorted((k for k, t, _ in rows if t == s), key=lambda k: hashlib.sha256(f"42:{k}".encode()).hexdigest())
+        want |= set(keys[: max(1, int(len(keys) * 0.2))])
+    assert {r.k for r in got if r.part == "test"} == want and len(got) == len(rows)

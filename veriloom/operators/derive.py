@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.operators.digests import ordered_digest
 
-def directory_bytes(files: DataFrame, group: Sequence[str], path: str, content: str) -> DataFrame:
-    """``group, sha256``: the digest of a tree's canonical bytes.
 
-    Files in order of path; each as path, NUL, ``f``, the content's length in
-    eight bytes (big-endian), content.
+def directory_bytes(files: DataFrame, group: Sequence[str], path: str, content: str, *, kind: str | None = None) -> DataFrame:
+    """``group, n, sha256``: the digest of a tree's canonical bytes.
+
+    Entries in order of path; a file as path, NUL, ``f``, the content's length in eight
+    bytes (big-endian), content.  ``kind`` names a column of ``f``, ``l`` (a symbolic link:
+    path, NUL, ``l``, its target as content) or ``o`` (anything else: nothing after it);
+    without it all are files.
     """
     length = F.unhex(F.lpad(F.hex(F.length(content)), 16, "0"))
-    entry = F.concat(F.col(path).cast("binary"), F.lit(b"\0f"), length, F.col(content))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), entry.alias("b")))), lambda x: x["b"])
-    whole = F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))
-    return files.groupBy(*group).agg(F.sha2(whole, 256).alias("sha256"))
+    which = F.lit("f") if kind is None else F.col(kind)
+    rest = F.when(which == "f", F.concat(length, F.col(content))).when(which == "l", F.col(content)).otherwise(F.lit(b""))
+    entry = F.concat(F.col(path).cast("binary"), F.lit(b"\0"), which.cast("binary"), rest)
+    return ordered_digest(files, group, [path], entry, sep="")
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:
@@ -34,10 +38,11 @@ def entity_set_hash(collections: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sorted(collections.items()):
         fields = {c: F.col(c) for c in df.columns if c not in ("_key", "_ord")}
-        lines = F.transform(F.array_sort(F.collect_list(F.struct("_key", canonical_json(fields).alias("j")))), lambda x: x["j"])
-        one = df.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256")).select(F.lit(name).alias("collection"), "sha256")
-        out = one if out is None else out.unionByName(one)
-    return out
+        # A row without data stands for the collection, so that an empty one has a digest too.
+        line = df.select(F.lit(name).alias("collection"), "_key", canonical_json(fields).alias("line"))
+        none = df.sparkSession.createDataFrame([(name, None, None)], line.schema)
+        out = line.union(none) if out is None else out.union(line).union(none)
+    return ordered_digest(out, ["collection"], ["_key"], "line").select("collection", "sha256")
 
 
 def derive(manifests: DataFrame, inputs: DataFrame, known: Sequence[str] = ("identity",)) -> DataFrame:
@@ -50,20 +55,24 @@ def derive(manifests: DataFrame, inputs: DataFrame, known: Sequence[str] = ("ide
     digest = F.sha2("content", 256)
     failure = F.when(F.col("content").isNull(), F.concat(F.lit("missing input "), F.col("path"))).when(F.col("pin").isNotNull() & (F.col("pin") != digest), F.concat(F.lit("pin mismatch "), F.col("path")))
     rows = inputs.withColumn("failure", failure)
+    # Contents and lines go through a running hash; only a manifest's failures are kept together.
     each = rows.groupBy("manifest_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "path", "pin", "content", "failure"))).alias("all"),
+        F.array_sort(F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("pos", "failure")))).alias("failed"),
         F.min(F.col("pin").isNotNull()).alias("pinned"),
     )
     both = manifests.join(each, "manifest_id", "left")
-    output = F.aggregate(F.transform("all", lambda x: F.coalesce(x["content"], F.lit(b""))), F.lit(b""), lambda a, b: F.concat(a, b))
+    outputs = ordered_digest(rows, ["manifest_id"], ["pos"], F.coalesce("content", F.lit(b"")), sep="", name="output").select("manifest_id", "output")
+    head = F.concat(F.concat_ws("\0", "derivation", "toolchain"), F.lit("\0"))
+    lines = manifests.join(inputs.select("manifest_id", "pos", F.concat_ws("\0", "path", F.coalesce("pin", F.lit(""))).alias("line")), "manifest_id", "left")
+    hashes = ordered_digest(lines, ["manifest_id"], ["pos"], "line", head=head, name="manifest_hash").select("manifest_id", "manifest_hash")
     problems = F.array_distinct(F.concat(
         F.when(~F.col("derivation").isin(*known), F.array(F.concat(F.lit("unknown derivation "), F.col("derivation")))).otherwise(F.array().cast("array<string>")),
-        F.coalesce(F.filter(F.transform("all", lambda x: x["failure"]), lambda f: f.isNotNull()), F.array().cast("array<string>")),
+        F.coalesce(F.transform("failed", lambda x: x["failure"]), F.array().cast("array<string>")),
     ))
-    lines = F.array_join(F.transform("all", lambda x: F.concat_ws("\0", x["path"], F.coalesce(x["pin"], F.lit("")))), "\n")
-    return both.select(
-        "manifest_id", F.sha2(F.concat_ws("\0", "derivation", "toolchain", F.coalesce(lines, F.lit(""))), 256).alias("manifest_hash"),
-        (F.size(problems) == 0).alias("ok"), problems.alias("failures"), F.when(F.size(problems) == 0, F.sha2(F.coalesce(output, F.lit(b"")), 256)).alias("output_hash"), F.coalesce("pinned", F.lit(True)).alias("pinned"),
+    empty = F.sha2(F.lit(b""), 256)
+    return both.join(hashes, "manifest_id").join(outputs, "manifest_id", "left").select(
+        "manifest_id", "manifest_hash",
+        (F.size(problems) == 0).alias("ok"), problems.alias("failures"), F.when(F.size(problems) == 0, F.coalesce("output", empty)).alias("output_hash"), F.coalesce("pinned", F.lit(True)).alias("pinned"),
     )
 
 

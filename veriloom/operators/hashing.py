@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.operators.digests import ordered_digest
+
 
 def listing_hash(df: DataFrame, group: Sequence[str], path: str, digest: str) -> DataFrame:
     """``group, n, listing_sha256``: SHA-256 of the sorted ``path:digest`` lines."""
-    lines = F.array_sort(F.collect_list(F.concat_ws(":", F.col(path).cast("string"), F.col(digest))))
-    return df.groupBy(*group).agg(F.count("*").alias("n"), F.sha2(F.array_join(lines, "\n"), 256).alias("listing_sha256"))
+    line = F.concat_ws(":", F.col(path).cast("string"), F.col(digest))
+    return ordered_digest(df, group, [line], line, name="listing_sha256")
 
 
 def key_hash(*parts: Column, size: int = 16) -> Column:

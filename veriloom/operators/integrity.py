@@ -87,6 +87,11 @@ def unattended(queue: DataFrame, attendants: DataFrame, item: str, order: Sequen
     return listed.join(some, F.col("attending") == 0).select("n", F.transform("q", lambda x: x[item]).alias("items"))
 
 
+def unattended_rows(queue: DataFrame, attendants: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The queue's rows with their position ``pos`` if nobody attends; else none."""
+    return positions(queue if attendants.isEmpty() else queue.limit(0), order)
+
+
 def findings(df: DataFrame, keys: Sequence[str], tests: Sequence[tuple[str, Column]]) -> DataFrame:
     """One row ``keys, finding`` for each test that a row fails; tests in order, all in one pass."""
     found = F.array(*(F.when(failed, F.lit(name)) for name, failed in tests))
@@ -133,16 +138,18 @@ def chains(df: DataFrame, key: str, parent: str, *, limit: int | None = None) ->
 def closings(df: DataFrame, key: str, parent: str) -> DataFrame:
     """``key, closing``: for walks that all end in a cycle, the first member of the cycle that each walk meets.
 
-    ``df`` holds every row of those walks.  Rows that others never lead back to are
-    trimmed off, layer by layer (each round takes away the rows nobody points to),
-    so that the cycles alone are left; the trimmed rows then take the answer of the
-    row they point to, by pointer doubling.
+    ``df`` holds every row of those walks.  Where a walk of 2, 4, 8 links ends is found
+    by doubling.  Once that is longer than every tail, the places where walks end are
+    exactly the members of cycles, and another doubling leaves their number as it is
+    (before, it falls).  Rows of tails then take the answer of the row they point to,
+    by doubling too, so there are as many rounds as the logarithm of the longest tail.
     """
     rows = df.select(F.col(key).alias("key"), F.col(parent).alias("up"))
-    ring, before = settled(rows), -1
-    while (n := ring.count()) != before:
+    now, before = settled(rows.select("key", F.col("up").alias("at"))), -1
+    while (n := now.select("at").distinct().count()) != before:
         before = n
-        ring = settled(ring.join(ring.select(F.col("up").alias("key")).distinct(), "key", "left_semi"))
+        now = settled(now.join(now.select(F.col("key").alias("at"), F.col("at").alias("at2")), "at").select("key", F.col("at2").alias("at")))
+    ring = settled(now.select(F.col("at").alias("key")).distinct())
     stays = ring.select("key", F.lit(True).alias("ring"))
     now = rows.join(stays, "key", "left").select("key", F.when(F.col("ring"), F.col("key")).otherwise(F.col("up")).alias("at"), F.col("ring"))
     known = stays.select(F.col("key").alias("at"), F.lit(True).alias("there"))

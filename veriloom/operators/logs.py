@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veriloom.functions.guards import compile_guard
+from veriloom.operators.digests import ordered_digest
 from veriloom.operators.prefixes import running_merge
 
 
@@ -53,8 +54,7 @@ def prefix_last(log: DataFrame, run: Sequence[str], order: Sequence[str], values
 
 def path_hash(log: DataFrame, run: Sequence[str], order: Sequence[str], step: str) -> DataFrame:
     """``run, n, path_sha256``: SHA-256 of a run's steps in order, joined by line feeds."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(step).alias("__step")))), lambda x: x["__step"])
-    return log.groupBy(*run).agg(F.count("*").alias("n"), F.sha2(F.array_join(steps, "\n"), 256).alias("path_sha256"))
+    return ordered_digest(log, run, [*order, step], step, name="path_sha256")
 
 
 def transition_pairs(log: DataFrame, run: Sequence[str], order: Sequence[str], step: str) -> DataFrame:

@@ -38,12 +38,27 @@ def confusion(df: DataFrame, group: Sequence[str], predicted: Column, actual: Co
     return out.select(*group, "tp", "fp", "fn", "tn", ratio(tp, tp + fp, 1.0).alias("precision"), ratio(tp, tp + fn, 1.0).alias("recall"), ratio(tp + tn, tp + fp + fn + tn, 0.0).alias("accuracy"))
 
 
-def holdout(df: DataFrame, strata: Sequence[str], key: str, share: float, seed: int = 42) -> DataFrame:
-    """``df`` with ``part``: at least one row of each stratum is ``test``, chosen by a hash of the key."""
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    w = W.partitionBy(*strata)
-    take = F.greatest(F.lit(1), F.floor(F.count("*").over(w) * share))
-    return df.withColumn("part", F.when(F.row_number().over(w.orderBy(order)) <= take, "test").otherwise("train"))
+def holdout(df: DataFrame, strata: Sequence[str], key: str, share: float, seed: int = 42, *, digits: int = 4) -> DataFrame:
+    """``df`` with ``part``: at least one row of each stratum is ``test``, the least by a hash of the key.
+
+    Distributed selection: a histogram of each stratum's hashes by their first
+    ``digits`` hexadecimal digits (combined before the shuffle) tells the bin in which
+    the last chosen row lies; rows of bins before it are chosen, and only that bin's
+    rows are ranked.  No stratum is ever sorted.
+    """
+    names = [f"__s{i}" for i in range(len(strata))]
+    hashed = df.withColumn("__hash", F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)).withColumn("__bin", F.substring("__hash", 1, digits))
+    bins = hashed.groupBy(*(F.col(c).alias(n) for c, n in zip(strata, names)), "__bin").agg(F.count("*").alias("__n"))
+    of_stratum = W.partitionBy(*names)
+    upto = F.sum("__n").over(of_stratum.orderBy("__bin").rowsBetween(W.unboundedPreceding, 0))
+    take = F.greatest(F.lit(1), F.floor(F.sum("__n").over(of_stratum) * share))
+    edges = bins.withColumn("__upto", upto).withColumn("__take", take).where("__upto >= __take").groupBy(*names).agg(
+        F.min("__bin").alias("__edge"), F.min_by(F.col("__take") - F.col("__upto") + F.col("__n"), "__bin").alias("__left"))
+    judged = hashed.join(edges, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(strata, names)])
+    on_edge = judged.where("__bin = __edge").withColumn("__rank", F.row_number().over(W.partitionBy(*strata).orderBy("__hash")))
+    chosen = on_edge.select(*(F.col(f"`{c}`") for c in df.columns), F.when(F.col("__rank") <= F.col("__left"), "test").otherwise("train").alias("part"))
+    rest = judged.where("__bin <> __edge").select(*(F.col(f"`{c}`") for c in df.columns), F.when(F.col("__bin") < F.col("__edge"), "test").otherwise("train").alias("part"))
+    return chosen.unionByName(rest)
 
 
 def best(df: DataFrame, group: Sequence[str], score: str, order: str) -> DataFrame:

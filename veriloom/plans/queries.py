@@ -122,22 +122,21 @@ def lww_fold(spark, d):
     return logs.fold_last(log, ["user_id"], ["event_id"], "k")
 
 
-@query("""WITH p AS (SELECT user_id, event_type AS f, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events),
-q AS (SELECT event_type AS f, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events WHERE user_id = 1 AND event_id < 400)
+@query("""WITH p AS (SELECT l_suppkey AS f, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS t FROM lineitem),
+q AS (SELECT l_suppkey AS f, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS t FROM lineitem)
 SELECT DISTINCT f AS from_step, t AS to_step FROM p WHERE t IS NOT NULL EXCEPT SELECT f, t FROM q WHERE t IS NOT NULL""")
 def new_pairs(spark, d):
-    log = table(spark, d, "events")
-    suite = logs.transition_pairs(log.where("user_id = 1 AND event_id < 400"), ["user_id"], ["ts", "event_id"], "event_type")
-    return hashing.new_pairs(logs.transition_pairs(log, ["user_id"], ["ts", "event_id"], "event_type"), suite)
+    lines = table(spark, d, "lineitem")
+    suite = logs.transition_pairs(lines, ["l_partkey"], ["l_orderkey", "l_linenumber", "l_suppkey"], "l_suppkey")
+    return hashing.new_pairs(logs.transition_pairs(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], "l_suppkey"), suite)
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' ELSE 'diverged' END AS status
-FROM (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT doc_id, toxic AS v FROM labels WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id
+FROM (SELECT doc_id, quality AS v FROM labels) a FULL JOIN (SELECT doc_id, CAST(n_chars % 2 AS INT) AS v FROM documents) b ON a.doc_id = b.doc_id
 WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.v IS DISTINCT FROM b.v""")
 def drift(spark, d):
-    labels = table(spark, d, "labels")
-    have = labels.where("doc_id % 5 <> 0").select("doc_id", F.col("quality").alias("v"))
-    want = labels.where("doc_id % 7 <> 0").select("doc_id", F.col("toxic").alias("v"))
+    have = table(spark, d, "labels").select("doc_id", F.col("quality").alias("v"))
+    want = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).cast("int").alias("v"))
     return hashing.drift(have, want, "doc_id", "v")
 
 
@@ -179,11 +178,11 @@ def ambiguous(spark, d):
     return integrity.ambiguous(table(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], F.col("l_discount") == 0)
 
 
-@query("""SELECT count(*) AS n, string_agg(event_id, ',' ORDER BY user_id, event_id) AS items FROM events
-WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X') AND user_id < 5 HAVING count(*) > 0""")
+@query("""SELECT event_id, row_number() OVER (ORDER BY user_id, event_id) AS pos FROM events
+WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'X')""")
 def orphan_queue(spark, d):
-    queue = table(spark, d, "events").where("event_type = 'error' AND user_id < 5")
-    return integrity.unattended(queue, table(spark, d, "orders").where("o_orderstatus = 'X'"), "event_id", ["user_id"]).withColumn("items", F.array_join("items", ","))
+    queue = table(spark, d, "events").where("event_type = 'error'").select("event_id", "user_id")
+    return integrity.unattended_rows(queue, table(spark, d, "orders").where("o_orderstatus = 'X'"), ["user_id", "event_id"]).select("event_id", "pos")
 
 
 @query("""SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_totalprice > 400000 THEN 'large' END,
@@ -242,18 +241,18 @@ def transition_pick_always(spark, d):
     return _picked(spark, d, "always")
 
 
-@query("""SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, role, lag(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END) OVER (PARTITION BY conv_id ORDER BY turn) AS expected FROM conversations WHERE turn % 7 <> 3)
-WHERE expected IS NOT NULL AND role IS DISTINCT FROM expected""")
+@query("""SELECT event_id, expected FROM (SELECT event_id, CAST(props->>'k' AS BIGINT) % 3 AS s, lag(user_id % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS expected FROM events)
+WHERE expected IS NOT NULL AND s IS DISTINCT FROM expected""")
 def replay_check(spark, d):
-    turns = table(spark, d, "conversations").where("turn % 7 <> 3").select("conv_id", "turn", "role", F.when(F.col("role") == "user", "assistant").otherwise("user").alias("after"))
-    return logs.discontinuities(turns, ["conv_id"], ["turn"], "role", "after").select("conv_id", "turn", "expected")
+    log = table(spark, d, "events").select("event_id", "user_id", (F.get_json_object("props", "$.k").cast("bigint") % 3).alias("start"), (F.col("user_id") % 3).alias("end"))
+    return logs.discontinuities(log, ["user_id"], ["event_id"], "start", "end").select("event_id", "expected")
 
 
-@query("""SELECT conv_id, turn, expected FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS expected FROM conversations WHERE (conv_id + turn) % 5 <> 0)
-WHERE turn <> expected""")
+@query("""SELECT l_orderkey, l_linenumber, expected FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS expected FROM lineitem)
+WHERE l_linenumber <> expected""")
 def seq_gaps(spark, d):
-    turns = table(spark, d, "conversations").where("(conv_id + turn) % 5 <> 0").select("conv_id", "turn")
-    return logs.gaps(turns, ["conv_id"], "turn").select("conv_id", "turn", F.col("expected").cast("bigint").alias("expected"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    return logs.gaps(lines, ["l_orderkey"], "l_linenumber", first=1).select("l_orderkey", "l_linenumber", F.col("expected").cast("bigint").alias("expected"))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bought_before FROM events""")
@@ -353,7 +352,7 @@ def pivot_matrix(spark, d):
     return stats.matrix(table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type"), ["day"], "event_type", REQUIRED)
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "conversations")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "conversations", "documents", "embeddings", "pages", "benchmark")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS collection, count(*) AS n FROM {t}" for t in _TABLES))
@@ -361,11 +360,11 @@ def counts(spark, d):
     return stats.counts({t: table(spark, d, t) for t in _TABLES})
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.feedback, b.previous FROM (SELECT doc_id, CASE WHEN trim(lang) <> '' THEN lang END AS feedback FROM documents WHERE doc_id % 3 <> 0) a
-FULL JOIN (SELECT doc_id, source AS previous FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id WHERE a.feedback IS NOT NULL OR b.previous IS NOT NULL""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.feedback, b.previous FROM (SELECT doc_id, CASE WHEN trim(lang) <> '' THEN lang END AS feedback FROM documents) a
+FULL JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' END AS previous FROM labels) b ON a.doc_id = b.doc_id WHERE a.feedback IS NOT NULL OR b.previous IS NOT NULL""")
 def feedback_merge(spark, d):
-    docs = table(spark, d, "documents")
-    runs, before = docs.where("doc_id % 3 <> 0").select("doc_id", F.col("lang").alias("note")), docs.where("doc_id % 4 <> 0").select("doc_id", F.col("source").alias("note"))
+    runs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("note"))
+    before = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise(" ").alias("note"))
     return stats.merge_feedback(runs, before, "doc_id", "note")
 
 
@@ -459,15 +458,14 @@ def retry_score(spark, d):
     return stats.retry_score(table(spark, d, "orders"), ["o_custkey"], F.col("o_orderstatus") == "F")
 
 
-@query("""SELECT event_type, user_id, sha256(string_agg('{"event_id":' || event_id || ',"k":' || (props->>'k') || ',"user_id":' || user_id || '}', chr(10) ORDER BY event_id)) AS sha256 FROM events WHERE user_id < 20 GROUP BY ALL""")
+@query("""SELECT event_type, user_id, sha256(string_agg('{"event_id":' || event_id || ',"k":' || (props->>'k') || ',"user_id":' || user_id || '}', chr(10) ORDER BY event_id)) AS sha256 FROM events GROUP BY ALL""")
 def canonical_rows(spark, d):
     from veriloom.operators.derive import canonical_json
+    from veriloom.operators.digests import ordered_digest
 
     k = F.get_json_object("props", "$.k").cast("bigint")
     line = canonical_json({"user_id": F.col("user_id"), "k": k, "event_id": F.col("event_id")})
-    rows = table(spark, d, "events").where("user_id < 20").select("event_type", "user_id", "event_id", line.alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
-    return rows.groupBy("event_type", "user_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    return ordered_digest(table(spark, d, "events"), ["event_type", "user_id"], ["event_id"], line).drop("n")
 
 
 @query("""SELECT o_orderkey, unnest(list_filter([CASE WHEN o_custkey % 3 <> 0 THEN 'I-26: initiator is not the operator principal' END,
