@@ -211,6 +211,18 @@ def test_resampling_on_documents(spark, docs):
     assert got == plain_resampling(rows, target) and sum(k[4] is not None for k in got) > 40
 
 
+def test_posting_lists_of_any_width():
+    rng = np.random.default_rng(4)
+    for n_docs, top in ((1, 3), (40, 2), (3000, 300), (30_000, 5)):
+        keys = np.unique(rng.integers(0, 9 * n_docs, 4000))
+        bucket, at, counts = keys // n_docs, keys % n_docs, rng.integers(1, top + 1, len(keys))
+        firsts, totals, wide, ats, packed = resampling.lists_of(bucket, at, counts)
+        gains = rng.integers(-20_000, 20_000, len(firsts))
+        want = np.zeros(n_docs, np.int64)
+        np.add.at(want, at, counts * gains[np.searchsorted(bucket[firsts], bucket)])
+        assert (resampling.added_up(n_docs, wide, ats, packed, gains.tolist()) == want).all() and sum(totals) == counts.sum()
+
+
 @pytest.mark.parametrize("percent,least,grams,buckets,lists", [(25, 20, 2, 10_000, 1024), (60, 1, 3, 50, 1), (100, 0, 1, 7, 2), (0, 1, 2, 100, 1)])
 def test_resampling_on_edges(spark, edge, none, monkeypatch, percent, least, grams, buckets, lists):
     monkeypatch.setattr(resampling, "PART_LISTS", lists)

@@ -8,9 +8,10 @@ before the shuffle: at most one row a bucket and task), from which the bucket's
 is worked out; the list takes the gain with it to its documents' block, where
 contributions are added up by document.
 
-Lists keep places within a block (two bytes) and counts (one byte where that is
-enough) together, so both shuffles carry a few bytes a feature, and a document's
-contributions never become rows of their own.
+A list keeps the steps from one place in its block to the next in a byte each, and
+counts as a bit each and a byte for those above one (wider where that isn't enough).
+So the shuffles carry one to two bytes a feature, and a document's contributions
+never become rows of their own.
 
 Hot groups: a bucket that all documents have is one list a block; lists of a bucket
 are dealt to as many parts as there are thousands of blocks, each with the bucket's
@@ -38,7 +39,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from veriloom.llm.columns import blocks, scratch, shared_table
 from veriloom.operators.integrity import positions
@@ -96,11 +97,60 @@ def n_features(n_words: np.ndarray, grams: int) -> np.ndarray:
     return sum(np.maximum(n_words - n + 1, 0) for n in range(1, grams + 1))
 
 
+def lists_of(bucket: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[int], list[bool], list[bytes], list[bytes]]:
+    """The posting lists of sorted (bucket, place, count): (first index, total, whether wide, steps, counts) of each.
+
+    Narrow: steps in a byte each; a bit for each count above one, then those in a
+    byte each.  Wide: steps in two bytes, counts in four.
+    """
+    if not len(bucket):
+        return np.zeros(0, np.int64), [], [], [], []
+    firsts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
+    ends = np.append(firsts[1:], len(bucket))
+    steps = np.diff(at, prepend=0)
+    steps[firsts] = at[firsts]
+    wide = np.maximum(np.maximum.reduceat(steps, firsts), np.maximum.reduceat(counts, firsts)) > 255
+    one, two, four, more = steps.astype("u1"), steps.astype("<u2"), counts.astype("<u4"), counts > 1
+    above, before = counts[more].astype("u1"), np.concatenate([[0], np.cumsum(more)])
+    ats, packed = [], []
+    for i, j, w in zip(firsts.tolist(), ends.tolist(), wide.tolist()):
+        ats.append((two if w else one)[i:j].tobytes())
+        packed.append(four[i:j].tobytes() if w else np.packbits(more[i:j]).tobytes() + above[before[i] : before[j]].tobytes())
+    return firsts, np.add.reduceat(counts, firsts).tolist(), wide.tolist(), ats, packed
+
+
+def added_up(n_docs: int, wide: list[bool], ats: list[bytes], packed: list[bytes], gains: list[int]) -> np.ndarray:
+    """For each document of a block the sum of its features' gains, over the block's lists."""
+    total = np.zeros(n_docs, np.int64)
+    narrow = []
+    for k, w in enumerate(wide):
+        if w:
+            total[np.cumsum(np.frombuffer(ats[k], "<u2"), dtype=np.int64)] += np.frombuffer(packed[k], "<u4").astype(np.int64) * gains[k]
+        else:
+            narrow.append(k)
+    if narrow:
+        n = np.array([len(ats[k]) for k in narrow])
+        start = np.cumsum(n) - n
+        steps = np.frombuffer(b"".join(ats[k] for k in narrow), "u1").astype(np.int64)
+        sums = np.cumsum(steps)
+        place = sums - np.repeat(sums[start] - steps[start], n)
+        size = np.array([len(packed[k]) for k in narrow])
+        data = np.frombuffer(b"".join(packed[k] for k in narrow), "u1")
+        first = np.cumsum(size) - size
+        more = np.unpackbits(data)[np.arange(len(steps)) + np.repeat(8 * first - start, n)].view(bool)
+        within = np.arange(len(data)) - np.repeat(first, size)
+        count = np.ones(len(steps), np.int64)
+        count[more] = data[within >= np.repeat((n + 7) // 8, size)]
+        # Whole numbers far below 2 to the 53: sums of doubles are exact.
+        total += np.bincount(place, count * np.repeat(np.array([gains[k] for k in narrow], np.int64), n), n_docs).astype(np.int64)
+    return total
+
+
 def postings(df: DataFrame, buckets: int, grams: int, id_col: str, text_col: str) -> DataFrame:
-    """``block, bucket, total, at, counts`` of every block's lists, and one row a block (``HEAD``) with ``ids, words``."""
+    """``block, bucket, total, wide, at, counts`` of every block's lists, and one row a block (``HEAD``) with ``ids, words``."""
     id_type = df.schema[id_col].dataType
     schema = StructType([
-        StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("total", LongType()), StructField("at", BinaryType()),
+        StructField("block", LongType()), StructField("bucket", IntegerType()), StructField("total", LongType()), StructField("wide", BooleanType()), StructField("at", BinaryType()),
         StructField("counts", BinaryType()), StructField("ids", ArrayType(id_type)), StructField("words", ArrayType(LongType())),
     ])
 
@@ -116,17 +166,12 @@ def postings(df: DataFrame, buckets: int, grams: int, id_col: str, text_col: str
                 for a in range(start, end, BLOCK_DOCS):
                     b = min(end, a + BLOCK_DOCS)
                     n_words, bucket, at, counts = features(texts[a:b], buckets, grams)
-                    cuts = np.flatnonzero(np.diff(bucket)) + 1
-                    firsts = np.concatenate([[0], cuts]) if len(bucket) else np.zeros(0, np.int64)
-                    ends = np.append(firsts[1:], len(bucket)) if len(bucket) else firsts
-                    at, small = at.astype("<u2"), np.maximum.reduceat(counts, firsts) < 256 if len(bucket) else []
-                    narrow, wide = counts.astype("u1"), counts.astype("<u4")
-                    n, total = len(firsts), np.add.reduceat(counts, firsts) if len(bucket) else []
+                    firsts, totals, wide, ats, packed = lists_of(bucket, at, counts)
+                    n = len(firsts)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([block] * (n + 1), pa.int64()), pa.array([HEAD, *bucket[firsts].tolist()], pa.int32()), pa.array([None, *map(int, total)], pa.int64()),
-                            pa.array([None, *(at[i:j].tobytes() for i, j in zip(firsts, ends))], pa.binary()),
-                            pa.array([None, *((narrow if s else wide)[i:j].tobytes() for i, j, s in zip(firsts, ends, small))], pa.binary()),
+                            pa.array([block] * (n + 1), pa.int64()), pa.array([HEAD, *bucket[firsts].tolist()], pa.int32()), pa.array([None, *totals], pa.int64()),
+                            pa.array([None, *wide], pa.bool_()), pa.array([None, *ats], pa.binary()), pa.array([None, *packed], pa.binary()),
                             pa.array([batch.column(0).slice(a, b - a).to_pylist(), *[None] * n], arrow.field("ids").type),
                             pa.array([n_words.tolist(), *[None] * n], pa.list_(pa.int64())),
                         ],
@@ -158,16 +203,16 @@ def gain(buckets: int) -> F.Column:
 def weights(df: DataFrame, target: DataFrame, *, buckets: int = 10_000, grams: int = 2, id_col: str = "doc_id", text_col: str = "text", target_text: str = "text") -> DataFrame:
     """``id_col, n_words, n_features, weight`` of every document."""
     made = shared_table(postings(df, buckets, grams, id_col, text_col))
-    lists = made.where(F.col("bucket") >= 0).select("block", "bucket", "total", "at", "counts")
+    lists = made.where(F.col("bucket") >= 0).select("block", "bucket", "total", "wide", "at", "counts")
     heads = made.where(F.col("bucket") == HEAD).select("block", "ids", "words")
     parts = heads.count() // PART_LISTS + 1
     part = F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int")
     counts = bucket_counts(lists, target, buckets, grams, target_text).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     # A side as small as the counts would else be sent to every task, and no list be shuffled by its bucket.
     met = lists.withColumn("part", part).join(counts.hint("shuffle_hash"), ["bucket", "part"])
-    gained = met.select("block", "at", "counts", gain(buckets).alias("gain"))
+    gained = met.select("block", "wide", "at", "counts", gain(buckets).alias("gain"))
     both = gained.withColumns({c: F.lit(None).cast(heads.schema[c].dataType) for c in ("ids", "words")}).unionByName(
-        heads.withColumns({"at": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary"), "gain": F.lit(None).cast("bigint")})
+        heads.withColumns({c: F.lit(None).cast(kind) for c, kind in (("wide", "boolean"), ("at", "binary"), ("counts", "binary"), ("gain", "bigint"))})
     )
     schema = StructType([StructField(id_col, df.schema[id_col].dataType), *(StructField(c, LongType()) for c in ("n_words", "n_features", "weight"))])
 
@@ -179,10 +224,7 @@ def weights(df: DataFrame, target: DataFrame, *, buckets: int = 10_000, grams: i
         rest = table.filter(pc.is_valid(table.column("gain")))
         ids = head.column("ids").combine_chunks().flatten()
         n_words = head.column("words").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        total = np.zeros(len(n_words), np.int64)
-        for at, count, each in zip(rest.column("at").to_pylist(), rest.column("counts").to_pylist(), rest.column("gain").to_pylist()):
-            place = np.frombuffer(at, "<u2")
-            total[place] += np.frombuffer(count, "u1" if len(count) == len(place) else "<u4").astype(np.int64) * each
+        total = added_up(len(n_words), *(rest.column(c).to_pylist() for c in ("wide", "at", "counts", "gain")))
         n = n_features(n_words, grams)
         return pa.Table.from_arrays([ids, pa.array(n_words), pa.array(n), pa.array(total // np.maximum(n, 1))], names=schema.names)
 
