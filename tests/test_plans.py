@@ -71,3 +71,20 @@ def test_document_round_trip(spark, tmp_path):
     again = entities.read_document(spark, str(tmp_path / "doc.json"))
     assert rules.validate(again, ["RI", "I-8"]).collect() == []
     assert [r._key for r in again["flow_states"].orderBy("_ord").collect()] == ["w", "k", "z"]
+
+
+def test_projection_checks(spark):
+    p = project.project(entities.from_dict(spark, changed("disclosures/q1", dyad_id="d1", kind="error", text="t", seq=4)))
+    assert p["escalations"].first()["from"] == "ext:local-disclosure-q1"
+    put = lambda table, **values: {**p, table: p[table].withColumns({c: F.lit(v) for c, v in values.items()})}
+    found = lambda q, schema=None: {r.message for r in project.check(q, schema).collect()}
+    assert found(p) == set()
+    human = p["parties"].where("kind = 'human'").first().id
+    assert any(m.endswith(f"processor {human} (human) is not the agent a explicit act requires") for m in found(put("acts", processor=human)))
+    assert any(m.endswith(f"author {human} is not an agent") for m in found(put("proposals", author=human)))
+    assert any(m.endswith("from act-none unresolved") for m in found(put("escalations", **{"from": "act-none"})))
+    run = p["acts"].where("mode = 'automatic'").first().id
+    assert found(put("escalations", opens=run)) == {f"escalation-dis-q1: opens {run}, not an explicit act"}
+    assert any("duplicate ids" in m for m in found({**p, "acts": p["acts"].union(p["acts"])}))
+    schema = {"parties": {"type": "object", "properties": {"kind": {"enum": ["agent", "executor"]}}}}
+    assert found(put("proposals", author=human), schema) == {"/kind: not in enum"} and found(p, {"acts": {"type": "object"}}) == set()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.functions.guards import compile_guard
+from veriloom.functions.guards import any_of
 from veriloom.operators.digests import ordered_digest
 from veriloom.operators.prefixes import running_merge
 
@@ -107,13 +107,7 @@ def replay(
     merged = merged.withColumn("expected_state", F.coalesce("to_state_before", F.lit(initial))).drop("to_state_before")
     # One row a state and trigger: definitions, so an event meets its candidates without a shuffle of its own.
     known = transitions.groupBy(F.col("from_state").alias("expected_state"), "trigger").agg(F.array_sort(F.collect_list(F.struct("transition_id", "guard", "to_state"))).alias("__known"))
-    tests = [(text, compile_guard(text, {root: F.col("merged")})) for text in sorted(set(guards))]
-
-    def holds(t: Column) -> Column:
-        out = F.when(t["guard"].isNull(), True)
-        for text, truth in tests:
-            out = out.when(t["guard"] == text, truth)
-        return F.coalesce(out, F.lit(False))
+    holds = lambda t: F.coalesce(any_of(t["guard"], guards, {root: F.col("merged")}), F.lit(False))
 
     judged = merged.join(known, ["expected_state", "trigger"], "left").withColumn("__won", F.filter(F.coalesce("__known", F.array().cast(known.schema["__known"].dataType)), holds))
     ids = F.transform("__won", lambda t: t["transition_id"])

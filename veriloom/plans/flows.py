@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.functions.guards import refused
 from veriloom.functions.text import slug_letters
 from veriloom.plans.rules import TRIGGERS, union
 
@@ -50,23 +51,59 @@ def check_machine(t: Mapping[str, DataFrame], expected: Mapping[str, int]) -> Da
     return union(*out)
 
 
-def component_status(components: DataFrame, files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``component, status``: specified-only (no artifacts), absent, mutated or instantiated.
+def check_guards(transitions: DataFrame, steps: DataFrame) -> DataFrame:
+    """``rule, message``: guards of source transitions and run-book steps outside the language (texts fixed).
 
-    ``components``: component, artifacts (paths; one ending in ``/`` stands for
-    all below it); ``files``, ``manifest``: path, sha256.
+    ``transitions``: from_state, to_state, guard; ``steps``: runbook, seq, expr.
     """
+    text = lambda head: F.concat(F.lit("B-3: "), head, F.lit(": "), F.col("bad"))
+    found = transitions.withColumn("bad", refused(F.col("guard"))).where("bad IS NOT NULL").select(text(F.concat(F.lit("transition "), "from_state", F.lit("->"), "to_state")).alias("message"))
+    more = steps.withColumn("bad", refused(F.col("expr"))).where("bad IS NOT NULL").select(text(F.concat(F.lit("run-book '"), "runbook", F.lit("' step "), F.col("seq").cast("string"))).alias("message"))
+    return found.union(more).select(F.lit("B-3").alias("rule"), "message")
+
+
+def check_ids(t: Mapping[str, DataFrame], expected: Mapping[str, DataFrame]) -> DataFrame:
+    """B-2 ``rule, message``: ids that the same source gives (``compile_machine`` again) and that weren't emitted."""
+    kinds = {"flow_states": "state", "flow_transitions": "trans", "runbooks": "runbook", "steps": "step"}
+    lost = (df.select("_key").join(t[c].select("_key"), "_key", "left_anti").select(F.lit(kinds[c]).alias("kind"), "_key") for c, df in expected.items() if c in kinds)
+    return union(*lost).select(F.lit("B-2").alias("rule"), F.format_string("B-2: expected id '%s' (%s) not emitted", "_key", "kind").alias("message"))
+
+
+def component_status(components: DataFrame, files: DataFrame, manifest: DataFrame, profile: str | None = None) -> DataFrame:
+    """``component, status, detail, fault`` of each component.
+
+    ``components``: component, artifacts (paths; one ending in ``/`` stands for all
+    that the manifest has below it), and maybe kind and profiles; ``files``,
+    ``manifest``: path, sha256.  In this order: ``specified-only`` by its kind (without
+    kinds: no artifacts); ``absent`` if its profiles lack ``profile``; ``absent`` and a
+    fault if an artifact isn't there; ``mutated`` if one differs from the manifest;
+    ``instantiated``.
+    """
+    have = lambda c, other: F.col(c) if c in components.columns else other
+    only = F.coalesce(have("kind", F.when(F.size("artifacts") == 0, "specified-only")) == "specified-only", F.lit(False))
+    profiles = F.coalesce(have("profiles", F.array(F.lit(profile))), F.array().cast("array<string>"))
     listed = components.select("component", F.explode("artifacts").alias("artifact"))
     ends = F.endswith(F.col("artifact"), F.lit("/"))
-    both = files.join(manifest.withColumnRenamed("sha256", "want"), "path", "left")
-    exact = listed.where(~ends).join(both, F.col("artifact") == F.col("path"), "left")
-    # A prefix meets the folders above each file, so this stays an equal join.
+    # A prefix meets the folders above each file of the manifest, so this stays an equal join.
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
-    under = both.select("path", "sha256", "want", F.explode(above).alias("artifact"))
-    prefixed = listed.where(ends).join(under, "artifact", "left").select(*exact.columns)
-    per = exact.unionByName(prefixed).groupBy("component").agg(F.max(F.col("path").isNull()).alias("absent"), F.max(F.coalesce(F.col("want") != F.col("sha256"), F.lit(False))).alias("mutated"))
-    return components.join(per, "component", "left").select("component", F.when(F.size("artifacts") == 0, "specified-only").when(F.col("absent"), "absent").when(F.col("mutated"), "mutated").otherwise("instantiated").alias("status"))
+    below = listed.where(ends).join(manifest.select("path", F.explode(above).alias("artifact")), "artifact").select("component", "path")
+    wanted = listed.where(~ends).select("component", F.col("artifact").alias("path")).union(below).distinct()
+    both = wanted.join(files.select("path", F.col("sha256").alias("__have")), "path", "left").join(manifest.select("path", F.col("sha256").alias("__want")), "path", "left")
+    gone, differs = F.col("__have").isNull(), F.col("__want") != F.col("__have")
+    per = both.groupBy("component").agg(*(F.array_sort(F.collect_list(F.when(c, F.col("path")))).alias(n) for c, n in ((gone, "__gone"), (differs, "__differs"))))
+    rows, some = components.join(per, "component", "left"), lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    unshipped = ~F.array_contains(profiles, profile) if profile is not None else F.lit(False)
+    status = F.when(only, "specified-only").when(unshipped | some("__gone"), "absent").when(some("__differs"), "mutated").otherwise("instantiated")
+    detail = F.when(only, "specified, not implemented").when(unshipped, F.concat(F.lit(f"not shipped in the {profile} profile (ships in: "), F.array_join(profiles, ", "), F.lit(")")))
+    detail = detail.when(some("__gone"), F.concat(F.lit("missing artifacts: "), F.array_join("__gone", ", "))).when(some("__differs"), F.concat(F.lit("diverged from manifest: "), F.array_join("__differs", ", ")))
+    return rows.select("component", status.alias("status"), detail.otherwise("present and pristine").alias("detail"), (~only & ~unshipped & some("__gone")).alias("fault"))
+
+
+def roll_up(findings: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """``group, n, failed, healthy``: health of each group of findings ``ok`` (one row without groups; of none: healthy)."""
+    bad = ~F.coalesce(F.col("ok"), F.lit(False))
+    return findings.groupBy(*(group or [])).agg(F.count("*").alias("n"), F.count_if(bad).alias("failed"), ~F.coalesce(F.bool_or(bad), F.lit(False)).alias("healthy"))
 
 
 def verify_writers(entries: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ the id.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from veriloom.functions import documents
 from veriloom.functions.text import natural_key, slug
+from veriloom.operators.integrity import positions
 from veriloom.plans.rules import keyed, union
+from veriloom.sources.tables import settled
 
 Tables = Mapping[str, DataFrame]
 EXECUTOR = "party-executor"
@@ -117,29 +119,47 @@ def project(t: Tables, system: str = "local") -> dict[str, DataFrame]:
         t["flow_transition_events"].select(ident("event-fte", "_key").alias("id"), ident("act-fr", "flow_run_id").alias("act"), "seq", F.to_json(F.struct("from_state_id", "to_state_id", "trigger", "payload")).alias("payload"), at, *source("flow_transition_events")),
     )
     opened = placed.where("mode = 'triage'").groupBy(F.col("disclosure_ref").alias("ref")).agg(F.min_by("act", "_key").alias("opens"))
-    escalations = t["disclosures"].join(opened, F.col("_key") == F.col("ref"), "left").select(ident("escalation-dis", "_key").alias("id"), F.format_string("%s: %s", "kind", "text").alias("reason"), "opens", *source("disclosures"))
+    escalations = t["disclosures"].join(opened, F.col("_key") == F.col("ref"), "left").select(ident("escalation-dis", "_key").alias("id"), F.concat(lit(f"ext:{system}-disclosure-"), "_key").alias("from"), F.format_string("%s: %s", "kind", "text").alias("reason"), "opens", *source("disclosures"))
     return {"parties": parties, "acts": base.unionByName(own), "proposals": proposals, "countersignatures": signatures, "mandates": mandates, "releases": releases, "events": events, "escalations": escalations}
 
 
-def check(p: Mapping[str, DataFrame]) -> DataFrame:
-    """``kind, id, message`` of what is wrong between the projected tables."""
+def check(p: Mapping[str, DataFrame], schema: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """``kind, id, message`` of what is wrong with the projected tables (message texts fixed).
+
+    ``schema``: a JSON schema for the rows of some tables.  Rows that break it are told
+    alone and first; only sound tables are checked against one another.
+    """
+    if schema:
+        parts = [p[k].select(F.lit(k).alias("kind"), "id", F.explode(documents.errors(F.to_json(F.struct(*(F.col(f"`{c}`") for c in p[k].columns)), {"ignoreNullFields": "false"}), s)).alias("message")) for k, s in schema.items()]
+        broken = settled(union(*parts))
+        if not broken.isEmpty():
+            return broken
     out = []
 
     def bad(df: DataFrame, kind: str, message: Column) -> None:
         out.append(df.select(F.lit(kind).alias("kind"), F.col("id"), message.alias("message")))
 
-    for kind, df in p.items():
-        bad(df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), kind, F.format_string("duplicate id %s", "id"))
-    kinds = p["parties"].select(F.col("id").alias("party"), F.col("kind").alias("party_kind")).distinct()
-    acts = p["acts"].join(kinds, F.col("processor") == F.col("party"), "left")
-    wrong = F.when(F.col("mode") == "automatic", ~F.col("party_kind").eqNullSafe("executor")).otherwise(F.coalesce(~F.col("party_kind").isin("human", "agent"), F.lit(True)))
-    bad(acts.where(wrong), "acts", F.format_string("act %s: processor %s is no party for mode %s", "id", "processor", "mode"))
-    for kind, field, allowed in (("proposals", "author", ("human", "agent")), ("countersignatures", "signer", ("human",))):
-        rows = p[kind].join(kinds, F.col(field) == F.col("party"), "left").where(F.coalesce(~F.col("party_kind").isin(*allowed), F.lit(True)))
-        bad(rows, kind, F.format_string(f"{kind}: {field} %s of %s is no {'/'.join(allowed)}", field, "id"))
-    for kind, field, targets in (("countersignatures", "subject", ("proposals", "escalations")), ("proposals", "act", ("acts",)), ("events", "act", ("acts",)), ("mandates", "countersignature", ("countersignatures",)), ("releases", "countersignature", ("countersignatures",)), ("escalations", "opens", ("acts",))):
-        known = union(*(p[x].select(F.col("id").alias(field)) for x in targets)).distinct()
-        bad(p[kind].where(F.col(field).isNotNull()).join(known, field, "left_anti"), kind, F.format_string(f"{kind}: {field} %s of %s resolves to nothing", field, "id"))
+    def known(names: Sequence[str], field: str) -> DataFrame:
+        return union(*(p[x].select(F.col("id").alias(field)) for x in names)).distinct()
+
+    every = union(*(df.select(F.lit(k).alias("kind"), "id") for k, df in p.items()))
+    twice = every.groupBy("id").agg(F.min("kind").alias("kind"), F.count("*").alias("n")).where("n > 1")
+    out.append(twice.select("kind", "id", F.format_string("duplicate ids: ['%s']", "id").alias("message")))
+    kinds = p["parties"].groupBy(F.col("id").alias("party")).agg(F.max("kind").alias("party_kind"))
+    acts = p["acts"].join(kinds, F.col("processor") == F.col("party"), "left").withColumn("wanted", F.when(F.col("mode") == "automatic", "executor").otherwise("agent"))
+    bad(acts.where(~F.col("party_kind").eqNullSafe(F.col("wanted"))), "acts", F.format_string("%s: processor %s (%s) is not the %s a %s act requires", "id", "processor", F.coalesce("party_kind", F.lit("None")), "wanted", "mode"))
+    for kind, field, allowed, text in (("proposals", "author", "agent", "author %s is not an agent"), ("countersignatures", "signer", "human", "signer %s is not human")):
+        rows = p[kind].join(kinds, F.col(field) == F.col("party"), "left").where(~F.col("party_kind").eqNullSafe(allowed))
+        bad(rows, kind, F.format_string(f"%s: {text}", "id", field))
+    for kind, field, targets, may_be_null in (
+        ("proposals", "act", ("acts",), False), ("countersignatures", "subject", ("proposals", "escalations"), False), ("events", "act", ("acts",), False),
+        ("mandates", "countersignature", ("countersignatures",), True), ("releases", "countersignature", ("countersignatures",), True),
+    ):
+        rows = p[kind].where(F.col(field).isNotNull()) if may_be_null else p[kind]
+        bad(rows.join(known(targets, field), field, "left_anti"), kind, F.format_string(f"%s: {field} %s unresolved", "id", F.coalesce(field, F.lit("None"))))
+    bad(p["escalations"].where(~F.coalesce(F.startswith("from", F.lit("ext:")), F.lit(False))).join(known(("acts",), "from"), "from", "left_anti"), "escalations", F.format_string("%s: from %s unresolved", "id", F.coalesce("from", F.lit("None"))))
+    explicit = p["acts"].where("mode = 'explicit'").select(F.col("id").alias("opens")).distinct()
+    bad(p["escalations"].where("opens IS NOT NULL").join(explicit, "opens", "left_anti"), "escalations", F.format_string("%s: opens %s, not an explicit act", "id", "opens"))
     return union(*out)
 
 
@@ -148,5 +168,6 @@ def counts(p: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def ordered(df: DataFrame) -> DataFrame:
-    """With ``pos``: the row's place in natural order of ids (of one bounded definition table)."""
-    return df.withColumn("pos", F.row_number().over(W.orderBy(natural_key(F.col("id")))) - 1)
+    """With ``pos``: the row's place in natural order of ids."""
+    placed = positions(df.withColumn("__key", natural_key(F.col("id"))), ["__key", "id"])
+    return placed.withColumn("pos", F.col("pos") - 1).drop("__key")
