@@ -36,7 +36,10 @@ from pyspark.sql import functions as F
 from veriloom.llm.columns import drop_table, shared_table
 
 #: A unit ends after a line feed, or after the space behind the end of a sentence or a table cell.
+UNIT_ENDS = ("\n", ". ", "! ", "? ", "| ")
 UNIT_END = r"(?<=\n)|(?<=[.!?|] )"
+#: Set behind units' ends so that a text is split at one character; a text that holds it is split by the pattern.
+MARK = "\x1d"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,7 +48,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    return F.split(text, UNIT_END, -1)
+    marked = text
+    for end in UNIT_ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, UNIT_END, -1)).otherwise(F.split(marked, MARK, -1))
 
 
 def bare(unit: Column) -> Column:
@@ -70,18 +76,18 @@ def chunks(text: Column, *, short: int, sparse: int, dense: int = 3) -> Column:
         def chunk(e: Column) -> Callable[[Column, Column], Column]:
             def one(end: Column, i: Column) -> Column:
                 start = F.when(i == 0, F.lit(1)).otherwise(F.get(e, i - 1) + 1)
-                part = F.slice(k, start, end - start + 1)
+                only, part = F.get(k, end - 1), lambda: F.slice(k, start, end - start + 1)
                 return F.struct(
                     start.alias("s"), end.alias("e"),
-                    F.aggregate(part, F.lit(0), lambda n, u: n + u["n"]).alias("n"),
-                    F.xxhash64(part).alias("h"),
+                    F.when(start == end, only["n"]).otherwise(F.aggregate(part(), F.lit(0), lambda n, u: n + u["n"])).alias("n"),
+                    F.when(start == end, only["h"]).otherwise(F.xxhash64(part())).alias("h"),
                 )
 
             return one
 
         return let(F.filter(F.sequence(F.lit(1), F.size(k)), ends), lambda e: F.transform(e, chunk(e)))
 
-    hashed = F.transform(units(text), lambda u: let(bare(u), lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n"))))
+    hashed = F.transform(F.transform(units(text), bare), lambda b: F.struct(F.xxhash64(b).alias("h"), F.length(b).alias("n")))
     return let(hashed, cut)
 
 
@@ -124,23 +130,39 @@ def remove_repeats(
 
     def runs(m: Column) -> Column:
         """The repeated chunks that follow one another, joined, where they are large enough."""
-        one = lambda x: F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["n"].alias("n"), F.size(F.split(x["bytes"], r"\s+")).alias("words")))
+        number = lambda: F.sequence(F.lit(1), F.size(m))
+        opens = lambda i: (i == 1) | (F.get(m, i - 2)["e"] + 1 != F.get(m, i - 1)["s"])
+        closes = lambda i: (i == F.size(m)) | (F.get(m, i - 1)["e"] + 1 != F.get(m, i)["s"])
 
-        def follow(found: Column, x: Column) -> Column:
-            last = F.get(found, F.size(found) - 1)
-            both = F.struct(last["s"].alias("s"), x["e"].alias("e"), (last["n"] + x["n"]).alias("n"), last["words"].alias("words"))
-            return F.when(last["e"] + 1 == x["s"], F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(both))).otherwise(F.concat(found, one(x)))
+        def joined_at(ends: Column) -> Callable[[Column, Column], Column]:
+            def one(i: Column, k: Column) -> Column:
+                end = F.get(ends, k)
+                n = F.aggregate(F.slice(m, i, end - i + 1), F.lit(0), lambda total, x: total + x["n"])
+                return F.struct(F.get(m, i - 1)["s"].alias("s"), F.get(m, end - 1)["e"].alias("e"), n.alias("n"), F.get(m, i - 1)["bytes"].alias("bytes"))
 
-        none = F.array().cast("array<struct<s:int,e:int,n:int,words:int>>")
-        return F.filter(F.aggregate(m, none, follow), lambda r: ((r["e"] > r["s"]) | (r["n"] >= long_chars) | (r["words"] >= long_words)) & (r["n"] >= min_chars))
+            return one
 
-    def gone(u: Column) -> Column:
-        same = F.filter("found", lambda x: span_bytes(u, x["s"], x["e"]) == x["bytes"])
-        return let(same, lambda m: F.flatten(F.transform(runs(m), lambda x: F.sequence(x["s"], x["e"]))))
+        made = let(F.filter(number(), closes), lambda ends: F.transform(F.filter(number(), opens), joined_at(ends)))
+        # Only a run of one unit asks for its words, so its first chunk's bytes are all of it.
+        large = lambda r: (r["n"] >= min_chars) & ((r["e"] > r["s"]) | (r["n"] >= long_chars) | (F.size(F.split(r["bytes"], r"\s+")) >= long_words))
+        return F.when(F.size(m) == 0, F.array().cast("array<struct<s:int,e:int>>")).otherwise(
+            F.transform(F.filter(made, large), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))
+        )
 
     def cleaned(u: Column) -> Column:
-        return let(gone(u), lambda g: F.struct(
-            F.array_join(F.filter(u, lambda x, i: ~F.array_contains(g, i + 1)), "").alias("text"), F.size(g).alias("n")))
+        """The units between the removed runs; runs rise and don't overlap, so each unit is taken up once."""
+        same = F.filter("found", lambda x: span_bytes(u, x["s"], x["e"]) == x["bytes"])
+
+        def between(r: Column) -> Column:
+            def part(i: Column) -> Column:
+                first = F.when(i == 0, F.lit(1)).otherwise(F.get(r, i - 1)["e"] + 1)
+                last = F.when(i == F.size(r), F.size(u)).otherwise(F.get(r, i)["s"] - 1)
+                return F.array_join(F.slice(u, first, F.greatest(last - first + 1, F.lit(0))), "")
+
+            gone = F.aggregate(r, F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
+            return F.struct(F.array_join(F.transform(F.sequence(F.lit(0), F.size(r)), part), "").alias("text"), gone.alias("n"))
+
+        return let(let(same, runs), between)
 
     out = joined.withColumn("clean", F.when(F.col("found").isNotNull(), let(units(F.col("text")), cleaned)))
     text = F.coalesce("clean.text", "text")
