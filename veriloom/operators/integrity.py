@@ -118,17 +118,17 @@ def chains(df: DataFrame, key: str, parent: str, *, limit: int | None = None) ->
     """``key, root, depth, cycle``: each row's walk up its single parent.
 
     Pointer doubling: every round joins each row with the row it points to, so a
-    chain of n links takes log2(n) rounds, each written and read again.
-    ``cycle`` marks walks that never end: those longer than the table (or than
-    ``limit``).  A parent that is no row ends the walk above it.  Each key is one
+    chain of n links takes log2(n) rounds, each written and read again.  ``cycle``
+    marks walks that never end: once as many rows go on after 2n links as after n, no
+    walk ends in between, so none ends later (or those longer than ``limit``).  A parent that is no row ends the walk above it.  Each key is one
     row.
     """
     base = df.select(F.col(key).alias("key"), F.col(parent).alias("up"))
     known = base.select(F.col("key").alias("up"), F.lit(True).alias("known"))
     now = base.join(known, "up", "left").select("key", F.when(F.col("known"), F.col("up")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("bigint").alias("depth"), F.coalesce(F.when(F.col("known"), F.col("up")), "key").alias("root"))
-    limit = df.count() if limit is None else limit
-    reach = 1
-    while reach <= limit and not now.where("up IS NOT NULL").isEmpty():
+    reach, left = 1, -1
+    while (limit is None or reach <= limit) and (n := now.where("up IS NOT NULL").count()) not in (0, left):
+        left = n
         step = now.select(F.col("key").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
         now = settled(now.join(step, "up", "left").select("key", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root")))
         reach *= 2

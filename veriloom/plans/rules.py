@@ -256,12 +256,12 @@ def null_option(t: Tables) -> DataFrame:
 
 @rule("I-3")
 def knowledge(t: Tables) -> DataFrame:
-    w = W.partitionBy("canonical_home").orderBy("_ord")
-    rows = t["knowledge_units"].withColumn("holder", F.first("id").over(w)).withColumn("rank", F.row_number().over(w)).join(keyed(t["claims"], "claim_id", claim_state="state"), "claim_id", "left")
-    return found(
-        rows,
-        (F.col("rank") > 1, say("I-3: knowledge unit %s: canonical_home '%s' already held by %s (single-home)", "id", "canonical_home", "holder")),
-        ((F.col("stage") == "kb") & ~F.col("claim_state").eqNullSafe("survived"), say("I-3: knowledge unit %s: kb stage without survived claim (kb-graduation)", "id")),
+    later = integrity.later_holders(t["knowledge_units"], ["canonical_home"], ["_ord"], "id")
+    rows = t["knowledge_units"].join(keyed(t["claims"], "claim_id", claim_state="state"), "claim_id", "left")
+    bad = (F.col("stage") == "kb") & ~F.col("claim_state").eqNullSafe("survived")
+    return union(
+        found(later, (F.lit(True), say("I-3: knowledge unit %s: canonical_home '%s' already held by %s (single-home)", "id", "canonical_home", "first_holder"))),
+        found(rows, (F.lit(False), F.lit("")), (bad, say("I-3: knowledge unit %s: kb stage without survived claim (kb-graduation)", "id"))),
     )
 
 
