@@ -23,7 +23,7 @@ def slug_letters(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts digit runs by value: a run is written as its length in four digits and its digits, without leading zeros.
+    """Sorts digit runs by value: a run is written as its length in ten digits and its digits, without leading zeros.
 
     Parts end with a NUL, so that a part sorts before those that continue it.
     """
@@ -31,7 +31,7 @@ def natural_key(text: Column) -> Column:
 
     def key(part: Column) -> Column:
         digits = F.regexp_replace(part, r"^0+(?=\d)", "")
-        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(part)
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(part)
 
     return F.array_join(F.transform(parts, key), "\0")
 

@@ -1,4 +1,7 @@
-"""Checks of commits over logs and of the records around them: one row for each finding."""
+"""Checks of commits over logs and of the records around them: one row for each finding.
+
+Texts begin with the surveyed rule's name; their wording is this library's own.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom.operators import logs, sync
+from veriloom.operators import gates, logs, sync
 from veriloom.plans.queries import QUERIES, SQL, query
 from veriloom.sources.tables import table
 
@@ -80,3 +80,13 @@ def causal_order(spark, d):
     placed = sync.converged(entries, edges, clock=clock)
     torn = sync.conflicts(entries, edges, clock=clock)
     return placed.join(torn, ["entity_ref", "writer_id", "seq"], "left").select("entry_hash", "writer_id", "pos", "past", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_diverging"))
+
+
+@query("""SELECT e.event_id, p.event_id AS purchase_id, p.value AS paid FROM (SELECT * FROM events WHERE event_type = 'error') e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.event_id >= p.event_id""")
+def last_purchase(spark, d):
+    """Each error with its user's last purchase before it."""
+    events = table(spark, d, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"), F.col("event_id").alias("since"))
+    errors = events.where("event_type = 'error'").select("event_id", "user_id")
+    return gates.as_of(errors, bought, ["user_id"], "event_id", ["purchase_id", "paid"], since="since").drop("user_id")

@@ -421,19 +421,19 @@ def advance_fsm(spark, d):
 
 @query()
 def advance_stream(spark, d):
-    """The same by a stream over the table's file, with each run's state kept."""
+    """The same by a stream over the table's files, with each run's state kept."""
     import uuid
 
+    from veriloom.sources.tables import shared_folder
     from veriloom.streaming.machine import EVENTS, advance_stream as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="veriloom-")
-    place = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # A table may be one file, which a stream finds by its folder, or a folder of part files.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/events.parquet")
+    parts = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = spark.readStream.schema(table(spark, d, "events").schema)
+    source = source.parquet(f"{d}/events.parquet") if parts else source.option("pathGlobFilter", "events.parquet").parquet(d)
     run = stream(_inputs(source), *_book()).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(EVENTS).parquet(f"{place}/out")
