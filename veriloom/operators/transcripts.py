@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.guards import compile_guard
 from veriloom.operators import logs
+from veriloom.operators.prefixes import running_merge
 from veriloom.streaming.machine import KINDS
 
 
@@ -67,25 +68,13 @@ def aborts(log: DataFrame) -> DataFrame:
 def starts(log: DataFrame, steps: dict[int, str]) -> DataFrame:
     """Starts of unknown steps, and starts whose guard was false on what came before.
 
-    The context before an event is merged per key that a guard names, by one
-    window over the prefix of the run.
+    The context before an event is what the run's inputs and results come to, whatever
+    their keys (``running_merge``); the run's creation sets it anew.
     """
-    import ast
-
-    keys = sorted({n.attr for e in steps.values() for n in ast.walk(ast.parse(e.strip(), mode="eval")) if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)})
     source = F.when(F.col("kind") == "run_created", F.get_json_object("payload", "$.ctx")).when(F.col("kind") == "event_injected", F.get_json_object("payload", "$.payload")).when(F.col("kind") == "step_completed", F.get_json_object("payload", "$.ctx_delta"))
-    values = log.withColumn("step", _step()).withColumn("given", F.from_json(source, "map<string,string>"))
-    prefix = by_seq().rowsBetween(W.unboundedPreceding, -1)
-    for k in keys:
-        raw = F.try_variant_get(F.try_parse_json(source), f"$['{k}']", "variant")
-        held = F.when(F.col("kind") == "run_created", F.coalesce(F.to_json(raw), F.lit("null"))).when(F.array_contains(F.map_keys("given"), k), F.coalesce(F.to_json(raw), F.lit("null")))
-        values = values.withColumn(f"v_{k}", held)
-    before = values
-    for k in keys:
-        before = before.withColumn(f"b_{k}", F.last(f"v_{k}", ignorenulls=True).over(prefix))
-    parts = [F.concat(F.lit(f'"{k}":'), F.coalesce(f"b_{k}", F.lit("null"))) for k in keys]
-    ctx = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")) if parts else F.lit("{}")
-    started = before.where("kind = 'step_started'").withColumn("ctx", ctx)
+    values = log.withColumn("step", _step()).withColumn("given", source)
+    before = running_merge(values, ["run_id"], ["seq"], "given", into="ctx", resets=F.col("kind") == "run_created", inclusive=False)
+    started = before.where("kind = 'step_started'")
     holds = F.lit(None).cast("boolean")
     for seq, expr in steps.items():
         holds = F.when(F.col("step") == seq, compile_guard(expr, {"ctx": F.col("ctx")})).otherwise(holds)
@@ -97,11 +86,12 @@ def starts(log: DataFrame, steps: dict[int, str]) -> DataFrame:
 def completions(log: DataFrame, steps: list[int]) -> DataFrame:
     """Completions without a start before them, and runs completed with steps pending."""
     rows = log.withColumn("step", _step())
-    before = W.partitionBy("run_id", "step").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    orphan = rows.where("step IS NOT NULL").withColumn("begun", F.max(F.col("kind") == "step_started").over(before)).where("kind = 'step_completed' AND NOT coalesce(begun, false)")
-    done = W.partitionBy("run_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    ended = rows.withColumn("done", F.collect_set(F.when(F.col("kind").isin("step_completed", "step_skipped"), F.col("step"))).over(done)).where("kind = 'run_completed'")
-    pending = ended.withColumn("pending", F.array_except(F.array(*(F.lit(s).cast("bigint") for s in sorted(steps))), "done") if steps else F.array().cast("array<bigint>")).where(F.size("pending") > 0)
+    first = lambda kinds: rows.where(F.col("kind").isin(*kinds) & F.col("step").isNotNull()).groupBy("run_id", "step").agg(F.min("seq").alias("first"))
+    orphan = rows.where("kind = 'step_completed' AND step IS NOT NULL").join(first(["step_started"]), ["run_id", "step"], "left").where("NOT coalesce(first < seq, false)")
+    done = first(["step_completed", "step_skipped"]).groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "first"))).alias("done"))
+    wanted = F.array(*(F.lit(s).cast("bigint") for s in sorted(steps))) if steps else F.array().cast("array<bigint>")
+    left = F.filter(wanted, lambda s: ~F.coalesce(F.try_element_at("done", s) < F.col("seq"), F.lit(False)))
+    pending = rows.where("kind = 'run_completed'").join(done, "run_id", "left").withColumn("pending", left).where(F.size("pending") > 0)
     return _out(orphan, "complete", F.format_string("step_completed for step %s with no step_started at seq %s", F.col("step").cast("string"), F.col("seq").cast("string"))).unionByName(
         _out(pending, "complete", F.format_string("run_completed at seq %s with steps pending: %s", F.col("seq").cast("string"), F.concat(F.lit("["), F.array_join(F.transform("pending", lambda x: x.cast("string")), ", "), F.lit("]")))))
 

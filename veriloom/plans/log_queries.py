@@ -90,3 +90,27 @@ def last_purchase(spark, d):
     bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("value").alias("paid"), F.col("event_id").alias("since"))
     errors = events.where("event_type = 'error'").select("event_id", "user_id")
     return gates.as_of(errors, bought, ["user_id"], "event_id", ["purchase_id", "paid"], since="since").drop("user_id")
+
+
+@query("""WITH l AS (SELECT user_id, event_type AS t, CAST(props->>'k' AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events),
+p AS (SELECT *, k % 3 AS step, last_value(CASE WHEN t IN ('error', 'click') THEN k % 4 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY seq) AS held, count(*) FILTER (t = 'error') OVER (PARTITION BY user_id ORDER BY seq) AS epoch FROM l),
+c AS (SELECT *, last_value(CASE WHEN t = 'purchase' THEN k % 8 END IGNORE NULLS) OVER (PARTITION BY user_id, epoch ORDER BY seq) AS done FROM p),
+b AS (SELECT user_id, step, min(seq) FILTER (t = 'signup') AS begun, min(seq) FILTER (t = 'purchase') AS finished FROM p GROUP BY ALL),
+d AS (SELECT user_id, min(finished) FILTER (step = 0) AS d0, min(finished) FILTER (step = 1) AS d1 FROM b GROUP BY 1)
+SELECT user_id, seq, 'start' AS rule, CASE WHEN step = 2 THEN 'step_started for unknown step 2 at seq ' || seq ELSE 'step ' || step || ' started with guard false at seq ' || seq END AS message FROM c
+  WHERE t = 'signup' AND (step = 2 OR (step = 0 AND coalesce(held, 0) = 0) OR (step = 1 AND coalesce(done = 7, false)))
+UNION ALL SELECT user_id, seq, 'complete', 'step_completed for step ' || step || ' with no step_started at seq ' || seq FROM p JOIN b USING (user_id, step) WHERE t = 'purchase' AND NOT coalesce(begun < seq, false)
+UNION ALL SELECT user_id, seq, 'complete', 'run_completed at seq ' || seq || ' with steps pending: [' || concat_ws(', ', CASE WHEN NOT coalesce(d0 < seq, false) THEN '0' END, CASE WHEN NOT coalesce(d1 < seq, false) THEN '1' END) || ']'
+  FROM p JOIN d USING (user_id) WHERE t = 'view' AND NOT coalesce(d0 < seq AND d1 < seq, false)""")
+def transcript_findings(spark, d):
+    """Users' events as transcripts: starts against the context of their prefix, completions against what began."""
+    from pyspark.sql import Window as W
+
+    from veriloom.operators import transcripts
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    kind = F.create_map(*(F.lit(x) for pair in (("signup", "step_started"), ("purchase", "step_completed"), ("click", "event_injected"), ("view", "run_completed"), ("error", "run_created")) for x in pair))
+    payload = F.to_json(F.struct((k % 3).alias("step_seq"), F.struct((k % 4).alias("k")).alias("ctx"), F.struct((k % 4).alias("k")).alias("payload"), F.struct((k % 8).alias("done")).alias("ctx_delta")))
+    log = table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint").alias("seq"), kind[F.col("event_type")].alias("kind"), payload.alias("payload"))
+    found = transcripts.starts(log, {0: "ctx.k", 1: "ctx.done != 7"}).unionByName(transcripts.completions(log, [0, 1]))
+    return found.select(F.col("run_id").alias("user_id"), "seq", "rule", "message")
