@@ -62,3 +62,12 @@ def test_every_item_of_an_array_is_checked(spark):
         deep = {"items": deep}
     with pytest.raises(ValueError):
         documents.errors(F.col("d"), deep)
+
+
+def test_minted_identifiers(spark):
+    import uuid
+
+    from veriloom.functions import text
+
+    ids = [r.i for r in spark.range(20).select(text.minted().alias("i")).collect()]
+    assert len(set(ids)) == 20 and all(uuid.UUID(i).version == 4 for i in ids)

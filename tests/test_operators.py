@@ -170,3 +170,9 @@ def test_holdout_is_the_least_hashes(spark, digits):
         keys = sorted((k for k, t, _ in rows if t == s), key=lambda k: hashlib.sha256(f"42:{k}".encode()).hexdigest())
         want |= set(keys[: max(1, int(len(keys) * 0.2))])
     assert {r.k for r in got if r.part == "test"} == want and len(got) == len(rows)
+
+
+def test_rendered_rows(spark):
+    row = spark.sql("SELECT named_struct('z', 1, 'a', array(named_struct('y', cast(null as string), 'b', map('k2', 1, 'k1', 2)))) AS s, cast(null as struct<q:int>) AS n, 'ü' AS a")
+    got = row.select(derive.rendered(row).alias("j")).first().j
+    assert got == '{"a":"ü","n":null,"s":{"a":[{"b":{"k1":2,"k2":1},"y":null}],"z":1}}'

@@ -73,6 +73,13 @@ def test_document_round_trip(spark, tmp_path):
     assert [r._key for r in again["flow_states"].orderBy("_ord").collect()] == ["w", "k", "z"]
 
 
+def test_standing_dispositions_of_runs(spark):
+    doc = changed("directives/di9", source_run_id="r1", target_run_id="r1", action="steer", disposition_id="x2")
+    doc["directives"]["di8"] = {**doc["directives"]["di9"]}
+    acts = {r.id: r for r in project.project(entities.from_dict(spark, doc))["acts"].collect()}
+    assert (acts["act-hr-r1"].mode, acts["act-hr-r1"].standing) == ("implicit", ["x2"]) and acts["act-hr-r2"].standing == []
+
+
 def test_projection_checks(spark):
     p = project.project(entities.from_dict(spark, changed("disclosures/q1", dyad_id="d1", kind="error", text="t", seq=4)))
     assert p["escalations"].first()["from"] == "ext:local-disclosure-q1"

@@ -23,6 +23,13 @@ def test_versions(spark, tmp_path):
     assert {tuple(r) for r in versions.read(spark, folder).collect()} == {("a", 7), ("b", 9), ("c", 3)}
 
 
+def test_store_by_content(spark, tmp_path):
+    folder = f"file://{tmp_path}/t"
+    rows = lambda *k: spark.createDataFrame([(x, x) for x in k], "manifest_hash string, output string")
+    assert [versions.put_missing(rows(*k), folder, "manifest_hash") for k in ("a", "ab", "bba", "c")] == [1, 2, 2, 3]
+    assert sorted(r.output for r in versions.read(spark, folder).collect()) == ["a", "b", "c"]
+
+
 def test_a_failing_task_leaves_no_version(spark, tmp_path):
     folder = f"file://{tmp_path}/t"
     with pytest.raises(Exception, match="boom"):

@@ -100,3 +100,12 @@ def test_verify_writers(spark):
     rows[1] = (*rows[1][:3], "changed", rows[1][4])
     assert [r.problem for r in flows.verify_writers(spark.createDataFrame(rows, s)).collect()] == ["hash mismatch"]
     assert [r.problem for r in flows.verify_writers(spark.createDataFrame(rows[:1] + rows[2:], s)).collect()] == ["gap"]
+
+
+def test_books_from_entities(spark):
+    books = spark.createDataFrame([("a", "1"), ("b", "1")], "_key string, release_version string")
+    steps = spark.createDataFrame([("a", 2, "t2", "ctx.x"), ("a", 1, "t1", "True")], "runbook_id string, seq bigint, tool_id string, expr string")
+    made = files.books_of(books, steps)
+    assert {r.runbook_id: [tuple(x) for x in r.steps] for r in made.collect()} == {"a": [(0, "t1", "True"), (1, "t2", "ctx.x")], "b": []}
+    shipped = made.where("runbook_id = 'a'").withColumn("release_version", F.lit("9"))
+    assert {r.runbook_id: r.release_version for r in files.definitions(shipped, made, "runbook_id").collect()} == {"a": "9", "b": "1"}

@@ -92,3 +92,8 @@ def within(path: Column, root: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(path, "/+", "/"), "(.)/$", "$1")
     top = F.regexp_replace(F.regexp_replace(root, "/+", "/"), "(.)/$", "$1")
     return ~clean.rlike(r"(^|/)\.\.(/|$)") & ((clean == top) | F.startswith(clean, F.concat(F.when(top == "/", F.lit("")).otherwise(top), F.lit("/"))))
+
+
+def minted() -> Column:
+    """A new random identifier (UUID 4) for each row: another one in each run, so rows that carry it must be written once."""
+    return F.uuid()

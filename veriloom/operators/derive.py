@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from veriloom.operators.digests import ordered_digest
 
@@ -27,12 +28,35 @@ def directory_bytes(files: DataFrame, group: Sequence[str], path: str, content:
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:
-    """A JSON object with sorted keys and compact separators; null values are written."""
+    """A JSON object with sorted keys and compact separators; null values are written.
+
+    Keys of structs inside a value are in the order of their type (``sorted_fields``
+    sorts them).
+    """
     one = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"^\{\"v\":(.*)\}$", 1), F.lit("null"))
     value = lambda c: F.when(c.isNull(), F.lit("null")).otherwise(one(c))
     return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{k}":'), value(c)) for k, c in sorted(columns.items()))), F.lit("}"))
 
 
+def sorted_fields(value: Column, kind: DataType) -> Column:
+    """A value whose structs, however deep, have their fields in order of name."""
+    if isinstance(kind, StructType):
+        made = F.struct(*(sorted_fields(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: sorted_fields(x, kind.elementType))
+    if isinstance(kind, MapType):
+        entries = F.array_sort(F.map_entries(F.transform_values(value, lambda _, x: sorted_fields(x, kind.valueType))))
+        return F.map_from_entries(entries)
+    return value
+
+
+def rendered(df: DataFrame) -> Column:
+    """A row as JSON with sorted keys at every depth, nulls written: the same bytes for the same row."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return F.to_json(sorted_fields(row, df.schema), {"ignoreNullFields": "false"})
+
+
 def entity_set_hash(collections: dict[str, DataFrame]) -> DataFrame:
     """``collection, sha256``: each collection's entities as canonical JSON in key order, hashed."""
     out = None

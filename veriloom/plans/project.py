@@ -51,19 +51,19 @@ def project(t: Tables, system: str = "local") -> dict[str, DataFrame]:
     d = answers(t)
 
     def acts(df: DataFrame, prefix: str, name: str, title: Column, mode: Column, state: str, refs: Column) -> DataFrame:
-        return df.select(ident(prefix, "_key").alias("id"), title.alias("title"), mode.alias("mode"), "processor", F.col(state).alias("state"), F.filter(refs, lambda x: F.coalesce(x, F.lit("")) != "").alias("refs"), *source(name))
+        return df.select(ident(prefix, "_key").alias("id"), title.alias("title"), mode.alias("mode"), "processor", F.col(state).alias("state"), F.filter(refs, lambda x: F.coalesce(x, F.lit("")) != "").alias("refs"), (F.col("standing") if "standing" in df.columns else F.array().cast("array<string>")).alias("standing"), *source(name))
 
     lit, key = F.lit, F.col("_key")
     records = _party(people, t["decision_records"], "proposer_id", "processor")
     standing = d.where("mode = 'set_standing' AND answer = 'yes'").select(F.col("_key").alias("disposition_id"))
-    implicit = t["directives"].join(standing, "disposition_id", "left_semi").select(F.col("target_run_id").alias("_key"), lit(True).alias("implicit")).distinct()
-    harness = agent(t["harness_runs"].join(implicit, "_key", "left"))
+    in_force = t["directives"].join(standing, "disposition_id", "left_semi").groupBy(F.col("target_run_id").alias("_key")).agg(F.array_sort(F.collect_set("disposition_id")).alias("standing"))
+    harness = agent(t["harness_runs"].join(in_force, "_key", "left").withColumn("standing", F.coalesce("standing", F.array().cast("array<string>"))))
     ratified = t["ratifications"].groupBy(F.col("proposal_id").alias("_key")).agg(F.max_by("verdict", "_ord").alias("verdict"))
     offers = agent(t["proposals"].join(ratified, "_key", "left").withColumn("verdict", F.coalesce("verdict", lit("draft"))))
     automatic = lambda c: t[c].withColumn("processor", lit(EXECUTOR))
     base = union(
         acts(records, "act-dr", "decision_records", F.coalesce(F.nullif(F.col("matter"), lit("")), F.concat(lit("decision record "), key)), lit("explicit"), "verdict", F.concat(F.array_sort("premises"), F.array("disposition_id"))),
-        acts(harness, "act-hr", "harness_runs", F.format_string("harness run %s (%s)", key, "authority_scope"), F.when(F.col("implicit"), "implicit").otherwise("explicit"), "state", F.array("principal_id", "session_id")),
+        acts(harness, "act-hr", "harness_runs", F.format_string("harness run %s (%s)", key, "authority_scope"), F.when(F.size("standing") > 0, "implicit").otherwise("explicit"), "state", F.array("principal_id", "session_id")),
         acts(automatic("automaton_runs"), "act-ar", "automaton_runs", F.concat(lit("automaton run "), key), lit("automatic"), "state", F.array("runbook_id", "parent_flow_run_id", "flow_state_id")),
         acts(automatic("flow_runs"), "act-fr", "flow_runs", F.concat(lit("flow run "), key), lit("automatic"), "state", F.array("flow_id", "current_state_id")),
         acts(offers, "act-proposal", "proposals", F.col("text"), lit("explicit"), "verdict", F.array().cast("array<string>")),

@@ -136,12 +136,20 @@ def lookup(tables: Mapping[str, DataFrame], collection: str, key: str) -> DataFr
 
 
 def write_document(tables: Mapping[str, DataFrame], path: str) -> None:
-    """The collections as one JSON document, in key order ``_ord`` (bounded: a definition graph, not a log)."""
-    doc = {}
-    for name, df in tables.items():
-        rows = df.orderBy("_ord").toJSON().collect()
-        if rows:
-            entries = [json.loads(r) for r in rows]
-            doc[name] = {e.pop("_key"): {k: v for k, v in e.items() if k != "_ord"} for e in entries}
+    """The collections as one JSON document, in key order ``_ord``; one partition of a collection is held at a time."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(doc, f, indent=2)
+        f.write("{")
+        some = False
+        for name, df in tables.items():
+            n = 0
+            for n, row in enumerate(df.orderBy("_ord").toJSON().toLocalIterator(), 1):
+                entity = json.loads(row)
+                key = entity.pop("_key")
+                entity.pop("_ord", None)
+                if n == 1:
+                    f.write(f"{',' if some else ''}\n  {json.dumps(name)}: {{")
+                    some = True
+                f.write(f"{',' if n > 1 else ''}\n    {json.dumps(key)}: {json.dumps(entity)}")
+            if n:
+                f.write("\n  }")
+        f.write("\n}\n")

@@ -29,6 +29,14 @@ def definitions(preferred: DataFrame, fallback: DataFrame, key: str) -> DataFram
     return both.withColumn("__at", F.row_number().over(W.partitionBy(key).orderBy("__rank"))).where("__at = 1").drop("__rank", "__at")
 
 
+def books_of(runbooks: DataFrame, steps: DataFrame) -> DataFrame:
+    """Run-book definitions ``runbook_id, release_version, steps`` from entities, steps numbered from 0 in order of ``seq``; the fallback of ``definitions``."""
+    step = F.struct((F.col("seq") - 1).alias("seq"), F.col("tool_id").alias("tool"), "expr")
+    held = steps.groupBy("runbook_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    books = runbooks.select(F.col("_key").alias("runbook_id"), "release_version").join(held, "runbook_id", "left")
+    return books.withColumn("steps", F.coalesce("steps", F.array().cast(held.schema["steps"].dataType)))
+
+
 def tree(spark: SparkSession, root: str, *, glob: str = "*", skip: Sequence[str] = ()) -> DataFrame:
     """``path, sha256, length`` of every file below a root, by path relative to it; ``skip``: directories left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)

@@ -113,6 +113,15 @@ def put_records(records: DataFrame, folder: str, key: str, *, seen: int | None =
     return replace(old.unionByName(records, allowMissingColumns=True), folder, seen=seen)
 
 
+def put_missing(rows: DataFrame, folder: str, key: str) -> int:
+    """A version with those of ``rows`` whose content key isn't there yet (a store of derivations' outputs); the latest if none is new."""
+    spark = rows.sparkSession
+    seen = latest(spark, folder)
+    old = read(spark, folder, seen) if seen else rows.limit(0)
+    new = settled(rows.dropDuplicates([key]).join(old.select(key), key, "left_anti"))
+    return replace(old.unionByName(new), folder, seen=seen) if not seen or not new.isEmpty() else seen
+
+
 #: The text of a message, its kind and its first state.
 TEMPLATE = ("flow_id", "flow_run_id", "state_id", "trigger")
 KIND, OPEN = "automaton-exception", "open"
