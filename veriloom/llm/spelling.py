@@ -46,6 +46,8 @@ _LOWER = {i: i + 32 for i in range(65, 91)}
 PORTION = 1 << 20
 #: Strings of a neighbourhood that exist at once.
 AT_ONCE = 1 << 20
+#: Words whose neighbourhoods one task makes, about.
+TASK_WORDS = 25_000
 #: Base of the polynomial keys, any odd number.
 BASE = 0x9E3779B97F4A7C15
 DELETE, REPLACE, INSERT = 0, 1, 2
@@ -218,6 +220,8 @@ def bitmap(vocab: DataFrame, bits: int) -> bytes:
 def candidates(vocab: DataFrame, alphabet: str, bits: int) -> DataFrame:
     """``key, wid, edit``: the neighbourhoods of all words, less what the bitmap rules out."""
     letters = np.array(sorted(map(ord, alphabet)), np.uint32)
+    # A word makes hundreds of strings, so the small table is dealt to many tasks.
+    tasks = vocab.count() // TASK_WORDS + 1
     sent = vocab.sparkSession.sparkContext.broadcast(bitmap(vocab, bits))
 
     def run(batches):
@@ -233,7 +237,7 @@ def candidates(vocab: DataFrame, alphabet: str, bits: int) -> DataFrame:
                     if len(may):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[may].view(np.int64)), pa.array(ids[at[row[may]]]), pa.array(edits[may])], names=["key", "wid", "edit"])
 
-    return vocab.select("wid", "word").mapInArrow(run, "key bigint, wid bigint, edit bigint")
+    return vocab.select("wid", "word").repartition(tasks).mapInArrow(run, "key bigint, wid bigint, edit bigint")
 
 
 def edited(word, edit):
