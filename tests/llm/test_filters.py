@@ -245,3 +245,24 @@ def test_grammar_patterns():
     assert set(g.clause("she is not stupid".split())) == {"insult_negated"}
     assert set(g.clause("the paper reported that a minister called it trash".split())) == {"insult_reported"}
     assert set(g.clause("we will kill you".split())) == {"threat_target"} and g.clause("a fine day".split()) == {}
+
+
+def test_secrets_of_letters_alone():
+    """Values of letters are judged by their cost, like others; words in such places stay."""
+    for value in ("zqxjkvbwpfmtzzqk", "Zqxjkvbwpfmtzzqk", "ZQXJKVBWPFMTZZQK"):
+        assert secret_scans.find(f"pwd: {value}")[1] == [(5, 21, "guess")]
+    for value in ("required", "Passwort", "horses", "unbekannt", "necessary", "Monsieur"):
+        assert secret_scans.find(f"pwd: {value} here")[1] == []
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_ranked_words_are_the_most_common(spark, docs, size):
+    import re
+    from collections import Counter
+
+    texts = [r.text for r in docs.select("text").collect()] + [None, ""]
+    n = Counter(w for t in texts for w in set(re.findall(r"(?<![^\W\d_])[^\W\d_]{4,16}(?![^\W\d_])", (t or "").lower())))
+    want = sorted((w for w, k in n.items() if k > 1), key=lambda w: (-n[w], w.encode()))[:size]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secret_scans.ranked_words(df, size=size) == want
+    assert secret_scans.ranked_words(df.limit(0)) == []

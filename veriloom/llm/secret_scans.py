@@ -31,7 +31,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.columns import map_texts
+from veriloom.llm.columns import drop_table, map_texts, shared_table
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -74,11 +74,22 @@ def ranked_words(df: DataFrame, *, text_col: str = "text", size: int = 20_000, l
     """The corpus's ``size`` most common words of ``least`` to 16 letters (lower case), by documents that hold them.
 
     Counts cover all documents; what comes to the driver, and goes back to the
-    executors with the function, is the list alone, bounded by ``size``.
+    executors with the function, is the list alone, bounded by ``size``.  The count at
+    which the list ends is found from a histogram (of some hundred steps), so that
+    tasks don't each send their ``size`` best.
     """
     found = F.array_distinct(F.regexp_extract_all(F.lower(F.col(f"`{text_col}`").cast("string")), F.lit(rf"(?<!\p{{L}})\p{{L}}{{{least},{_LONGEST}}}(?!\p{{L}})"), F.lit(0)))
-    counts = df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    kept = shared_table(counts.withColumn("step", F.floor(16 * F.log2("n")).cast("int")))
+    last, left = -1, size
+    for step, n in sorted(kept.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+        if n > left:
+            last = step
+            break
+        left -= n
+    rows = kept.where(F.col("step") > last).collect() + kept.where(F.col("step") == last).orderBy(F.desc("n"), "word").limit(left).collect()
+    drop_table(kept)
+    return [r["word"] for r in sorted(rows, key=lambda r: (-r["n"], r["word"]))]
 
 
 def _lowered(value: str) -> str:
@@ -167,7 +178,7 @@ def guess_spans(text: str, fixed: list[tuple[int, int, str]], min_guesses: float
         if end - a < 6 or (before and reach[before - 1] >= end):
             continue
         value = text[a:end]
-        if not (value.isalpha() and (value.islower() or value.istitle())) and guess_cost(value, rank) >= min_guesses:
+        if guess_cost(value, rank) >= min_guesses:
             found.append((a, end, "guess"))
             at = run
     return found
