@@ -325,3 +325,26 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert {r.doc_id for r in after.select("doc_id").collect()} == {r.doc_id for r in now.select("doc_id").collect()}
     total = corpus_pipeline.run(spark, sf)
     assert total.agg({"length": "sum"}).first()[0] == after.agg({"length": "sum"}).first()[0]
+
+
+def test_no_link_is_missed_at_size(spark):
+    """Every id divisible by 50 against all of 10,000 documents: linked texts are in one component."""
+    import re
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    root = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs, width=3, percent=85).collect()}
+    low, sets, post = {i: i + 32 for i in range(65, 91)}, {}, defaultdict(list)
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(low))
+        sets[r.doc_id] = set(zip(words, words[1:], words[2:])) if len(words) > 2 else {tuple(words)} if words else set()
+    for k, s in sets.items():
+        for x in s:
+            post[x].append(k)
+    links = 0
+    for k in (k for k in sets if k % 50 == 0):
+        shared = Counter(o for x in sets[k] for o in post[x] if o != k)
+        near = [o for o, n in shared.items() if 100 * n >= 85 * (len(sets[k]) + len(sets[o]) - n)]
+        assert {root[o] for o in near} <= {root[k]}
+        links += len(near)
+    assert links > 50
