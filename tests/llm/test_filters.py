@@ -21,6 +21,17 @@ def test_url_filter_paths_agree(spark):
     assert url_filters.url_filter(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_are_the_contracts(spark, tmp_path):
+    """The contract's list, written out: each rule's word decides where the rule is the longest that fits."""
+    listed = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = {rule: action for action, rule in (entry.split() for entry in listed.split(", "))}
+    assert {r.rule: r.action for r in queries.URL_RULES} == want
+    urls = {"com/en/": "http://a.com/en/1", "example.com/en/7": "http://example.com/en/7", "net/de/": "http://sub.example.net/de/7", "example.net/de/8": "http://example.net/de/81", "org/es/": "http://b.org/es/"}
+    spark.createDataFrame(list(enumerate(urls.values())), "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = queries.op1_url_filter(spark, str(tmp_path)).collect()
+    assert {r.rule: r.verdict for r in rows} == want and len(rows) == len(urls)
+
+
 def test_digest_array_confirms_strings(tmp_path):
     entries = [(f"s{i}", i % 2) for i in range(1000)]
     path = tmp_path / "a.bin"
