@@ -293,6 +293,13 @@ def test_ranges_of_ids(spark):
         assert Counter((r.id, r.text, r.next_text) for r in got) == Counter((a[0], a[1], b[1]) for a, b in zip(want, want[1:] + want[:1]))
 
 
+@pytest.mark.parametrize("rows", [8, 1024])
+def test_texts_are_shuffled_once(spark, docs, rows):
+    """Ranges are read as they were written: nothing is dealt by range again, but for one row of each."""
+    plan = fingerprints.edited_fingerprints(docs, rows=rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(part" not in plan and "Exchange hashpartitioning(to" in plan
+
+
 def test_null_ids_link_others(spark):
     """A row without an id between two others brings them into one component; many far copies of one text are told apart."""
     words = [f"w{i}" for i in range(300)]

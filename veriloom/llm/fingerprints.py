@@ -16,9 +16,8 @@ a and b, likeness is (a + b - d) / (a + b + d), the share that the texts have in
 common.
 
 Everything is DataFrame functions: no Python runs on executors.  Texts are shuffled
-twice: into ranges of ids, which are written (``placed``), and with each range's
-successor into tasks, where all aggregates stay.  The number of ranges grows with
-the rows.
+once, into ranges of ids, which are written in buckets (``placed``); a bucket is read
+by one task, where all aggregates stay.  The number of ranges grows with the rows.
 
 Defined results: a null or empty text has no digests, an all-zero fingerprint,
 and likeness 1 to another such text, 0 to others; equal texts have equal
@@ -36,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.llm.columns import shared_table
+from veriloom.llm.columns import shared_buckets
 from veriloom.llm.line_dedup import bare, let
 
 #: Where a paragraph ends: after a line feed, or the space behind the end of a sentence or a table cell.
 PARAGRAPH_END = r"(?<=\n)|(?<=[.!?|] )"
 _PARTS = 3
+#: Most buckets of a table (Spark's limit); beyond it several ranges share one.
+BUCKETS = 100_000
 
 
 def digests(text: Column, words: Column) -> Column:
@@ -246,21 +247,24 @@ def placed(df: DataFrame, *, rows: int) -> tuple[DataFrame, int]:
     """``df`` (``id, text``) in ranges of about ``rows`` rows of falling id, written to the shared folder: ``part``, ``th`` and ``tie`` beside it.
 
     Rows of one id go by their texts' hashes, equal rows in any order, so a range
-    ends wherever it is full; rows with a null id come last.  Returns the number
-    of ranges as well.
+    ends wherever it is full; rows with a null id come last.  The table is bucketed by
+    range, so what is read of it needn't be shuffled by ``part`` again (as many buckets
+    as Spark has shuffle partitions at least: with fewer, Spark's joins would shuffle it).
+    Returns the number of ranges as well.
     """
+    spark = df.sparkSession
     parts = max(1, -(-df.count() // rows))
     keyed = df.withColumn("th", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id())
     dealt = keyed.repartitionByRange(parts, *falling()).withColumn("part", F.spark_partition_id())
-    return shared_table(dealt), parts
+    return shared_buckets(dealt, "part", min(BUCKETS, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))), parts
 
 
 def with_next(df: DataFrame, *, rows: int) -> DataFrame:
     """``part, at, id, text, next_text``: each row's successor in falling order of ids; the last one's is the first.
 
     A range's first row is sent to the range before it (the first range's to the
-    last).  Only one row of keys a range is gathered for that; it is broadcast up
-    to a number of ranges that keeps it small.
+    last), where it meets the last row.  Only one row of keys a range is gathered for
+    that; it is broadcast up to a number of ranges that keeps it small.
     """
     table, parts = placed(df, rows=rows)
     key = F.struct("id", "th", "tie")
@@ -268,10 +272,11 @@ def with_next(df: DataFrame, *, rows: int) -> DataFrame:
     heads = table.groupBy("part").agg(F.max(key).alias("head"))
     heads = heads.select(F.col("part").alias("from"), "head", F.coalesce(F.lag("part").over(over), F.max("part").over(over.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("to"))
     small = F.broadcast(heads) if parts <= 100_000 else heads
-    ghosts = table.join(small, (F.col("part") == F.col("from")) & (F.col("tie") == F.col("head.tie"))).select("id", "text", "th", "tie", F.col("to").alias("part"))
-    both = table.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True))).repartition(parts, "part")
-    by = W.partitionBy("part").orderBy("ghost", *falling())
-    return both.select("part", F.row_number().over(by).alias("at"), "id", "text", F.lead("text").over(by).alias("next_text"), "ghost").where("NOT ghost").drop("ghost")
+    ghosts = table.join(small, (F.col("part") == F.col("from")) & (F.col("tie") == F.col("head.tie"))).select("to", F.col("text").alias("ghost"))
+    by = W.partitionBy("part").orderBy(*falling())
+    own = table.select("part", F.row_number().over(by).alias("at"), "id", "text", F.lead("text").over(by).alias("after"))
+    met = own.join(ghosts.hint("shuffle_hash"), (F.col("part") == F.col("to")) & F.col("after").isNull(), "left")
+    return met.select("part", "at", "id", "text", F.coalesce("after", "ghost").alias("next_text"))
 
 
 def edited_fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 8, word_chars: int = 200, rows: int = 1024) -> DataFrame:
