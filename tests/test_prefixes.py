@@ -71,3 +71,12 @@ def test_replay(spark, parts):
         ("start", 1, "replay: event 1 starts at s1, expected s0"), ("lost", 1, "replay: event 1 does not re-derive (winners=['t2'])"),
         ("two", 2, "replay: event 2 does not re-derive (winners=['t4', 't5'])"), ("none", 1, "replay: event 1 does not re-derive (winners=[])"),
     }
+
+
+def test_replay_parses_a_payload_once(spark):
+    """However many guards and candidates there are, and whatever is asked of the faults."""
+    df = spark.createDataFrame([("r", 1, "s0", "s1", "go", "{}")], "run string, seq bigint, from_state string, to_state string, trigger string, payload string")
+    known = spark.createDataFrame(TRANSITIONS, "transition_id string, from_state string, trigger string, guard string, to_state string")
+    got = logs.replay(df, known, ["run"], "seq", initial="s0", guards=[t[3] for t in TRANSITIONS if t[3]])
+    for asked in (got, logs.first_faults(got, ["run"], "seq")):
+        assert asked._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + asked._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1

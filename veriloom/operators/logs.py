@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.functions.guards import any_of
+from veriloom.functions.guards import any_of, bound, let
 from veriloom.operators.digests import ordered_digest
 from veriloom.operators.prefixes import running_merge
 
@@ -107,22 +107,31 @@ def replay(
     merged = merged.withColumn("expected_state", F.coalesce("to_state_before", F.lit(initial))).drop("to_state_before")
     # One row a state and trigger: definitions, so an event meets its candidates without a shuffle of its own.
     known = transitions.groupBy(F.col("from_state").alias("expected_state"), "trigger").agg(F.array_sort(F.collect_list(F.struct("transition_id", "guard", "to_state"))).alias("__known"))
-    holds = lambda t: F.coalesce(any_of(t["guard"], guards, {root: F.col("merged")}), F.lit(False))
-
-    judged = merged.join(known, ["expected_state", "trigger"], "left").withColumn("__won", F.filter(F.coalesce("__known", F.array().cast(known.schema["__known"].dataType)), holds))
-    ids = F.transform("__won", lambda t: t["transition_id"])
+    candidates = F.coalesce("__known", F.array().cast(known.schema["__known"].dataType))
     text = lambda c: F.col(c).cast("string")
-    shown = F.concat(F.lit("["), F.array_join(F.transform(ids, lambda i: F.concat(F.lit("'"), i.cast("string"), F.lit("'"))), ", "), F.lit("]"))
-    only = F.size("__won") == 1
-    fault = F.when(~F.col("from_state").eqNullSafe(F.col("expected_state")), F.format_string("replay: event %s starts at %s, expected %s", text(seq), "from_state", "expected_state")).when(
-        ~only | ~F.col("__won")[0]["to_state"].eqNullSafe(F.col("to_state")), F.format_string("replay: event %s does not re-derive (winners=%s)", text(seq), shown)
-    )
-    return judged.select(*(F.col(f"`{c}`") for c in events.columns), "merged", "expected_state", ids.alias("winners"), F.when(only, F.get("__won", F.lit(0))["transition_id"]).alias("transition_id"), fault.alias("fault"))
+
+    def judge(won: Column) -> Column:
+        ids = F.transform(won, lambda t: t["transition_id"])
+        shown = F.concat(F.lit("["), F.array_join(F.transform(ids, lambda i: F.concat(F.lit("'"), i.cast("string"), F.lit("'"))), ", "), F.lit("]"))
+        only = F.size(won) == 1
+        fault = F.when(~F.col("from_state").eqNullSafe(F.col("expected_state")), F.format_string("replay: event %s starts at %s, expected %s", text(seq), "from_state", "expected_state")).when(
+            ~only | ~F.get(won, F.lit(0))["to_state"].eqNullSafe(F.col("to_state")), F.format_string("replay: event %s does not re-derive (winners=%s)", text(seq), shown)
+        )
+        return F.struct(ids.alias("winners"), F.when(only, F.get(won, F.lit(0))["transition_id"]).alias("transition_id"), fault.alias("fault"))
+
+    # All that a row is told comes out of one expression, so that its payload is parsed, and its guards judged, once.
+    won = bound(guards, {root: F.col("merged")}, lambda values: F.filter(candidates, lambda t: F.coalesce(any_of(t["guard"], guards, values), F.lit(False))))
+    judged = merged.join(known, ["expected_state", "trigger"], "left").withColumn("__told", let(won, judge))
+    return judged.select(*(F.col(f"`{c}`") for c in events.columns), "merged", "expected_state", *(F.col(f"__told.{c}") for c in ("winners", "transition_id", "fault")))
 
 
 def first_faults(replayed: DataFrame, run: Sequence[str], seq: str) -> DataFrame:
-    """``run, seq, fault``: where the replay of each run stops."""
-    return replayed.where("fault IS NOT NULL").groupBy(*run).agg(F.min(seq).alias(seq), F.min_by("fault", seq).alias("fault"))
+    """``run, seq, fault``: where the replay of each run stops.
+
+    Faults are chosen in the aggregate: a filter of its own would judge each event twice.
+    """
+    first = F.min(F.when(F.col("fault").isNotNull(), F.struct(F.col(seq).alias("seq"), "fault"))).alias("__first")
+    return replayed.groupBy(*run).agg(first).where("__first IS NOT NULL").select(*run, F.col("__first.seq").alias(seq), F.col("__first.fault").alias("fault"))
 
 
 def uncommitted(log: DataFrame, commits: DataFrame, run: Sequence[str], seq: str, last: str) -> DataFrame:
