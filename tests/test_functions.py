@@ -71,3 +71,14 @@ def test_minted_identifiers(spark):
 
     ids = [r.i for r in spark.range(20).select(text.minted().alias("i")).collect()]
     assert len(set(ids)) == 20 and all(uuid.UUID(i).version == 4 for i in ids)
+
+
+def test_documents_are_parsed_once(spark):
+    from veriloom.functions import documents
+
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "integer", "minimum": 3}, "b": {"enum": ["x", 1]}}}
+    df = spark.createDataFrame([(1, '{"a": 2, "b": "y"}'), (2, '{"a": 3}'), (3, "[]"), (4, None), (5, '{"b": 1}')], "i int, doc string")
+    got = documents.listed(df, ["i"], F.col("doc"), schema)
+    assert sorted((r.i, r.error) for r in got.collect()) == sorted((r.i, e) for r in df.select("i", documents.errors(F.col("doc"), schema).alias("e")).collect() for e in r.e or [])
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("parse_json") + plan.count("parsejson") == 1

@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.functions.guards import let
+
 KEYWORDS = {"$schema", "$id", "$ref", "$defs", "title", "description", "type", "const", "enum", "pattern", "minimum", "required", "properties", "additionalProperties", "items"}
 _KIND = {"string": "^STRING", "integer": "^(BIGINT|INT|SMALLINT|TINYINT)", "number": "^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN", "null": "^VOID", "array": "^ARRAY", "object": "^OBJECT"}
 
@@ -33,7 +35,12 @@ def errors(document: Column, schema: Mapping) -> Column:
             raise ValueError("schema nests too deeply")
         if ref := node.get("$ref"):
             return at(value, defs[ref.rpartition("/")[2]], path, depth + 1)
-        kind = F.schema_of_variant(value)
+        # A value is taken, and its kind and keys told, once a row.
+        keyed = {"required", "properties", "additionalProperties"} & set(node)
+        keys = lambda v: F.json_object_keys(F.to_json(v)) if keyed else F.lit(None).cast("array<string>")
+        return let(value, lambda v: let(F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind"), keys(v).alias("keys")), lambda b: checked(b["value"], b["kind"], b["keys"], node, path, depth)))
+
+    def checked(value: Column, kind: Column, keys: Column, node: Mapping, path: str, depth: int) -> Column:
         where = path or "/"
         number = F.when(kind.rlike(_KIND["number"]), F.try_variant_get(value, "$", "double"))
         text = F.when(kind.startswith("STRING"), F.try_variant_get(value, "$", "string"))
@@ -58,7 +65,6 @@ def errors(document: Column, schema: Mapping) -> Column:
             own.append((F.coalesce(kind.startswith("STRING") & ~text.rlike(node["pattern"]), F.lit(False)), f"{where}: pattern"))
         if "minimum" in node:
             own.append((F.coalesce(number < node["minimum"], F.lit(False)), f"{where}: below minimum"))
-        keys = F.json_object_keys(F.to_json(value))
         for name in node.get("required", ()):
             own.append((kind.startswith("OBJECT") & ~F.coalesce(F.array_contains(keys, name), F.lit(False)), f"{path}/{name}: required"))
         found = F.filter(F.array(*(F.when(bad, F.lit(text_)) for bad, text_ in own)) if own else F.array().cast("array<string>"), lambda x: x.isNotNull())
@@ -72,8 +78,8 @@ def errors(document: Column, schema: Mapping) -> Column:
             parts.append(F.when(there, at(inner, child, f"{path}/{name}", depth + 1)).otherwise(F.array().cast("array<string>")))
         if "items" in node:
             members = F.try_variant_get(value, "$", "array<variant>")
-            checked = F.transform(F.coalesce(members, F.array().cast("array<variant>")), lambda m, i: F.transform(at(m, node["items"], "", depth + 1), lambda e: F.concat(F.lit(f"{path}/"), i.cast("string"), e)))
-            parts.append(F.flatten(checked))
+            judged = F.transform(F.coalesce(members, F.array().cast("array<variant>")), lambda m, i: F.transform(at(m, node["items"], "", depth + 1), lambda e: F.concat(F.lit(f"{path}/"), i.cast("string"), e)))
+            parts.append(F.flatten(judged))
         rest = F.concat(*parts)
         if "type" in node:
             kinds = [node["type"]] if isinstance(node["type"], str) else list(node["type"])
@@ -87,4 +93,12 @@ def errors(document: Column, schema: Mapping) -> Column:
 def exploded(df: DataFrame, keys: list[str], document: str, path: str, item_schema: Mapping) -> DataFrame:
     """``keys, pos, error`` for every item of the array at a path, a row for each item."""
     members = df.select(*keys, F.posexplode(F.try_variant_get(F.try_parse_json(document), path, "array<variant>")).alias("pos", "m"))
-    return members.select(*keys, "pos", F.explode(errors(F.to_json("m"), item_schema)).alias("error"))
+    return listed(members, [*keys, "pos"], F.to_json("m"), item_schema)
+
+
+def listed(df: DataFrame, keys: list[str], document: Column, schema: Mapping) -> DataFrame:
+    """``keys, error`` for each error of each document.
+
+    An outer explode: from another one Spark infers a filter, which checks each document again.
+    """
+    return df.select(*keys, F.explode_outer(errors(document, schema)).alias("error")).where("error IS NOT NULL")

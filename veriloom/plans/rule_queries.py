@@ -292,7 +292,7 @@ def schema_errors(spark, d):
     """Events as documents, against a schema: the validator itself."""
     schema = {"type": "object", "required": ["k", "user"], "properties": {"k": {"type": "integer", "minimum": 10}, "type": {"enum": ["click", "view"]}, "user": {"type": "integer"}}}
     doc = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.col("event_type").alias("type"), F.when(F.col("user_id") % 4 != 0, F.col("user_id")).alias("user")))
-    return table(spark, d, "events").select("event_id", F.explode(documents.errors(doc, schema)).alias("error"))
+    return documents.listed(table(spark, d, "events"), ["event_id"], doc, schema)
 
 
 @query("SELECT p_partkey, left(sha256(p_name || chr(0) || p_brand || chr(0) || p_size), 16) AS key FROM part")
