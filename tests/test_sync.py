@@ -78,3 +78,34 @@ def test_cycles_are_left_out(spark):
     edges = spark.createDataFrame([("a0", "b0"), ("b0", "a0"), ("c1", "c0")], "before string, after string")
     assert {tuple(r) for r in sync.on_cycles(sync.clocks(entries, edges)).collect()} == {("a", 0), ("b", 0)}
     assert [r.entry_hash for r in sync.converged(entries, edges).orderBy("pos").collect()] == ["c0", "c1", "a1"]
+
+
+def test_rounds_leave_entries_out_that_observe_nothing(spark, monkeypatch):
+    """A round of the clocks writes what entries know of others, not every entry's own number again."""
+    sizes, settled = [], sync.settled
+
+    def counting(df):
+        out = settled(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(sync, "settled", counting)
+    rows = [("quiet", i, f"q{i}", "x") for i in range(400)] + [(f"w{i}", 0, f"e{i}", "x") for i in range(9)]
+    entries = spark.createDataFrame(rows, "writer_id string, seq int, entry_hash string, entity_ref string")
+    edges = spark.createDataFrame([(f"e{i}", f"e{i + 1}") for i in range(8)], "before string, after string")
+    assert sync.clocks(entries, edges).count() == 400 + 9 * 10 // 2
+    assert sum(sizes) < 1100
+
+
+def test_rivals_and_clocks_take_more_tasks_for_more_rows(spark, monkeypatch):
+    from veriloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    entries, edges = history(300, 5)
+    rows = spark.createDataFrame(entries, "writer_id string, seq int, entry_hash string, entity_ref string")
+    links = spark.createDataFrame(edges, "before string, after string")
+    clock = sync.clocks(rows, links)
+    found = sync.rivals(rows, links, clock=clock)
+    assert found.rdd.getNumPartitions() > 8
+    monkeypatch.setattr(tables, "TASK_ROWS", 500_000)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sync.rivals(rows, links, clock=sync.clocks(rows, links)).collect()))

@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veriloom.operators.prefixes import running_merge
-from veriloom.sources.tables import settled
+from veriloom.sources.tables import settled, spread, tasks_for
 
 
 def tips(entries: DataFrame) -> DataFrame:
@@ -55,33 +54,56 @@ def clocks(entries: DataFrame, edges: DataFrame, *, parts: int | None = None) ->
     """``writer_id, seq, known_writer, known_seq``: each entry's vector clock, a row a writer, in the shared folder.
 
     Along a writer's entries clocks only grow, so the direct observations are first
-    merged along writers (``running_merge``: a writer's entries may lie in many tasks).
+    carried on along writers (``_carried``: a writer's entries may lie in many tasks).
     Each round then takes up the clocks of the latest entries known of each writer: it
     doubles the number of changes of writer that a path may have, so there are as many
-    rounds as the logarithm of the most changes.  Writers are strings; entries of one
-    writer and ``seq`` share a clock; edges to unknown entries are left out, and so are
-    those within one writer, whose order is that of ``seq``.
+    rounds as the logarithm of the most changes.  What an entry knows of its own writer
+    is its own ``seq``, which no round needs; only on cycles does a later one come back
+    to it.  Writers are strings; entries of one writer and ``seq`` share a clock; edges
+    to unknown entries are left out, and so are those within one writer, whose order is
+    that of ``seq``.
     """
     known = entries.select("writer_id", F.col("seq").cast("bigint").alias("seq"), "entry_hash")
     links = edges.where("before <> after").join(known.withColumnsRenamed({"entry_hash": "before", "writer_id": "w", "seq": "s"}), "before").join(known.withColumnRenamed("entry_hash", "after"), "after").where("w <> writer_id")
-    seen = links.groupBy("writer_id", "seq", "w").agg(F.max("s").alias("s")).groupBy("writer_id", "seq").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("w", "s")))).alias("seen"))
-    rows = known.select("writer_id", "seq").distinct().join(seen, ["writer_id", "seq"], "left")
-    merged = running_merge(rows, ["writer_id"], ["seq"], "seen", highest=True, parts=parts).select("writer_id", "seq", F.from_json("merged", "map<string,bigint>").alias("m"))
-    own = F.create_map("writer_id", F.lit(None).cast("bigint"))
-    clock = F.map_concat(F.map_filter("m", lambda k, _: k != F.col("writer_id")), F.transform_values(own, lambda k, _: F.col("seq")))
-    now = settled(merged.select("writer_id", "seq", F.explode(clock).alias("known_writer", "known_seq")))
+    seen = settled(links.groupBy("writer_id", "seq", F.col("w").alias("known_writer")).agg(F.max("s").alias("known_seq")))
+    rows = settled(known.select("writer_id", "seq").distinct())
+    others = settled(_carried(rows, seen, parts))
     size = None
-    while size != (size := now.agg(F.count("*"), F.sum(F.col("known_seq").cast("decimal(38,0)"))).first()):
-        theirs = now.select(F.col("writer_id").alias("w"), F.col("seq").alias("s"), "known_writer", "known_seq")
-        mine = now.select("writer_id", "seq", F.col("known_writer").alias("w"), F.col("known_seq").alias("s"))
-        now = settled(mine.join(theirs, ["w", "s"]).groupBy("writer_id", "seq", "known_writer").agg(F.max("known_seq").alias("known_seq")))
-    return now
+    while size != (size := others.agg(F.count("*"), F.sum(F.col("known_seq").cast("decimal(38,0)"))).first()):
+        theirs = others.select(F.col("writer_id").alias("w"), F.col("seq").alias("s"), "known_writer", "known_seq")
+        mine = others.select("writer_id", "seq", F.col("known_writer").alias("w"), F.col("known_seq").alias("s"))
+        further = mine.join(theirs, ["w", "s"]).where("known_writer <> writer_id OR known_seq > seq").select("writer_id", "seq", "known_writer", "known_seq")
+        others = settled(others.unionByName(further).groupBy("writer_id", "seq", "known_writer").agg(F.max("known_seq").alias("known_seq")))
+    later = others.where("known_writer = writer_id").select("writer_id", "seq", F.col("known_seq").alias("later"))
+    own = settled(rows.join(later, ["writer_id", "seq"], "left").select("writer_id", "seq", F.col("writer_id").alias("known_writer"), F.coalesce("later", "seq").alias("known_seq")))
+    return own.unionByName(others.where("known_writer <> writer_id"))
+
+
+def _carried(rows: DataFrame, seen: DataFrame, parts: int | None) -> DataFrame:
+    """Direct observations carried on along writers: for each entry and each writer observed up to it, the highest ``known_seq``.
+
+    Rows are dealt to ranges of (writer, observed writer, seq); a range starts from the
+    highest of the ranges before it, so a writer's entries are never one task's.
+    """
+    pair = ["writer_id", "known_writer"]
+    since = seen.groupBy(*pair).agg(F.min("seq").alias("since"))
+    places = rows.join(since, "writer_id").where("seq >= since").select("writer_id", "known_writer", "seq", F.lit(None).cast("bigint").alias("known_seq"))
+    both = places.unionByName(seen.select(*places.columns))
+    n = both.count()
+    dealt = settled(both.repartitionByRange(parts or tasks_for(rows.sparkSession, n), *pair, "seq").withColumn("part", F.spark_partition_id()))
+    before = W.partitionBy(*pair).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    start = dealt.groupBy("part", *pair).agg(F.max("known_seq").alias("highest")).withColumn("start", F.max("highest").over(before)).where("start IS NOT NULL").drop("highest")
+    # An entry's own observations come before its place, which is the row without one.
+    up_to = W.partitionBy("part", *pair).orderBy("seq", F.col("known_seq").desc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    run = spread(dealt, "part", *pair, rows=n).withColumn("highest", F.max("known_seq").over(up_to)).where("known_seq IS NULL").drop("known_seq")
+    return run.join(start, ["part", *pair], "left").select("writer_id", "seq", "known_writer", F.greatest("highest", "start").alias("known_seq"))
 
 
 def on_cycles(clock: DataFrame) -> DataFrame:
     """``writer_id, seq`` of entries that some entry precedes which they precede: no order holds them."""
-    theirs = clock.select(F.col("writer_id").alias("known_writer"), F.col("seq").alias("known_seq"), F.col("known_writer").alias("writer_id"), F.col("known_seq").alias("back"))
-    seen = clock.where("known_writer <> writer_id").join(theirs, ["known_writer", "known_seq", "writer_id"])
+    others = clock.where("known_writer <> writer_id")
+    theirs = others.select(F.col("writer_id").alias("known_writer"), F.col("seq").alias("known_seq"), F.col("known_writer").alias("writer_id"), F.col("known_seq").alias("back"))
+    seen = others.join(theirs, ["known_writer", "known_seq", "writer_id"])
     return seen.where("back >= seq").select("writer_id", "seq").distinct()
 
 
@@ -105,26 +127,25 @@ def rivals(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = No
 
     Of another writer, the entries that this one knows come first, and those that know
     this one come last; both borders are found by counting in order of ``seq``, so no
-    two entries of an entity are ever compared.  Rows with an empty range are left out.
+    two entries of an entity are ever compared.  Each (entry, other writer) is dealt
+    once as what asks and once, seen from the other writer, as what is counted; both
+    countings are windows over that one shuffle, of as many tasks as its rows need.
+    Rows with an empty range are left out.
     """
     clock = clocks(entries, edges) if clock is None else clock
     rows = entries.where("entity_ref IS NOT NULL").select("entity_ref", "writer_id", F.col("seq").cast("bigint").alias("seq")).distinct()
     writers = rows.select("entity_ref", F.col("writer_id").alias("other")).distinct()
-    pairs = rows.join(writers, "entity_ref").where("other <> writer_id")
-    knows = clock.select("writer_id", "seq", F.col("known_writer").alias("other"), "known_seq")
-    pairs = settled(pairs.join(knows, ["writer_id", "seq", "other"], "left").withColumn("known_seq", F.coalesce("known_seq", F.lit(-1))))
-
-    def counted(probes: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-        """Each probe with the number of marks of its (entity, reader, other) that are at most ``at``."""
-        both = probes.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1)), allowMissingColumns=True)
-        up_to = W.partitionBy("entity_ref", "other", *(c for c in ("writer_id",) if c in marks.columns)).orderBy("at", F.desc("mark")).rowsBetween(W.unboundedPreceding, 0)
-        return both.withColumn(name, F.sum("mark").over(up_to)).where("mark = 0").drop("mark", "at")
-
-    lower = counted(pairs.select("entity_ref", "writer_id", "seq", "other", F.col("known_seq").alias("at")), rows.select("entity_ref", F.col("writer_id").alias("other"), F.col("seq").alias("at")), "first")
-    # Entries of the other writer that know less of this writer than this entry: the other writer's pairs, seen from here.
-    seen = pairs.select("entity_ref", F.col("other").alias("writer_id"), F.col("writer_id").alias("other"), F.col("known_seq").alias("at"))
-    upper = counted(pairs.select("entity_ref", "writer_id", "seq", "other", (F.col("seq") - 1).alias("at")), seen, "past_last")
-    return lower.join(upper, ["entity_ref", "writer_id", "seq", "other"]).where("first < past_last")
+    known = clock.where("known_writer <> writer_id").groupBy("writer_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("known_writer", "known_seq"))).alias("known"))
+    pairs = rows.join(known, ["writer_id", "seq"], "left").join(writers, "entity_ref").where("other <> writer_id")
+    pairs = settled(pairs.select("entity_ref", "writer_id", "seq", "other", F.coalesce(F.try_element_at("known", "other"), F.lit(-1)).alias("known_seq")))
+    # ``by_seq``: marks are the other writer's entries; ``by_known``: how much of this writer they know.
+    asks = pairs.select("entity_ref", "writer_id", "other", "seq", F.lit(0).alias("mark"), F.col("known_seq").alias("by_seq"), (F.col("seq") - 1).alias("by_known"))
+    marks = pairs.select("entity_ref", F.col("other").alias("writer_id"), F.col("writer_id").alias("other"), "seq", F.lit(1).alias("mark"), F.col("seq").alias("by_seq"), F.col("known_seq").alias("by_known"))
+    key = ["entity_ref", "writer_id", "other"]
+    dealt = spread(asks.unionByName(marks), *key, rows=2 * pairs.count())
+    up_to = lambda at: W.partitionBy(*key).orderBy(at, F.desc("mark")).rowsBetween(W.unboundedPreceding, 0)
+    counted = dealt.withColumn("first", F.sum("mark").over(up_to("by_seq"))).withColumn("past_last", F.sum("mark").over(up_to("by_known")))
+    return counted.where("mark = 0 AND first < past_last").select("entity_ref", "writer_id", "seq", "other", "first", "past_last")
 
 
 def divergent(entries: DataFrame, edges: DataFrame, *, clock: DataFrame | None = None) -> DataFrame:

@@ -29,6 +29,25 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: About how many rows a task of ``spread`` sorts or joins.
+TASK_ROWS = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks for a shuffle of ``rows`` rows: Spark's number of shuffle partitions, or more where each would get over ``TASK_ROWS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def spread(df: DataFrame, *keys: str, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, shuffled by its keys to more tasks where Spark's own number would be too few.
+
+    That number is a setting, so a task's share would grow with the input; here the
+    number of tasks does.
+    """
+    tasks = tasks_for(df.sparkSession, rows)
+    return df.repartition(tasks, *keys) if tasks > tasks_for(df.sparkSession, 0) else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage for good."""
     spark = df.sparkSession
