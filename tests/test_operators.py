@@ -102,6 +102,17 @@ def test_coverage(spark):
     assert [r.passed for r in hashing.adjudicate(a, end="e", want_end="we", path="p", want_path="wp", covered="c", wanted="w").collect()] == [True, False, False]
 
 
+def test_budgets_take_more_tasks_for_more_scenarios(spark, monkeypatch):
+    from veriloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 50, raising=False)
+    runs = spark.range(1000).selectExpr("id AS scenario_id", "if(id = 0, null, id % 200) AS brief_id")
+    briefs = spark.range(150).selectExpr("id AS brief_id", "4 AS budget", "id % 3 AS authored", "id % 2 = 0 AS retired")
+    got = derive.within_budget(runs, briefs.hint("merge"))
+    assert got.rdd.getNumPartitions() == 20
+    assert sorted(r.scenario_id for r in got.where("accepted").collect()) == [i for i in range(1000) if i and i % 200 < 150 and i % 2 and i % 200 % 3 + i // 200 + 1 <= 4]
+
+
 def test_stats(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 5.0), ("c", None)], "g string, v double")
     got = {r.g: tuple(r)[1:] for r in stats.summary(df, ["g"], "v").collect()}

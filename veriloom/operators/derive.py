@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from veriloom.operators.digests import ordered_digest
+from veriloom.sources.tables import spread
 
 
 def directory_bytes(files: DataFrame, group: Sequence[str], path: str, content: str, *, kind: str | None = None) -> DataFrame:
@@ -130,7 +131,12 @@ def harden(candidates: DataFrame) -> DataFrame:
 
 
 def within_budget(scenarios: DataFrame, briefs: DataFrame) -> DataFrame:
-    """Scenarios with ``accepted``: known brief, not retired, and within its budget in order."""
+    """Scenarios with ``accepted``: known brief, not retired, and within its budget in order.
+
+    Scenarios are dealt by their brief to as many tasks as their number needs, which
+    join and place them there.
+    """
     b = briefs.select("brief_id", "budget", "authored", "retired", F.lit(True).alias("known"))
     place = F.row_number().over(W.partitionBy("brief_id").orderBy("scenario_id"))
-    return scenarios.join(b, "brief_id", "left").withColumn("accepted", F.coalesce(F.col("known") & ~F.col("retired") & (F.col("authored") + place <= F.col("budget")), F.lit(False))).drop("known", "budget", "authored", "retired")
+    dealt = spread(scenarios, "brief_id", rows=scenarios.count())
+    return dealt.join(b, "brief_id", "left").withColumn("accepted", F.coalesce(F.col("known") & ~F.col("retired") & (F.col("authored") + place <= F.col("budget")), F.lit(False))).drop("known", "budget", "authored", "retired")
