@@ -90,3 +90,16 @@ def test_unknown_collection_and_key(spark):
         entities.from_dict(spark, {"nothing": {}})
     with pytest.raises(KeyError):
         entities.lookup(entities.from_dict(spark, clean()), "humans", "nobody")
+
+
+def test_references_are_one_join_of_as_many_tasks_as_they_need(spark, monkeypatch):
+    from veriloom.plans import entity_queries
+    from veriloom.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 20, raising=False)
+    claims = entity_queries.made(spark.range(300), "claims", "concat('c', id)", "id", dyad_id="concat('d', id % 100)")
+    dyads = entity_queries.made(spark.range(50), "dyads", "concat('d', id)", "id")
+    found = rules.validate(entity_queries.world(spark, claims=claims, dyads=dyads), ["RI"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert found.rdd.getNumPartitions() > 40
+    assert sorted(r.subject for r in found.collect()) == sorted(f"c{i}" for i in range(300) if i % 100 >= 50)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veriloom.functions.text import blank
 from veriloom.operators import integrity
+from veriloom.sources.tables import spread
 
 Tables = Mapping[str, DataFrame]
 RULES: list[tuple[str, Callable[[Tables], DataFrame]]] = []
@@ -107,17 +108,26 @@ def union(*parts: DataFrame) -> DataFrame:
 
 @rule("RI")
 def references(t: Tables) -> DataFrame:
-    """All references in one anti join: each collection is scanned once."""
-    refs, ids = [], []
+    """All references in one join: each collection is scanned once for them, and once more to count them.
+
+    References and ids are dealt by what they name to as many tasks as their numbers
+    need.  An outer join finds what is missing: Spark moves an anti join into the
+    union's parts, and a task then holds all of their sorts and hash maps.
+    """
+    refs, ids, sizes = [], [], []
     for i, (coll, edges) in enumerate(REFERENCES.items()):
         kinds = dict(t[coll].dtypes)
         one = lambda f: F.col(f) if kinds[f].startswith("array") else F.array(f)
         entries = F.flatten(F.array(*(_entries(one(f), f, to, k) for k, (f, to) in enumerate(edges))))
+        sizes.append(t[coll].select(functools.reduce(Column.__add__, (F.coalesce(F.size(f), F.lit(0)) if kinds[f].startswith("array") else F.lit(1) for f, _ in edges)).cast("bigint").alias("n")))
         rows = t[coll].select(F.lit(coll).alias("coll"), "_key", (F.lit(i * 10**9).cast("bigint") + F.col("_ord").cast("bigint") * 1000).alias("at"), F.explode(entries).alias("e"))
         refs.append(rows.select("coll", "_key", (F.col("at") + F.col("e.k")).alias("sub"), "e.field", "e.target", "e.ref").where("ref IS NOT NULL"))
     for coll in sorted({to for edges in REFERENCES.values() for _, to in edges}):
         ids.append(t[coll].select(F.lit(coll).alias("target"), F.col("version" if coll == "releases" else "_key").alias("ref")))
-    lost = union(*refs).join(union(*ids).distinct(), ["target", "ref"], "left_anti")
+        sizes.append(t[coll].select(F.lit(1).cast("bigint").alias("n")))
+    n = union(*sizes).agg(F.sum("n")).first()[0] or 0
+    dealt = lambda parts: spread(union(*parts), "target", "ref", rows=n)
+    lost = dealt(refs).join(dealt(ids).distinct().withColumn("named", F.lit(True)), ["target", "ref"], "left").where("named IS NULL")
     return lost.select(F.col("_key").alias("subject"), "sub", say("RI: %s.%s.%s -> %s '%s' missing", "coll", "_key", "field", "target", "ref").alias("message"))
 
 
